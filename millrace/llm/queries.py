@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.contamination import leaks
 from millrace.llm.mixing import mix
+from millrace.llm.neighbours import exact_neighbours, mutual_pairs, recall, similar
 from millrace.llm.rank_fusion import median_ranking, positions, top_items
 from millrace.llm.spans import shared_shares, shared_spans
 from millrace.session import load
@@ -17,9 +18,25 @@ def _item_report(s, d):
     return items.join(found, "item_id", "left").fillna(0, ["documents", "windows"])
 
 
+def _listed(found):
+    hits = found.select("vec_id", F.posexplode("hits").alias("place", "h"))
+    return hits.select("vec_id", (F.col("place") + 1).alias("rank"), F.col("h.id").alias("neighbour"), F.round("h.far", 6).alias("far"))
+
+
+def _recall(s, d):
+    """Against brute force, for the queries whose id is divisible by 100."""
+    only = F.col("vec_id") % 100 == 0
+    vectors, specs = load(s, d, "coll_vectors"), load(s, d, "vector_specs")
+    found = recall(similar(vectors, specs, only=only), exact_neighbours(vectors, specs, only))
+    return found.select("queries", F.round("recall", 3).alias("recall"))
+
+
 QUERIES = {
     "p3_found": lambda s, d: top_items(median_ranking(load(s, d, "scan_hits"))),
     "p3_ranking": lambda s, d: positions(median_ranking(load(s, d, "scan_hits"))),
+    "p4_found": lambda s, d: mutual_pairs(load(s, d, "coll_vectors"), load(s, d, "vector_specs")),
+    "p4_similar": lambda s, d: _listed(similar(load(s, d, "coll_vectors"), load(s, d, "vector_specs"), only=F.col("vec_id") % 100 == 0)),
+    "p4_recall": _recall,
     "p6_found": lambda s, d: leaks(load(s, d, "documents"), load(s, d, "eval_items")).select("doc_id", "item_id"),
     "p6_items": _item_report,
     "p7_found": lambda s, d: mix(load(s, d, "documents"), load(s, d, "mix_targets"))[1].where("not reachable").select("source_name"),
