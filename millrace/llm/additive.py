@@ -7,9 +7,9 @@ from dataclasses import dataclass
 import numpy as np
 
 #: Codebooks after the first, codewords of each, width of the beam.
-STAGES, WORDS, BEAM = 4, 256, 4
-#: Vectors a cell should hold; most cells of the first level.
-CELL, MOST_CELLS = 400, 1024
+STAGES, WORDS, BEAM = 6, 256, 4
+#: Vectors a cell and a shard of neighbouring cells should hold; most cells of the first level.
+CELL, SHARD, MOST_CELLS = 400, 3000, 1024
 
 
 def squared(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -35,13 +35,18 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 class Quantiser:
     """``coarse`` gives each vector its cell; ``books`` are full-dimensional codebooks for what remains.
 
-    With two levels a cell is a codeword of ``coarse`` and one of the first book.
+    With two levels a cell is a codeword of ``coarse`` and one of the first book. ``shards`` puts neighbouring cells
+    together; with two levels a shard is a codeword of ``coarse``.
     """
 
     kind: str
     coarse: np.ndarray
     books: np.ndarray  # stages x words x dim
     levels: int
+    shards: np.ndarray  # of each coarse codeword
+
+    def shard_of(self, cells: np.ndarray) -> np.ndarray:
+        return self.shards[cells] if self.levels == 1 else cells // len(self.books[0])
 
     def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` nearest cells of each vector, the nearest first."""
@@ -119,7 +124,8 @@ def train(x: np.ndarray, kind: str, total: int, seed: int = 1) -> Quantiser:
         words = kmeans(left, size, rng, 5)
         left = left - words[squared(left, words).argmin(1)]
         books.append(words)
-    model = Quantiser(kind, coarse, np.stack(books), 2 if wanted > 2 * MOST_CELLS else 1)
+    groups = kmeans(coarse, max(1, min(len(coarse), total // SHARD)), rng)
+    model = Quantiser(kind, coarse, np.stack(books), 2 if wanted > 2 * MOST_CELLS else 1, squared(coarse, groups).argmin(1))
     codes, _ = model.encode(x)
     column = codes[:, 1:].astype(np.int64) + np.arange(STAGES) * size
     gram = np.zeros((STAGES * size, STAGES * size))

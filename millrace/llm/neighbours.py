@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from millrace.llm.additive import Quantiser, train
 from millrace.session import cut
 
-#: Vectors of a space the codebooks are fitted on; cells a query looks into; rows of a block; approximate hits of a
-#: cell that are scored exactly; encoded at once.
-SAMPLE, PROBES, BLOCK, RERANK, CHUNK = 20_000, 8, 4_096, 32, 4_096
+#: Vectors of a space the codebooks are fitted on; nearest cells whose shards a query looks into; rows of a block;
+#: approximate hits of a shard that are scored exactly; encoded at once; queries scored at once.
+SAMPLE, PROBES, BLOCK, RERANK, CHUNK, ASKED = 20_000, 8, 6_000, 256, 4_096, 256
 
 
 def usable_vectors(vectors: DataFrame, specs: DataFrame) -> DataFrame:
@@ -106,11 +106,12 @@ def _by_space(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
             yield name, at[k : k + CHUNK]
 
 
-ROW = "space string, cell long, id long, codes array<short>, norm float, embedding array<float>"
+ROW = "space string, shard long, id long, codes array<short>, norm float, embedding array<float>"
 
 
 def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame:
-    """Vectors in their cells: for the index the nearest one, with codes and norms; for queries the ``probes`` nearest."""
+    """Vectors in their shards: for the index the one of the nearest cell, with codes and norms; for queries those of
+    the ``probes`` nearest cells, each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,20 +119,20 @@ def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame
                 model = models.value[space]
                 own = b.column("embedding").take(pa.array(at))
                 x = _matrix(own, model.kind)
-                cells = model.cells(x, probes)
-                p, n = cells.shape[1], len(at)
+                shards = np.sort(model.shard_of(model.cells(x, probes)), axis=1)
+                new = np.concatenate((np.ones((len(at), 1), bool), shards[:, 1:] != shards[:, :-1]), 1)
+                row, column = np.nonzero(new)
                 ids = b.column("class_id").take(pa.array(at))
-                codes = norm = pa.nulls(n * p)
                 if encoded:
                     code, length = model.encode(x)
-                    codes = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * code.shape[1]), pa.array(code.ravel()))
+                    codes = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1, dtype=np.int32) * code.shape[1]), pa.array(code.ravel()))
                     norm = pa.array(length)
                 else:
-                    codes, norm = codes.cast(pa.list_(pa.int16())), norm.cast(pa.float32())
-                again = pa.array(np.repeat(np.arange(n), p))
+                    codes, norm = pa.nulls(len(row), pa.list_(pa.int16())), pa.nulls(len(row), pa.float32())
+                again = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([space] * (n * p), pa.string()), pa.array(cells.ravel().astype(np.int64)), ids.take(again), codes, norm, own.take(again)],
-                    ["space", "cell", "id", "codes", "norm", "embedding"],
+                    [pa.array([space] * len(row), pa.string()), pa.array(shards[row, column].astype(np.int64)), ids.take(again), codes, norm, own.take(again)],
+                    ["space", "shard", "id", "codes", "norm", "embedding"],
                 )
 
     return classes.select("space", "class_id", "embedding").mapInArrow(run, ROW)
@@ -140,13 +141,13 @@ def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame
 def nearest_classes(index: DataFrame, queries: DataFrame, models: dict[str, Quantiser], k: int, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
     """(id, hits): for each query class its ``k`` nearest classes (itself among them) as structs (far, class_id), ordered.
 
-    Cells larger than ``BLOCK`` rows, and queries for them, are split into blocks that meet pairwise, so a task holds
+    Shards larger than ``BLOCK`` rows, and queries for them, are split into blocks that meet pairwise, so a task holds
     two blocks whatever the density. In each, scores come from lookup tables; the ``rerank`` best of a query are scored
     exactly in the same task, where the vectors are.
     """
     spark = index.sparkSession
     shared = spark.sparkContext.broadcast(models)
-    cell = ["space", "cell"]
+    cell = ["space", "shard"]
     rows = cut(_placed(index, shared, 1, True), "encoded")
     asked = _placed(queries, shared, probes, False)
     have = rows.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ib"))
@@ -170,14 +171,13 @@ def nearest_classes(index: DataFrame, queries: DataFrame, models: dict[str, Quan
         codes = ours.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ours), -1)
         norms, ids = ours.column("norm").to_numpy(), ours.column("id").to_numpy()
         out_ids, out_scores = [], []
-        for at in range(0, len(q), 1024):
-            part = q[at : at + 1024]
+        for at in range(0, len(q), ASKED):
+            part = q[at : at + ASKED]
             rough = model.scores(part, codes, norms)
             r = min(rerank, rough.shape[1])
-            top = np.argpartition(-rough, r - 1, axis=1)[:, :r] if r < rough.shape[1] else np.broadcast_to(np.arange(r), rough.shape)
+            top = np.argpartition(rough, rough.shape[1] - r, axis=1)[:, -r:]
             exact = _exact(model.kind, part, x[top])
-            keep = min(k, r)
-            best = np.argpartition(-exact, keep - 1, axis=1)[:, :keep] if keep < r else np.broadcast_to(np.arange(r), exact.shape)
+            best = np.argpartition(exact, r - min(k, r), axis=1)[:, -min(k, r) :]
             top = np.take_along_axis(top, best, 1)
             out_ids.append(ids[top].ravel())
             out_scores.append(_score_exactly(model.kind, part, x[top]).ravel())
@@ -196,7 +196,7 @@ def similar(vectors: DataFrame, specs: DataFrame, k: int = 10, probes: int = PRO
     (far, id), nearest first and by id where they tie; ``far`` is minus the cosine or dot product, or the distance.
 
     ``only`` restricts the queries (a condition on vec_id), never the index. Accuracy is lost only where a neighbour
-    lies outside the ``probes`` nearest cells or the ``rerank`` best by codes; scores are exact. Copies, however many,
+    lies outside the shards of the ``probes`` nearest cells or the ``rerank`` best of a shard by codes; scores are exact. Copies, however many,
     are found as such. Empty spaces give nothing; a vector without others has an empty array.
     """
     usable = cut(usable_vectors(vectors, specs), "usable")
