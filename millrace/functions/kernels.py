@@ -46,13 +46,13 @@ def manhattan(a: Column, b: Column) -> Column:
 
 def score(distance: str, a: Column, b: Column) -> Column:
     """More is nearer: dot, cosine, minus Euclidean distance, minus city-block distance; null for unlike lengths."""
-    kinds = {DOT: dot, COSINE: cosine, EUCLID: lambda x, y: -F.sqrt(squared_distance(x, y)), MANHATTAN: lambda x, y: -manhattan(x, y)}
+    kinds = {DOT: dot, COSINE: cosine, EUCLID: lambda x, y: 0.0 - F.sqrt(squared_distance(x, y)), MANHATTAN: lambda x, y: 0.0 - manhattan(x, y)}
     return F.when(F.size(a) == F.size(b), kinds[distance](a, b))
 
 
 def raw_similarity(distance: str, a: Column, b: Column) -> Column:
     """What example-based scoring compares: as ``score``, but Euclid without the root."""
-    return -squared_distance(a, b) if distance == EUCLID else score(distance, a, b)
+    return 0.0 - squared_distance(a, b) if distance == EUCLID else score(distance, a, b)
 
 
 def normalised(a: Column) -> Column:

@@ -473,7 +473,7 @@ class Compiler:
         def test(c: Column) -> Column:
             if f.kind == "json" and kind == "f64":
                 c = c.try_cast("double")
-            ok = F.lit(True)
+            ok = c.isNotNull()
             for op, v in tests:
                 if isinstance(v, int) and not isinstance(v, bool) and not low <= v <= high:
                     ok = ok & F.lit((v > high) == op.startswith("l"))

@@ -124,7 +124,7 @@ def mmr(df: DataFrame, pk: str, field: str, query: Sequence[float], limit: int,
         picked = mmr_order(pdf["_score"].to_numpy(), sim, limit, diversity)
         return pdf.iloc[picked][[pk, "_score"]].assign(rank=np.arange(1, len(picked) + 1, dtype=np.int32))
 
-    return some.groupBy(F.lit(0)).applyInPandas(order, f"{pk} {kind}, _score double, rank int")
+    return some.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(order, f"{pk} {kind}, _score double, rank int")
 
 
 def shown_score(column: Column, distance: str) -> Column:

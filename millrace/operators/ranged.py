@@ -16,19 +16,19 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, o
     own running sum. A group of any size spreads over as many tasks as it needs. Rows that tie in ``order`` must not
     exist, except that their mutual order is free. Nulls sort first; a null ``value`` counts 0. Empty in, empty out.
     """
-    part, before = "__part", "__before"
+    part, before = "__rs_part", "__rs_before"
     n = at_least(df.sparkSession)
     placed = cut(
         df.repartitionByRange(n, *group, *order).withColumn(part, F.spark_partition_id()), "ranged"
     )
     keys = [*group, part]
     safe = F.coalesce(F.col(value), F.lit(0))
-    sums = placed.groupBy(*keys).agg(F.sum(safe).alias("__sum"))
+    sums = placed.groupBy(*keys).agg(F.sum(safe).alias("__rs_sum"))
     earlier = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.withColumn(before, F.coalesce(F.sum("__sum").over(earlier), F.lit(0))).drop("__sum")
+    sums = sums.withColumn(before, F.coalesce(F.sum("__rs_sum").over(earlier), F.lit(0))).drop("__rs_sum")
     own = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = placed.withColumn("__own", F.coalesce(F.sum(safe).over(own), F.lit(0)))
-    right = sums.select(*[F.col(k).alias(f"__r_{k}") for k in keys], before)
-    same = [local[k].eqNullSafe(right[f"__r_{k}"]) for k in keys]
+    local = placed.withColumn("__rs_own", F.coalesce(F.sum(safe).over(own), F.lit(0)))
+    right = sums.select(*[F.col(k).alias(f"__rs_{k}") for k in keys], before)
+    same = [local[k].eqNullSafe(right[f"__rs_{k}"]) for k in keys]
     joined = local.join(right, same, "left")
-    return joined.withColumn(out, F.col("__own") + F.col(before)).select(*df.columns, out)
+    return joined.withColumn(out, F.col("__rs_own") + F.col(before)).select(*df.columns, out)
