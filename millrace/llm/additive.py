@@ -10,6 +10,8 @@ import numpy as np
 STAGES, WORDS, BEAM = 6, 256, 4
 #: Vectors a cell and a shard of neighbouring cells should hold; most cells of the first level.
 CELL, SHARD, MOST_CELLS = 400, 3000, 1024
+#: Vectors encoded at once, so that the errors of a beam stay in the cache.
+AT_ONCE = 256
 
 
 def squared(x: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -71,6 +73,9 @@ class Quantiser:
         Beam search: of all ways to extend the ``BEAM`` best partial sums by a codeword, the ``BEAM`` best are kept.
         """
         n, dim = x.shape
+        if n > AT_ONCE:
+            parts = [self.encode(x[k : k + AT_ONCE]) for k in range(0, n, AT_ONCE)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         code0 = squared(x, self.coarse).argmin(1) if n else np.zeros(0, np.int64)
         rest = (x - self.coarse[code0])[:, None, :]
         codes = np.zeros((n, 1, 0), np.int16)
@@ -91,16 +96,22 @@ class Quantiser:
             out += words[codes[:, m + 1]]
         return out
 
-    def scores(self, queries: np.ndarray, codes: np.ndarray, norms: np.ndarray) -> np.ndarray:
-        """Approximate scores (queries x codes), more being nearer, by sums of table entries and the stored norms."""
-        used, place = np.unique(codes[:, 0], return_inverse=True)  # a group has few coarse codewords
-        total = (self.coarse[used] @ queries.T)[place]
-        for m, words in enumerate(self.books):
-            total += (words @ queries.T)[codes[:, m + 1]]
+    def scores(self, queries: np.ndarray, columns: list[np.ndarray], norms: np.ndarray) -> np.ndarray:
+        """Approximate scores (queries x codes), more being nearer, by sums of table entries and the stored norms.
+
+        ``columns`` are the codes of each codebook. Tables and sums hold the queries side by side, so what a code looks up
+        is a run of memory.
+        """
+        side = np.ascontiguousarray(queries.T)
+        total = np.take(self.coarse @ side, columns[0], axis=0)
+        found = np.empty_like(total)
+        for words, codes in zip(self.books, columns[1:]):
+            np.take(words @ side, codes, axis=0, out=found, mode="clip")
+            total += found
         if self.kind != "Dot":
             total *= 2
             total -= norms[:, None]
-        return total.T
+        return np.ascontiguousarray(total.T)
 
 
 def _least(x: np.ndarray, k: int) -> np.ndarray:

@@ -151,7 +151,7 @@ def leaks(documents: DataFrame, items: DataFrame, chars: int = ITEM_CHARS) -> Da
 
     Words are compared after normalisation. The items are searched for in blocks of ``chars`` characters, each against
     all documents where they lie; nothing of a document is shuffled. Items of fewer words match nothing; neither do
-    null or empty texts. A text of any length is scanned whole, in overlapping stretches.
+    null or empty texts. A document row that is repeated is reported as often; an item row that is repeated counts once. A text of any length is scanned whole, in overlapping stretches.
     """
     docs = documents.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None

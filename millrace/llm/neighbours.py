@@ -16,7 +16,7 @@ from millrace.session import cut
 
 #: Vectors of a space the codebooks are fitted on; nearest cells whose shards a query looks into; rows of a block;
 #: approximate hits of a shard that are scored exactly; encoded at once; queries scored at once.
-SAMPLE, PROBES, BLOCK, RERANK, CHUNK, ASKED = 20_000, 8, 6_000, 256, 4_096, 256
+SAMPLE, PROBES, BLOCK, RERANK, CHUNK, ASKED = 20_000, 8, 6_000, 256, 4_096, 64
 
 
 def usable_vectors(vectors: DataFrame, specs: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def _exact(kind: str, query: np.ndarray, found: np.ndarray) -> np.ndarray:
         return -np.sqrt(((found - query[:, None]) ** 2).sum(2))
     if kind == "Manhattan":
         return -np.abs(found - query[:, None]).sum(2)
-    return np.einsum("nrd,nd->nr", found, query)
+    return np.matmul(found, query[:, :, None])[:, :, 0]
 
 
 def _score_exactly(kind: str, query: np.ndarray, found: np.ndarray) -> np.ndarray:
@@ -169,14 +169,15 @@ def nearest_classes(index: DataFrame, queries: DataFrame, models: dict[str, Quan
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))], ["id", "found", "scores"])
         x, q = _matrix(ours.column("embedding"), model.kind), _matrix(theirs.column("embedding"), model.kind)
         codes = ours.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ours), -1)
+        columns = [codes[:, m].astype(np.intp) for m in range(codes.shape[1])]
         norms, ids = ours.column("norm").to_numpy(), ours.column("id").to_numpy()
         out_ids, out_scores = [], []
         for at in range(0, len(q), ASKED):
             part = q[at : at + ASKED]
-            rough = model.scores(part, codes, norms)
+            rough = model.scores(part, columns, norms)
             r = min(rerank, rough.shape[1])
             top = np.argpartition(rough, rough.shape[1] - r, axis=1)[:, -r:]
-            exact = _exact(model.kind, part, x[top])
+            exact = _exact(model.kind, part, np.take(x, top.ravel(), axis=0).reshape(*top.shape, -1))
             best = np.argpartition(exact, r - min(k, r), axis=1)[:, -min(k, r) :]
             top = np.take_along_axis(top, best, 1)
             out_ids.append(ids[top].ravel())
@@ -196,10 +197,11 @@ def similar(vectors: DataFrame, specs: DataFrame, k: int = 10, probes: int = PRO
     (far, id), nearest first and by id where they tie; ``far`` is minus the cosine or dot product, or the distance.
 
     ``only`` restricts the queries (a condition on vec_id), never the index. Accuracy is lost only where a neighbour
-    lies outside the shards of the ``probes`` nearest cells or the ``rerank`` best of a shard by codes; scores are exact. Copies, however many,
-    are found as such. Empty spaces give nothing; a vector without others has an empty array.
+    lies outside the shards of the ``probes`` nearest cells or the ``rerank`` best of a shard by codes; scores are exact.
+    Copies, however many, are found as such. Of rows that repeat an id one counts. Empty spaces give nothing; a vector
+    without others has an empty array.
     """
-    usable = cut(usable_vectors(vectors, specs), "usable")
+    usable = cut(usable_vectors(vectors, specs).dropDuplicates(["vec_id"]), "usable")
     copies = copy_classes(usable, k)
     classes = cut(copies.classes, "classes")
     models = fit(classes)
@@ -227,7 +229,8 @@ def mutual_pairs(vectors: DataFrame, specs: DataFrame, k: int = 10, cosine: floa
     space or at most ``distance`` in a Euclid one; other spaces have no such pairs."""
     hits = similar(vectors, specs, k)
     bound = F.when(F.col("kind") == "Cosine", -cosine).when(F.col("kind") == "Euclid", distance)
-    kinds = usable_vectors(vectors, specs).select("vec_id", "kind")
+    declared = specs.select("coll_name", "vector_name", F.col("distance_kind").alias("kind")).distinct()
+    kinds = vectors.join(declared, ["coll_name", "vector_name"]).select("vec_id", "kind").distinct()
     close = hits.withColumn("hits", F.expr(f"filter(hits, h -> h.far <= {max(-cosine, distance)!r}D)")).where("size(hits) > 0")
     close = close.join(kinds, "vec_id").select("vec_id", F.explode("hits").alias("h"), bound.alias("bound")).where("h.far <= bound")
     ends = close.select(F.least("vec_id", "h.id").alias("vec_a"), F.greatest("vec_id", "h.id").alias("vec_b"))
