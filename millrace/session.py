@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,7 +28,28 @@ def get_session(cores: int | str = 8, **conf: str) -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the Python workers, once for each Spark context: they may run elsewhere, or in a folder
+    from which it cannot be imported."""
+    context = spark.sparkContext
+    if getattr(context, "_millrace_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="millrace-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    root = os.path.dirname(os.path.abspath(__file__))
+    archive = os.path.join(folder, "millrace_code.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for at, _, names in os.walk(root):
+            for n in sorted(names):
+                if n.endswith(".py"):
+                    full = os.path.join(at, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(archive)
+    context._millrace_shipped = True
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -51,6 +74,7 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
     A column type that Parquet lacks is not expected here. An empty ``df`` keeps its schema.
     """
+    ship(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
