@@ -20,20 +20,33 @@ SAMPLE, PROBES, BLOCK, RERANK, CHUNK, ASKED = 20_000, 8, 6_000, 256, 4_096, 64
 
 
 def usable_vectors(vectors: DataFrame, specs: DataFrame) -> DataFrame:
-    """(space, kind, dim, vec_id, embedding) of the usable vectors: not null, of the declared length, all components
-    finite and, under Cosine, not all zero. A space without a declaration has no usable vectors."""
-    declared = specs.where("dim is not null and distance_kind is not null").select("coll_name", "vector_name", "dim", F.col("distance_kind").alias("kind")).distinct()
-    joined = vectors.where("vec_id is not null").select("coll_name", "vector_name", F.col("vec_id").cast("long").alias("vec_id"), "embedding").join(declared, ["coll_name", "vector_name"])
-    finite = "size(embedding) = dim and forall(embedding, x -> x is not null and not isnan(x) and abs(x) <= 3.4028235e38)"
-    nonzero = "(kind <> 'Cosine' or exists(embedding, x -> x <> 0))"
+    """(space, kind, vec_id, vector) of the usable vectors: not null, of the declared length, all components finite and,
+    under Cosine, not all zero. A space without a declaration has no usable vectors. ``vector`` is the components'
+    bytes: what is shuffled and handed to Python from here on is copied as a whole."""
+    declared = specs.where("dim is not null and distance_kind is not null").select("coll_name", "vector_name", F.col("dim").cast("int").alias("dim"), F.col("distance_kind").alias("kind")).distinct()
+    rows = vectors.where("vec_id is not null and embedding is not null").select("coll_name", "vector_name", F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    joined = rows.join(declared, ["coll_name", "vector_name"]).where("size(embedding) = dim")
     space = F.to_json(F.array("coll_name", "vector_name")).alias("space")
-    return joined.where(f"embedding is not null and {finite} and {nonzero}").select(space, "kind", "dim", "vec_id", "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = b.column("embedding")
+            ends = column.offsets.to_numpy()
+            x = column.values.to_numpy(zero_copy_only=False).astype(np.float32, copy=False)  # a null component is NaN
+            bad, full = (np.concatenate(([0], np.cumsum(m))) for m in (~np.isfinite(x), x != 0))
+            cosine = np.array(b.column("kind").to_pylist(), object) == "Cosine"
+            at = np.flatnonzero((bad[ends[1:]] == bad[ends[:-1]]) & ((full[ends[1:]] > full[ends[:-1]]) | ~cosine))
+            keep = pa.array(at)
+            vector = pa.array([x[ends[i] : ends[i + 1]].tobytes() for i in at], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[b.column(c).take(keep) for c in ("space", "kind", "vec_id")], vector], ["space", "kind", "vec_id", "vector"])
+
+    return joined.select(space, "kind", "vec_id", "embedding").mapInArrow(run, "space string, kind string, vec_id long, vector binary")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array, kind: str) -> np.ndarray:
-    """Rows of an array column; of length 1 under Cosine."""
-    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float32).reshape(len(flat), -1)
+    """Rows of a column of vectors; of length 1 under Cosine."""
+    rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    x = np.frombuffer(b"".join(rows.to_pylist()), np.float32).reshape(len(rows), -1)
     return unit(x) if kind == "Cosine" else x
 
 
@@ -59,9 +72,15 @@ def _score_exactly(kind: str, query: np.ndarray, found: np.ndarray) -> np.ndarra
     return _exact(kind, query, found)
 
 
+def once(usable: DataFrame) -> DataFrame:
+    """One row of each id. Only ids that are repeated are shuffled with their vectors."""
+    again = cut(usable.groupBy("vec_id").agg(F.count("*").alias("n")).where("n > 1").select("vec_id"), "repeated")
+    return usable.join(again, "vec_id", "left_anti").unionByName(usable.join(again, "vec_id", "left_semi").dropDuplicates(["vec_id"]))
+
+
 @dataclass
 class Copies:
-    """``classes``: (space, kind, dim, class_id, embedding) of distinct vectors, named by their least id; ``first``: the
+    """``classes``: (space, kind, class_id, vector) of distinct vectors, named by their least id; ``first``: the
     first ids of classes with several; ``members``: (vec_id, class_id) of those classes' vectors."""
 
     classes: DataFrame
@@ -73,7 +92,7 @@ def copy_classes(usable: DataFrame, k: int) -> Copies:
     """Equal vectors of a space as one, so copies cost no scores. By the order of ties (ids) no more than the first
     ``k`` + 1 ids of a class can be among anyone's ``k`` nearest, so the others need not be listed."""
     key = ["space", "h1", "h2"]
-    rows = cut(usable.select("space", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), F.reverse("embedding")).alias("h2"), "vec_id"), "vector-ids")
+    rows = cut(usable.select("space", F.xxhash64("vector").alias("h1"), F.md5("vector").alias("h2"), "vec_id"), "vector-ids")
     several = rows.groupBy(*key).agg(F.min("vec_id").alias("class_id"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = cut(rows.join(several, key).select("vec_id", "class_id"), "copies")
     others = members.where("vec_id <> class_id").select("vec_id")
@@ -87,12 +106,14 @@ def fit(classes: DataFrame, sample: int = SAMPLE) -> dict[str, Quantiser]:
     """A quantiser for each space, fitted on at most ``sample`` of its vectors (those with the least hashes of their
     ids); spaces are fitted in parallel. What is collected is codebooks, of a size that does not grow with the rows."""
     totals = classes.groupBy("space").agg(F.count("*").alias("total"))
-    place = F.row_number().over(Window.partitionBy("space").orderBy(F.xxhash64("class_id"), "class_id"))
-    chosen = classes.withColumn("place", place).where(F.col("place") <= sample).drop("place").join(totals, "space")
+    draw = F.pmod(F.xxhash64("class_id"), F.lit(1 << 30))
+    likely = classes.join(totals, "space").where(draw < F.lit(float(1 << 30)) * F.lit(1.5 * sample) / F.col("total"))
+    place = F.row_number().over(Window.partitionBy("space").orderBy(draw, "class_id"))
+    chosen = likely.withColumn("place", place).where(F.col("place") <= sample).drop("place")
 
     def run(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
-        model = train(_matrix(table.column("embedding"), kind), kind, table.column("total")[0].as_py())
+        model = train(_matrix(table.column("vector"), kind), kind, table.column("total")[0].as_py())
         return pa.table({"space": [table.column("space")[0].as_py()], "model": pa.array([pickle.dumps(model)], pa.binary())})
 
     return {r.space: pickle.loads(r.model) for r in chosen.groupBy("space").applyInArrow(run, "space string, model binary").collect()}
@@ -106,7 +127,7 @@ def _by_space(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
             yield name, at[k : k + CHUNK]
 
 
-ROW = "space string, shard long, id long, codes array<short>, norm float, embedding array<float>"
+ROW = "space string, shard long, id long, codes array<short>, norm float, vector binary"
 
 
 def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame:
@@ -117,7 +138,7 @@ def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame
         for b in batches:
             for space, at in _by_space(b):
                 model = models.value[space]
-                own = b.column("embedding").take(pa.array(at))
+                own = b.column("vector").take(pa.array(at))
                 x = _matrix(own, model.kind)
                 shards = np.sort(model.shard_of(model.cells(x, probes)), axis=1)
                 new = np.concatenate((np.ones((len(at), 1), bool), shards[:, 1:] != shards[:, :-1]), 1)
@@ -132,10 +153,10 @@ def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame
                 again = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([space] * len(row), pa.string()), pa.array(shards[row, column].astype(np.int64)), ids.take(again), codes, norm, own.take(again)],
-                    ["space", "shard", "id", "codes", "norm", "embedding"],
+                    ["space", "shard", "id", "codes", "norm", "vector"],
                 )
 
-    return classes.select("space", "class_id", "embedding").mapInArrow(run, ROW)
+    return classes.select("space", "class_id", "vector").mapInArrow(run, ROW)
 
 
 def nearest_classes(index: DataFrame, queries: DataFrame, models: dict[str, Quantiser], k: int, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
@@ -157,7 +178,7 @@ def nearest_classes(index: DataFrame, queries: DataFrame, models: dict[str, Quan
     def spread(df: DataFrame, own: str, other: str, flag: bool) -> DataFrame:
         part = F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
         joined = df.join(blocks, cell).withColumn(f"{own}_at", part).withColumn(f"{other}_at", F.explode(F.sequence(F.lit(0), F.col(other) - 1)))
-        return joined.select(*cell, "ib_at", "qb_at", F.lit(flag).alias("asks"), "id", "codes", "norm", "embedding")
+        return joined.select(*cell, "ib_at", "qb_at", F.lit(flag).alias("asks"), "id", "codes", "norm", "vector")
 
     both = spread(rows, "ib", "qb", False).unionByName(spread(asked, "qb", "ib", True))
 
@@ -167,7 +188,7 @@ def nearest_classes(index: DataFrame, queries: DataFrame, models: dict[str, Quan
         ours, theirs = table.filter(pa.array(~asks)), table.filter(pa.array(asks))
         if not len(ours) or not len(theirs):
             return pa.Table.from_arrays([pa.array([], pa.int64()), pa.array([], pa.list_(pa.int64())), pa.array([], pa.list_(pa.float64()))], ["id", "found", "scores"])
-        x, q = _matrix(ours.column("embedding"), model.kind), _matrix(theirs.column("embedding"), model.kind)
+        x, q = _matrix(ours.column("vector"), model.kind), _matrix(theirs.column("vector"), model.kind)
         codes = ours.column("codes").combine_chunks().flatten().to_numpy().reshape(len(ours), -1)
         columns = [codes[:, m].astype(np.intp) for m in range(codes.shape[1])]
         norms, ids = ours.column("norm").to_numpy(), ours.column("id").to_numpy()
@@ -201,9 +222,9 @@ def similar(vectors: DataFrame, specs: DataFrame, k: int = 10, probes: int = PRO
     Copies, however many, are found as such. Of rows that repeat an id one counts. Empty spaces give nothing; a vector
     without others has an empty array.
     """
-    usable = cut(usable_vectors(vectors, specs).dropDuplicates(["vec_id"]), "usable")
+    usable = once(cut(usable_vectors(vectors, specs), "usable"))
     copies = copy_classes(usable, k)
-    classes = cut(copies.classes, "classes")
+    classes = copies.classes
     models = fit(classes)
     if not models:
         return usable.select("vec_id", F.expr("cast(array() as array<struct<far: double, id: bigint>>)").alias("hits"))
@@ -249,7 +270,7 @@ def exact_neighbours(vectors: DataFrame, specs: DataFrame, only: Column, k: int
         groups: dict[str, list] = {}
         for r in part:
             groups.setdefault(r.space, []).append(r)
-        packed = {s: (rs[0].kind, np.array([r.vec_id for r in rs]), np.array([r.embedding for r in rs], np.float32)) for s, rs in groups.items()}
+        packed = {s: (rs[0].kind, np.array([r.vec_id for r in rs]), np.stack([np.frombuffer(r.vector, np.float32) for r in rs])) for s, rs in groups.items()}
         shared = vectors.sparkSession.sparkContext.broadcast(packed)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -258,7 +279,7 @@ def exact_neighbours(vectors: DataFrame, specs: DataFrame, only: Column, k: int
                     if space not in shared.value:
                         continue
                     kind, asks, raw = shared.value[space]
-                    q, x = (unit(raw) if kind == "Cosine" else raw), _matrix(b.column("embedding").take(pa.array(at)), kind)
+                    q, x = (unit(raw) if kind == "Cosine" else raw), _matrix(b.column("vector").take(pa.array(at)), kind)
                     ids = b.column("vec_id").take(pa.array(at)).to_numpy()
                     if kind == "Manhattan":
                         rough = np.stack([-np.abs(x - v).sum(1) for v in q])
@@ -273,7 +294,7 @@ def exact_neighbours(vectors: DataFrame, specs: DataFrame, only: Column, k: int
                         [pa.array(asks), pa.ListArray.from_arrays(offsets, pa.array(ids[hit])), pa.ListArray.from_arrays(offsets, pa.array(score))], ["vec_id", "found", "scores"]
                     )
 
-        found = usable.select("space", "vec_id", "embedding").mapInArrow(run, "vec_id long, found array<long>, scores array<double>")
+        found = usable.select("space", "vec_id", "vector").mapInArrow(run, "vec_id long, found array<long>, scores array<double>")
         out = found if out is None else out.unionByName(found)
     if out is None:
         return usable.select("vec_id", F.expr("cast(array() as array<struct<far: double, id: bigint>>)").alias("hits"))
