@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import kernels
 from millrace.functions.predicates import scored
-from millrace.operators import fusion, grouping, points, ranking, retrieval, search_dsl
+from millrace.operators import ann, fusion, grouping, points, ranking, retrieval, search_dsl
 from millrace.plans import catalog
 from millrace.plans.search import search
 from millrace.plans.sql import Engine
@@ -88,6 +88,12 @@ def _(s, d):
     return rounded(retrieval.knn_per_query(df, df.where("vec_id % 100 = 0"), "vec_id", "embedding", "vec_id", 10))
 
 
+@query("knn_lists")
+def _(s, d):
+    index = ann.build(load(s, d, "embeddings"), "vec_id", "embedding", lists=16)
+    return rounded(ranked(index.search(catalog.vector_of(s, d, VEC), 20, probes=8)[0], "vec_id"))
+
+
 _SPARSE_SQL = r"""sp AS (SELECT doc_id, lang, w, count(*) AS n FROM (
   SELECT doc_id, lang, length(unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nl}]+'))) AS w FROM documents) GROUP BY ALL)"""
 _SPARSE_Q = {3: 0.5, 9: 2.0, 14: 1.5, 20: 4.0}
