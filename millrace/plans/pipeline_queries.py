@@ -27,6 +27,18 @@ SELECT *, row_number() OVER (PARTITION BY event_source, event_id ORDER BY receiv
 FROM ({_IDENTITY}) WHERE event_source IS NOT NULL AND event_id IS NOT NULL"""
 
 SQL = {
+    "p1_found": """
+WITH RECURSIVE r AS (SELECT rec_id, record_json::JSON AS j FROM live_records WHERE json_valid(record_json)),
+v AS (
+  SELECT r.rec_id, '/' || replace(replace(e.key, '~', '~0'), '/', '~1') AS path, '' AS parent, e.value AS j FROM r, json_each(coalesce(j->'$.fields', '{}'::JSON)) e
+  UNION ALL
+  SELECT v.rec_id, v.path || '/' || replace(replace(e.key, '~', '~0'), '/', '~1'),
+    CASE WHEN json_keys(v.j)[1] LIKE 'object%' THEN v.path ELSE v.parent END, e.value
+  FROM v, json_each(CASE WHEN json_keys(v.j)[1] LIKE 'object%' THEN coalesce(v.j->'$.objectValue.fields', v.j->'$.object_value.fields', '{}'::JSON)
+                         WHEN json_keys(v.j)[1] LIKE 'array%' THEN coalesce(v.j->'$.arrayValue.values', v.j->'$.array_value.values', '[]'::JSON) ELSE '{}'::JSON END) e
+  WHERE len(json_keys(v.j)) = 1),
+bad AS (SELECT DISTINCT rec_id FROM v WHERE len(json_keys(j)) <> 1)
+SELECT rec_id, path AS node_path, parent AS parent_path FROM v WHERE json_keys(j)[1] IN ('objectValue', 'object_value') AND rec_id NOT IN (FROM bad)""",
     "p2_found": f"SELECT delivery_id FROM ({_RANKED}) WHERE nth > 1",
     "p2_events": f"SELECT event_source, event_id, received_at, delivery_id, ce_type, spec_version, text_data FROM ({_RANKED}) WHERE nth = 1",
     "p5_found": """
