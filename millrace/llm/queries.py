@@ -33,7 +33,7 @@ def _recall(s, d):
 
 QUERIES = {
     "p3_found": lambda s, d: top_items(median_ranking(load(s, d, "scan_hits"))),
-    "p3_ranking": lambda s, d: positions(median_ranking(load(s, d, "scan_hits"))),
+    "p3_ranking": lambda s, d: positions(median_ranking(load(s, d, "scan_hits"))).withColumn("mean_rank", F.round("mean_rank", 6)),
     "p4_found": lambda s, d: mutual_pairs(load(s, d, "coll_vectors"), load(s, d, "vector_specs")),
     "p4_similar": lambda s, d: _listed(similar(load(s, d, "coll_vectors"), load(s, d, "vector_specs"), only=F.col("vec_id") % 100 == 0)),
     "p4_recall": _recall,
@@ -68,4 +68,29 @@ placed AS (
 
 SQL = {
     "p3_found": _P3 + "SELECT query_id, _id FROM placed WHERE position <= 5",
+    "p3_ranking": _P3 + "SELECT query_id, _id, median_rank, round(mean_rank, 6) AS mean_rank, position FROM placed",
+    "p4_found": """
+WITH spec AS (SELECT DISTINCT coll_name, vector_name, dim, distance_kind FROM vector_specs),
+u AS (SELECT coll_name, vector_name, distance_kind, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM coll_vectors JOIN spec USING (coll_name, vector_name)
+  WHERE embedding IS NOT NULL AND len(embedding) = dim AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND (distance_kind <> 'Cosine' OR len(list_filter(embedding, lambda x: x <> 0)) > 0)),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, a.distance_kind AS kind,
+    CASE a.distance_kind WHEN 'Cosine' THEN -list_cosine_similarity(a.e, b.e) ELSE list_distance(a.e, b.e) END AS far
+  FROM u a JOIN u b ON a.coll_name = b.coll_name AND a.vector_name = b.vector_name AND a.vec_id <> b.vec_id WHERE a.distance_kind IN ('Cosine', 'Euclid')),
+n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY far, b) AS place FROM p)
+  WHERE place <= 10 AND far <= CASE kind WHEN 'Cosine' THEN -0.98 ELSE 1.0 END)
+SELECT x.a AS vec_a, x.b AS vec_b FROM n x JOIN n y ON x.a = y.b AND x.b = y.a WHERE x.a < x.b""",
+    # counts words; any common tokenizer finds the same sources
+    "p7_found": r"""
+WITH d AS (SELECT lower(trim(source)) AS source_name, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS tokens FROM documents),
+t AS (SELECT m.source_name, target_share, max_repeats, coalesce(sum(tokens), 0) AS tokens FROM mix_targets m LEFT JOIN d USING (source_name) GROUP BY ALL)
+SELECT source_name FROM t WHERE target_share * (SELECT sum(tokens) FROM t) > max_repeats * tokens""",
+    "p8_found": """
+WITH g AS (
+  SELECT doc_id, i, md5(substring(text, CAST(i AS BIGINT) + 1, 300)) AS h FROM (
+    SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS i FROM documents WHERE length(text) >= 300)),
+s AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+c AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 300 THEN 0 ELSE 1 END AS new FROM g JOIN s USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM c)
+SELECT doc_id, min(i) AS span_start, max(i) + 300 AS span_end FROM n GROUP BY doc_id, no""",
 }
