@@ -90,8 +90,8 @@ def _(s, d):
 
 @query("knn_lists")
 def _(s, d):
-    index = ann.build(load(s, d, "embeddings"), "vec_id", "embedding", lists=16)
-    return rounded(ranked(index.search(catalog.vector_of(s, d, VEC), 20, probes=8)[0], "vec_id"))
+    index = ann.build(load(s, d, "embeddings"), "vec_id", "embedding")
+    return rounded(ranked(index.search(catalog.vector_of(s, d, VEC), 20)[0], "vec_id"))
 
 
 _SPARSE_SQL = r"""sp AS (SELECT doc_id, lang, w, count(*) AS n FROM (

@@ -25,7 +25,7 @@ def test_recall_and_pruning(spark, index):
     hits = 0
     for i in (0, 7, 55, 123, 400):
         query = df.where(F.col("vec_id") == i).first().embedding
-        found, how = index.search(query, 10, probes=6)
+        found, how = index.search(query, 10, probes=9)
         assert how == ann.POSTFILTER
         exact = retrieval.knn(df, "vec_id", "embedding", query, 10)
         hits += len({r.vec_id for r in found.collect()} & {r.vec_id for r in exact.collect()})
