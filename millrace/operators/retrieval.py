@@ -36,13 +36,6 @@ def knn_per_query(df: DataFrame, queries: DataFrame, pk: str, field: str, query_
     return pairs.withColumn("rank", place).where(F.col("rank") <= k)
 
 
-def _entries(df: DataFrame, pk: str, field: str, indices: Sequence[int]) -> DataFrame:
-    """(pk, index, value) of a sparse column's entries at the wanted indices."""
-    zipped = F.arrays_zip(F.col(f"{field}.indices").alias("index"), F.col(f"{field}.values").alias("value"))
-    wanted = F.filter(zipped, lambda e: e["index"].isin(list(indices)))
-    return df.select(pk, F.explode(wanted).alias("e")).select(pk, F.col("e.index").cast("long").alias("index"), F.col("e.value").cast("double").alias("value"))
-
-
 def check_sparse(indices: Sequence[int], values: Sequence[float]) -> None:
     import math
 
@@ -68,13 +61,11 @@ def sparse(df: DataFrame, pk: str, field: str, indices: Sequence[int], values: S
 
         weights = {i: w * math.log((row.n - row[f"d{j}"] + 0.5) / (row[f"d{j}"] + 0.5) + 1) for j, (i, w) in enumerate(weights.items())}
     rows = df if where is None else df.where(where)
-    weight = F.element_at(F.create_map(*[x for i, w in weights.items() for x in (F.lit(int(i)).cast("long"), F.lit(w))]), F.col("index"))
     # entries of a row lie together, so their products are summed in the row, without a shuffle
     zipped = F.arrays_zip(F.col(f"{field}.indices").alias("i"), F.col(f"{field}.values").alias("v"))
     shared = F.filter(zipped, lambda e: e["i"].isin(list(map(int, indices))))
     table = F.create_map(*[x for i, w in weights.items() for x in (F.lit(int(i)).cast("long"), F.lit(w))])
     total = F.aggregate(shared, F.lit(0.0), lambda a, e: a + F.element_at(table, e["i"].cast("long")) * e["v"].cast("double"))
-    del weight
     found = rows.where(F.size(shared) > 0).select(pk, total.alias("_score"))
     return top(found, pk, k)
 

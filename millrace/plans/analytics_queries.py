@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -258,15 +256,10 @@ def _(s, d):
     return oplog.pinned(rows, "partition", "offset", {0: 40, 3: 7}).select("event_id")
 
 
-@query("merge_tokens", "SELECT link_id, unnest(map_keys(applied)) AS part, unnest(map_values(applied)) AS next FROM pk_watermarks WHERE run_state = 'committed' QUALIFY true".replace(" QUALIFY true", ""))
+@query("merge_tokens", "SELECT part, max(next) AS next FROM (SELECT unnest(map_keys(applied)) AS part, unnest(map_values(applied)) AS next FROM pk_watermarks WHERE run_state = 'committed') GROUP BY part")
 def _(s, d):
     rows = load(s, d, "pk_watermarks").where("run_state = 'committed'")
-    return rows.select("link_id", F.explode("applied").alias("part", "next"))
-
-
-SQL["merge_tokens"] = f"SELECT link_id, part, max(next) AS next FROM ({SQL['merge_tokens']}) GROUP BY 1, 2"
-_inner_tokens = QUERIES["merge_tokens"]
-QUERIES["merge_tokens"] = lambda s, d: _inner_tokens(s, d).groupBy("link_id", "part").agg(F.max("next").alias("next"))
+    return oplog.merge_tokens(rows.select(F.explode("applied").alias("part", "next")), "part", "next")
 
 
 @query("validation", "SELECT row_key, list_filter([CASE WHEN TRY_CAST(json_extract_string(_source, '$.n') AS BIGINT) IS NULL AND json_extract_string(_source, '$.n') IS NOT NULL THEN 'n: not a value of i64' END, CASE WHEN tag IS NULL THEN 'tag: missing' END], lambda x: x IS NOT NULL) AS wrong FROM collection_rows")
@@ -436,5 +429,3 @@ def _(s, d):
     joined = inside.where("kind = 1").join(before.select("slot", "carried"), "slot")
     return joined.select("o_orderkey", F.coalesce("own", "carried").alias("event_id"))
 
-
-_ = json

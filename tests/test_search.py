@@ -204,7 +204,6 @@ def test_search_request(docs):
     c = Collection(docs, SCHEMA, {"v": kernels.COSINE}, "payload")
     request = {
         "retrievers": [{"text": {"query": {"match": {"field": "body", "text": "hot"}}, "k": 10}}, {"vector": {"field": "v", "query": [1.0, 0.0], "k": 3}}],
-        "filter": {"range": {"field": "id_", "gte": 0}} if False else None,
         "limit": 2, "fields": ["tag"], "source": {"include": ["k", "o.*"]}, "track_total_hits": "exact",
         "highlight": {"fields": [{"field": "body", "number_of_fragments": 0}]},
         "aggregations": {"t": {"terms": {"field": "tag"}}}, "group_by": {"field": "tag"},
