@@ -364,7 +364,7 @@ def _(s, d):
     return link.target.rows().select("partition", "offset")
 
 
-@query("stream_counters", "SELECT user_id, sum(event_id) AS total FROM events GROUP BY 1")
+@query("stream_counters", "SELECT user_id, CAST(sum(event_id) AS BIGINT) AS total FROM events GROUP BY 1")
 def _(s, d):
     sink = links.CounterSink(s, "user_id", "event_id")
     links.run_once(_staged(s, d), sink.apply)
@@ -409,7 +409,7 @@ _sql("sql_subqueries", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS tota
 _sql("sql_lateral_unnest", "SELECT p_partkey, word FROM part LATERAL VIEW explode(split(p_name, ' ')) t AS word", "part", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part")
 _sql("sql_case_cast", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.05 THEN 'high' WHEN l_discount > 0 THEN 'low' ELSE 'none' END AS band, CAST(l_quantity AS BIGINT) AS q FROM lineitem", "lineitem")
 _sql("sql_strings", "SELECT p_partkey, upper(p_name) AS u, substring(p_brand, 7) AS n, replace(p_type, 'O', '0') AS r, length(p_name) AS len, md5(p_name) AS h, reverse(p_type) AS rv FROM part", "part", "SELECT p_partkey, upper(p_name) AS u, substring(p_brand, 7) AS n, replace(p_type, 'O', '0') AS r, CAST(length(p_name) AS INTEGER) AS len, md5(p_name) AS h, reverse(p_type) AS rv FROM part")
-_sql("sql_dates", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, date_trunc('week', o_orderdate) AS w, datediff(TIMESTAMP '2001-01-01', o_orderdate) AS days FROM orders", "orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, date_trunc('week', o_orderdate)::TIMESTAMP AS w, CAST(date_diff('day', o_orderdate, TIMESTAMP '2001-01-01') AS INTEGER) AS days FROM orders")
+_sql("sql_dates", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP_NTZ) AS w, datediff(TIMESTAMP '2001-01-01', o_orderdate) AS days FROM orders", "orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, date_trunc('week', o_orderdate)::TIMESTAMP AS w, CAST(date_diff('day', o_orderdate, TIMESTAMP '2001-01-01') AS INTEGER) AS days FROM orders")
 _sql("sql_pricing_summary", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY l_returnflag, l_linestatus", "lineitem")
 
 

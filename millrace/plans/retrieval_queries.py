@@ -373,7 +373,7 @@ def _(s, d):
     return ranking.totals(load(s, d, "part").where("p_size > 20"), 100)
 
 
-@query("get_in_order", "SELECT CAST(i AS INTEGER) AS ordinal, k AS p_partkey, p_name FROM (VALUES (0, 9), (1, 3), (2, 99999999), (3, 9)) t(i, k) LEFT JOIN part ON p_partkey = k")
+@query("get_in_order", "SELECT CAST(i AS INTEGER) AS ordinal, CAST(k AS BIGINT) AS p_partkey, p_name FROM (VALUES (0, 9), (1, 3), (2, 99999999), (3, 9)) t(i, k) LEFT JOIN part ON p_partkey = k")
 def _(s, d):
     return ranking.get(load(s, d, "part").select("p_partkey", "p_name"), "p_partkey", [9, 3, 99999999, 9])
 
