@@ -38,7 +38,7 @@ class Quantiser:
     """``coarse`` gives each vector its cell; ``books`` are full-dimensional codebooks for what remains.
 
     With two levels a cell is a codeword of ``coarse`` and one of the first book. ``shards`` puts neighbouring cells
-    together; with two levels a shard is a codeword of ``coarse``.
+    together; with two levels a shard is a codeword of ``coarse`` and a group of neighbouring words of the first book.
     """
 
     kind: str
@@ -46,9 +46,13 @@ class Quantiser:
     books: np.ndarray  # stages x words x dim
     levels: int
     shards: np.ndarray  # of each coarse codeword
+    groups: np.ndarray  # of each word of the first book
 
     def shard_of(self, cells: np.ndarray) -> np.ndarray:
-        return self.shards[cells] if self.levels == 1 else cells // len(self.books[0])
+        if self.levels == 1:
+            return self.shards[cells]
+        size = len(self.books[0])
+        return cells // size * (int(self.groups.max()) + 1) + self.groups[cells % size]
 
     def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The ``probes`` nearest cells of each vector, the nearest first."""
@@ -136,7 +140,7 @@ def train(x: np.ndarray, kind: str, total: int, seed: int = 1) -> Quantiser:
         left = left - words[squared(left, words).argmin(1)]
         books.append(words)
     groups = kmeans(coarse, max(1, min(len(coarse), total // SHARD)), rng)
-    model = Quantiser(kind, coarse, np.stack(books), 2 if wanted > 2 * MOST_CELLS else 1, squared(coarse, groups).argmin(1))
+    model = Quantiser(kind, coarse, np.stack(books), 2 if wanted > 2 * MOST_CELLS else 1, squared(coarse, groups).argmin(1), np.zeros(size, np.int64))
     codes, _ = model.encode(x)
     column = codes[:, 1:].astype(np.int64) + np.arange(STAGES) * size
     gram = np.zeros((STAGES * size, STAGES * size))
@@ -150,4 +154,7 @@ def train(x: np.ndarray, kind: str, total: int, seed: int = 1) -> Quantiser:
     prior = model.books.reshape(-1, x.shape[1])
     solved = np.linalg.solve(gram + np.eye(len(gram)), right + prior)
     model.books = solved.reshape(model.books.shape).astype(np.float32)
+    if model.levels == 2:
+        first = model.books[0]
+        model.groups = squared(first, kmeans(first, max(1, min(size, total // (SHARD * len(coarse)))), rng)).argmin(1)
     return model

@@ -109,6 +109,9 @@ def test_encoding_reduces_the_error():
     scores = model.scores(x[:5], [codes[:, m].astype(np.intp) for m in range(codes.shape[1])], norms)
     direct = -((x[:5, None] - model.decode(codes)[None]) ** 2).sum(2) + (x[:5] ** 2).sum(1)[:, None]
     assert np.allclose(scores, direct, atol=1e-3)
-    model.levels = 2
+    model = train(x, "Euclid", 40_000_000)
+    assert model.levels == 2 and model.groups.max() > 0
     cells = model.cells(x, 8)
+    shards = model.shard_of(cells)
+    assert (shards // (model.groups.max() + 1) == cells // len(model.books[0])).all() and len(np.unique(shards)) > len(model.coarse)
     assert cells.shape == (2000, 8) and all(len(set(c)) == 8 for c in cells)
