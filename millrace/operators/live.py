@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import at_least, cut
+
 BY_CREATION = ("_creationTime",)
 
 
@@ -58,25 +60,23 @@ def touched(writes: DataFrame, read_sets: DataFrame, value: str = "value") -> Da
     """(query_id) of live queries whose read range holds a written value: ``read_sets`` has (query_id, low, high), null
     meaning no bound, both ends inclusive.
 
-    Ranges and values are brought together by cutting the line of written values into bins at their quantiles: a value
-    lies in one bin, a range is copied to the bins it meets, and bins join by equality.
+    A range is touched if the least written value from its low end on is not beyond its high end. Values and low ends
+    are put in one line, range-partitioned downwards and written; each partition carries the least value so far, and
+    takes over the least of the partitions above it (a row a partition). No pair of a value and a range is formed.
     """
-    w = writes.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    edges = w.agg(F.percentile_approx("v", F.array(*[F.lit(i / 64) for i in range(1, 64)]), 1000).alias("e")).first().e or []
-    edges = sorted(set(edges))
-    cut_points = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.expr("cast(array() as array<double>)")
-
-    def bin_of(c: Column) -> Column:
-        return F.size(F.filter(cut_points, lambda e: e < c))
-
-    low, high = F.col("low"), F.col("high")
-    bins = F.sequence(F.when(low.isNull(), F.lit(0)).otherwise(bin_of(low)), F.when(high.isNull(), F.lit(len(edges))).otherwise(bin_of(high)))
-    sane = low.isNull() | high.isNull() | (low <= high)
-    sets = read_sets.select("query_id", low.cast("double").alias("low"), high.cast("double").alias("high")).where(sane)
-    ranges = sets.withColumn("bin", F.explode(bins))
-    hit = w.distinct().withColumn("bin", bin_of(F.col("v"))).join(ranges, "bin")
-    inside = (F.col("low").isNull() | (F.col("v") >= F.col("low"))) & (F.col("high").isNull() | (F.col("v") <= F.col("high")))
-    return hit.where(inside).select("query_id").distinct()
+    part, least = "__part", "__least"
+    values = writes.select(F.col(value).cast("double").alias("v")).where("v is not null").distinct()
+    low, high = F.col("low").cast("double"), F.col("high").cast("double")
+    ranges = read_sets.select(F.coalesce(low, F.lit(float("-inf"))).alias("x"), F.lit(1).alias("kind"), "query_id", high.alias("high"), F.lit(None).cast("double").alias("v"))
+    line = ranges.unionByName(values.select(F.col("v").alias("x"), F.lit(0).alias("kind"), "v"), allowMissingColumns=True)
+    way = [F.col("x").desc(), F.col("kind"), F.col("query_id")]  # a value comes before the ranges that begin at it
+    line = cut(line.repartitionByRange(at_least(line.sparkSession), *way).withColumn(part, F.spark_partition_id()), "line")
+    above = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    carried = line.groupBy(part).agg(F.min("v").alias("v")).select(F.col(part).alias("__of"), F.min("v").over(above).alias("__carried"))
+    own = Window.partitionBy(part).orderBy(*way).rowsBetween(Window.unboundedPreceding, 0)
+    placed = line.withColumn(least, F.min("v").over(own)).where("kind = 1")
+    found = placed.join(carried, F.col(part) == F.col("__of")).withColumn(least, F.coalesce(least, "__carried"))
+    return found.where(F.col(least).isNotNull() & (F.col("high").isNull() | (F.col(least) <= F.col("high")))).select("query_id").distinct()
 
 
 def digest(results: DataFrame, query: str, columns: Sequence[str]) -> DataFrame:

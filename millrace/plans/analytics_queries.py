@@ -321,6 +321,13 @@ def _(s, d):
     return live.touched(load(s, d, "orders").where("o_orderkey < 40").select(F.col("o_totalprice").alias("value")), sets)
 
 
+@query("live_touched_all", "SELECT DISTINCT c_custkey AS query_id FROM customer, orders WHERE o_totalprice BETWEEN abs(c_acctbal) * 40 AND abs(c_acctbal) * 40 + 500")
+def _(s, d):
+    low = F.abs("c_acctbal") * 40
+    sets = load(s, d, "customer").select(F.col("c_custkey").alias("query_id"), low.alias("low"), (low + 500).alias("high"))
+    return live.touched(load(s, d, "orders").select(F.col("o_totalprice").alias("value")), sets)
+
+
 @query("live_changed", "SELECT DISTINCT user_id FROM events WHERE event_id % 50 = 0")
 def _(s, d):
     e = load(s, d, "events").select("user_id", "event_id", "value")

@@ -118,6 +118,27 @@ def test_live(spark):
     assert {r.g for r in live.changed(a, b, "g").collect()} == {"a", "c"}
 
 
+def test_touched_whole_line(spark, tmp_path):
+    rng = random.Random(3)
+    end = lambda: rng.choice([None, float("-inf"), round(rng.uniform(0, 100), 1)])
+    values = [rng.choice([None, 50.0, round(rng.uniform(0, 100), 1), round(rng.uniform(40, 41), 3)]) for _ in range(300)]
+    sets = [(i % 1900, 50.0 if i % 3 == 0 else end(), end() if i % 2 else round(rng.uniform(0, 100), 1)) for i in range(2000)]
+    sets += [(2000 + i, v, v) for i, v in enumerate(values) if v is not None] + [(3000, 101.0, None), (3001, None, -1.0), (3002, None, None)]
+    want = {i for i, lo, hi in sets if any(v is not None and (lo is None or v >= lo) and (hi is None or v <= hi) for v in values)}
+    writes, df = spark.createDataFrame([(v,) for v in values], "value double"), spark.createDataFrame(sets, "query_id int, low double, high double")
+    found = live.touched(writes, df)
+    got = [r.query_id for r in found.collect()]
+    assert set(got) == want and len(got) == len(want) and not {3000, 3001} & want
+    assert "query_id" in found.columns and len(live.touched(writes.limit(0), df).collect()) == 0
+
+    # the registered query takes every order: this one has a key far beyond the first forty
+    from millrace.plans.analytics_queries import QUERIES
+
+    spark.createDataFrame([(1, 10.0), (2, -20.0)], "c_custkey long, c_acctbal double").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, 5.0), (4000, 900.0)], "o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    assert {r.query_id for r in QUERIES["live_touched_all"](spark, str(tmp_path)).collect()} == {1, 2}
+
+
 def test_streams(spark, tmp_path):
     df = spark.range(60).selectExpr("cast(id % 3 as int) as partition", "id as offset", "id % 5 as k", "cast(id as string) as delta")
     df.repartitionByRange(4, "offset").write.parquet(str(tmp_path / "in"))
