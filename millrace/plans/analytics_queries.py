@@ -339,11 +339,19 @@ def _(s, d):
 # streaming: files of a log, one a batch
 
 
-def _staged(s, d, parts: int = 3):
-    """The events as a folder of files, in the order of their ids."""
+def _staged(s, d, parts: int = 3, closing: str | None = None):
+    """The events as a folder of files, read in the order of their ids.
+
+    Append mode gives out a window when the watermark has passed it. With ``closing`` a row follows the last event, that
+    much later, so that the windows of all events are given out; its own is not.
+    """
     path = fresh_path(s, "staged")
     e = catalog.op_log(s, d).withColumn("offset", F.col("event_id"))
+    if closing is not None:
+        last = e.agg((F.max("ts") + F.expr(f"interval {closing}")).alias("ts"), (F.max("event_id") + 1).alias("event_id"))
+        e = e.unionByName(last, allowMissingColumns=True)
     e.repartitionByRange(parts, "event_id").write.parquet(path)
+    links.order_files(s, path)
     return links.read_stream(s, path, e.schema)
 
 
@@ -380,12 +388,12 @@ def _(s, d):
 
 @query("stream_windows")
 def _(s, d):
-    return _to_table(s, links.windowed_counts(_staged(s, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour", "2 hours"))
+    return _to_table(s, links.windowed_counts(_staged(s, d, closing="4 hours").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour", "2 hours"))
 
 
 @query("stream_sessions")
 def _(s, d):
-    return _to_table(s, links.sessions(_staged(s, d).withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "30 minutes", "1 hour"))
+    return _to_table(s, links.sessions(_staged(s, d, closing="2 hours").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "30 minutes", "1 hour"))
 
 
 # operators that plain SQL brings

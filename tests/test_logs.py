@@ -165,6 +165,36 @@ def test_streams(spark, tmp_path):
         links.deduplicated(stream(), "offset", window_s=90_000)
 
 
+def test_stream_files_are_read_in_order(spark, tmp_path):
+    import os
+
+    path = str(tmp_path / "in")
+    spark.range(40).repartitionByRange(4, "id").write.parquet(path)
+    for k, name in enumerate(sorted(n for n in os.listdir(path) if n.startswith("part-"))):
+        os.utime(f"{path}/{name}", (1e9 - 60 * k, 1e9 - 60 * k))  # the last range was closed first
+    links.order_files(spark, path)
+    seen = []
+    links.run_once(links.read_stream(spark, path, "id long"), lambda b, i: seen.append(sorted(r.id for r in b.collect())))
+    assert len(seen) == 4 and [x for batch in seen for x in batch] == list(range(40))
+
+
+def test_streamed_windows_count_every_event(spark, tmp_path):
+    from collections import Counter
+    from datetime import datetime, timedelta
+
+    from millrace.plans.analytics_queries import QUERIES
+
+    at = [datetime(2024, 1, 1) + timedelta(minutes=11 * i) for i in range(900)]
+    rows = [(i, i % 7, "ab"[i % 2], float(i), at[i]) for i in range(900)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double, ts timestamp_ntz").write.parquet(str(tmp_path / "events.parquet"))
+    windows = QUERIES["stream_windows"](spark, str(tmp_path)).withColumn("start", F.col("start").cast("timestamp_ntz")).collect()
+    want = Counter((at[i].replace(minute=0), "ab"[i % 2]) for i in range(900))
+    assert {(r.start, r.event_type): r.n for r in windows} == want and len(windows) == len(want)
+    # a user has an event every 77 minutes, so each is a session
+    found = QUERIES["stream_sessions"](spark, str(tmp_path)).withColumn("start", F.col("start").cast("timestamp_ntz")).collect()
+    assert Counter((r.user_id, r.start, r.n) for r in found) == Counter((i % 7, at[i], 1) for i in range(900))
+
+
 def test_collection_tables(spark):
     table = collections.CollectionTable(spark, "id", {"a": "i64"})
     assert table.read() is None and table.scan_plan().count() == 0
