@@ -16,12 +16,23 @@ def top(df: DataFrame, pk: str, k: int) -> DataFrame:
     return df.orderBy(F.col("_score").desc(), F.col(pk).asc()).limit(k)
 
 
+def dense(df: DataFrame, pk: str, field: str, query: Sequence[float], distance: str = kernels.COSINE, where: Column | None = None) -> DataFrame:
+    """All rows with their score for a dense vector; a filter applies before any score. Rows without a vector or with one
+    of another length are left out."""
+    rows = df if where is None else df.where(where)
+    found = rows.select(F.col(pk), kernels.score(distance, F.col(field), kernels.literal(query)).alias("_score"))
+    return found.where("_score is not null")
+
+
 def knn(df: DataFrame, pk: str, field: str, query: Sequence[float], k: int, distance: str = kernels.COSINE, where: Column | None = None) -> DataFrame:
     """The ``k`` best rows for a dense vector, exactly; a filter applies before any score. Rows without a vector or
     with one of another length are no candidates."""
-    rows = df if where is None else df.where(where)
-    found = rows.select(F.col(pk), kernels.score(distance, F.col(field), kernels.literal(query)).alias("_score"))
-    return top(found.where("_score is not null"), pk, k)
+    return top(dense(df, pk, field, query, distance, where), pk, k)
+
+
+def at_least(df: DataFrame, pk: str, field: str, query: Sequence[float], least: float, distance: str = kernels.COSINE, where: Column | None = None) -> DataFrame:
+    """All rows that reach a score for a dense vector, however many, in no order."""
+    return dense(df, pk, field, query, distance, where).where(F.col("_score") >= least)
 
 
 def knn_per_query(df: DataFrame, queries: DataFrame, pk: str, field: str, query_pk: str, k: int, distance: str = kernels.COSINE) -> DataFrame:

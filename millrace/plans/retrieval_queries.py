@@ -360,7 +360,7 @@ def _(s, d):
 @query("score_threshold", f"SELECT vec_id, round({sim(kernels.COSINE, VEC)}, 6) AS _score FROM embeddings WHERE {sim(kernels.COSINE, VEC)} >= 0.2")
 def _(s, d):
     c = catalog.embeddings(s, d)
-    return rounded(retrieval.knn(c.df, "vec_id", "embedding", catalog.vector_of(s, d, VEC), 100_000).where(F.col("_score") >= 0.2))
+    return rounded(retrieval.at_least(c.df, "vec_id", "embedding", catalog.vector_of(s, d, VEC), 0.2))
 
 
 @query("total_exact", "SELECT count(*) AS value, 'eq' AS relation FROM part WHERE p_size > 20")

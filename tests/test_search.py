@@ -361,3 +361,13 @@ def test_token_columns(spark):
     for name in analyzers.ANALYZERS:
         got = [r[0] for r in df.select(analyzers.tokens(F.col("t"), name)).collect()]
         assert got[0] == analyzers.analyze(name, "The Größe's 2 rows x") and got[1] is None and got[2] == analyzers.analyze(name, "")
+
+
+def test_score_threshold_has_no_limit(spark, tmp_path):
+    from millrace.plans.retrieval_queries import QUERIES
+
+    v = F.when(F.col("id") % 1000 == 999, F.array(F.lit(-1.0), F.lit(0.0))).when(F.col("id") % 1000 == 998, F.array(F.lit(1.0))).otherwise(F.array(F.lit(1.0), F.lit(0.5)))
+    rows = spark.range(110_000).select(F.col("id").alias("vec_id"), F.lit(1).alias("label"), v.cast("array<float>").alias("embedding"))
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["score_threshold"](spark, str(tmp_path))
+    assert got.agg(F.count("*"), F.count_distinct("vec_id"), F.min("_score"), F.max("_score")).first()[:] == (109_780, 109_780, 1.0, 1.0)
