@@ -78,27 +78,28 @@ def acks(produced: DataFrame, partition: str) -> DataFrame:
 
 
 def fetch(log: DataFrame, partition: str, number: int, offset: int, max_bytes: int, size: Column) -> DataFrame:
-    """Records of one partition from an offset on, as many as fit in ``max_bytes`` but at least one, with the fetch's
-    ``next_offset`` and the partition's ``high_watermark`` and ``log_start`` repeated."""
+    """Records of one partition from an offset on, as many as fit in ``max_bytes`` but at least one, in order, with the
+    fetch's ``next_offset`` and the partition's ``high_watermark`` and ``log_start`` repeated. A null size counts 0."""
     own = log.where(F.col(partition) == number)
     ends = own.agg((F.max("offset") + 1).alias("high_watermark"), F.min("offset").alias("log_start"))
-    rows = own.where(F.col("offset") >= offset).withColumn("__size", size.cast("long"))
-    # no more than max_bytes records of a byte or more can fit, so the window sees a bounded head
-    head = rows.orderBy("offset").limit(min(max_bytes + 1, 1_000_000))
-    before = F.coalesce(F.sum("__size").over(Window.orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    taken = head.withColumn("__before", before).where((F.col("__before") + F.col("__size") <= max_bytes) | (F.col("__before") == 0)).drop("__before", "__size")
-    next_offset = (F.max("offset").over(Window.partitionBy()) + 1).alias("next_offset")
-    return taken.select("*", next_offset).join(F.broadcast(ends))  # one row
+    # the end is found over offsets and sizes alone, by running sums; the records themselves are only filtered
+    sizes = own.where(F.col("offset") >= offset).select("offset", F.coalesce(size.cast("long"), F.lit(0)).alias("__size"))
+    placed = running_sum(sizes, [], ["offset"], "__size", "__before")
+    fits = F.max(F.when(F.col("__before") + F.col("__size") <= max_bytes, F.col("offset")))
+    end = placed.agg((F.coalesce(fits, F.min("offset")) + 1).alias("next_offset"))
+    bounds = end.crossJoin(ends)
+    taken = own.join(F.broadcast(bounds), (F.col("offset") >= offset) & (F.col("offset") < F.col("next_offset")))  # one row
+    return taken.select(*log.columns, "next_offset", "high_watermark", "log_start").orderBy("offset")
 
 
 def retain(log: DataFrame, partition: str, at: str, newest: Column, max_age_s: int | None, size: Column | None = None, max_bytes: int | None = None) -> DataFrame:
     """Records that retention keeps: not older than ``max_age_s`` before ``newest``, and within the last ``max_bytes`` of
-    their partition (the record that crosses the bound goes)."""
+    their partition (the record that crosses the bound goes). A null size counts 0."""
     rows = log
     if max_age_s is not None:
         rows = rows.where(F.col(at) >= newest - F.expr(f"interval {int(max_age_s)} seconds"))
     if max_bytes is not None and size is not None:
-        sized = rows.withColumn("__size", size.cast("long")).withColumn("__down", -F.col("offset"))
+        sized = rows.withColumn("__size", F.coalesce(size.cast("long"), F.lit(0))).withColumn("__down", -F.col("offset"))
         rows = running_sum(sized, [partition], ["__down"], "__size", "__newer")
         rows = rows.where(F.col("__newer") + F.col("__size") <= max_bytes).drop("__size", "__down", "__newer")
     return rows

@@ -96,6 +96,20 @@ def test_log_operators(spark):
     assert {(r.p, r.backlog) for r in log.backlog(rows, spark.createDataFrame([(0, 4)], "p int, applied long"), "p").collect()} == {(0, 6), (1, 15), (2, 1)}
 
 
+def test_null_sizes_and_many_small_records(spark):
+    values = [None, "xxx", None, "x" * 50, None, "xx", None]
+    rows = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "p int, offset long, v string")
+    ask = lambda offset, most: [(r.offset, r.next_offset) for r in log.fetch(rows, "p", 0, offset, most, F.length("v")).collect()]
+    assert ask(0, 5) == [(0, 3), (1, 3), (2, 3)]  # the fourth does not fit, though nothing with a size comes before the second
+    assert ask(2, 5) == [(2, 3)] and ask(3, 5) == [(3, 4)] and ask(4, 9) == [(4, 7), (5, 7), (6, 7)] and ask(7, 9) == []
+    assert ask(0, 0) == [(0, 1)] and ask(6, 0) == [(6, 7)]
+    kept = lambda most: sorted(r.offset for r in log.retain(rows, "p", "at", F.lit(None), None, F.length("v"), most).collect())
+    assert kept(5) == [4, 5, 6] and kept(52) == [2, 3, 4, 5, 6] and kept(1) == [6]
+    # empty payloads take no room
+    many = spark.range(1_200_000).select(F.lit(0).alias("p"), F.col("id").alias("offset"), F.lit("").alias("v"))
+    assert log.fetch(many, "p", 0, 100, 2_000_000, F.length("v")).agg(F.count("*"), F.max("next_offset")).first()[:] == (1_199_900, 1_200_000)
+
+
 def test_counters(spark):
     df = spark.createDataFrame([("a", "1"), ("a", "x"), ("a", None), ("b", "-4"), (None, "9")], "k string, d string")
     assert {tuple(r) for r in log.counters(df, "k", "d").collect()} == {("a", 1, 1, 2), ("b", -4, 1, 0)}
