@@ -54,9 +54,15 @@ class Quantiser:
         size = len(self.books[0])
         return cells // size * (int(self.groups.max()) + 1) + self.groups[cells % size]
 
-    def cells(self, x: np.ndarray, probes: int) -> np.ndarray:
-        """The ``probes`` nearest cells of each vector, the nearest first."""
-        near = squared(x, self.coarse)
+    def cells(self, x: np.ndarray, probes: int, asks: bool = False) -> np.ndarray:
+        """The ``probes`` nearest cells of each vector, the nearest first. Of vectors that ask under Dot: the nearest
+        cell, where their copies are, and the ``probes`` cells whose middles have the highest products with them."""
+        if not asks or self.kind != "Dot":
+            return self._best_cells(x, probes, False)
+        return np.concatenate((self._best_cells(x, 1, False), self._best_cells(x, probes, True)), 1)
+
+    def _best_cells(self, x: np.ndarray, probes: int, by_product: bool) -> np.ndarray:
+        near = -(x @ self.coarse.T) if by_product else squared(x, self.coarse)
         p = min(probes, near.shape[1])
         first = _least(near, p)
         if self.levels == 1:
@@ -67,7 +73,10 @@ class Quantiser:
         for j in range(p):
             rest = x - self.coarse[first[:, j]]
             cut = slice(j * len(words), (j + 1) * len(words))
-            pairs[:, cut] = squared(rest, words) + (rest**2).sum(1)[:, None]
+            if by_product:
+                pairs[:, cut] = np.take_along_axis(near, first[:, j : j + 1], 1) - x @ words.T
+            else:
+                pairs[:, cut] = squared(rest, words) + (rest**2).sum(1)[:, None]
             ids[:, cut] = first[:, j : j + 1] * len(words) + np.arange(len(words))
         return np.take_along_axis(ids, _least(pairs, min(probes, pairs.shape[1])), 1)
 

@@ -132,7 +132,7 @@ ROW = "space string, shard long, id long, codes array<short>, norm float, vector
 
 def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame:
     """Vectors in their shards: for the index the one of the nearest cell, with codes and norms; for queries those of
-    the ``probes`` nearest cells, each once."""
+    the ``probes`` nearest cells (under Dot, see ``Quantiser.cells``), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,7 +140,7 @@ def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame
                 model = models.value[space]
                 own = b.column("vector").take(pa.array(at))
                 x = _matrix(own, model.kind)
-                shards = np.sort(model.shard_of(model.cells(x, probes)), axis=1)
+                shards = np.sort(model.shard_of(model.cells(x, probes, not encoded)), axis=1)
                 new = np.concatenate((np.ones((len(at), 1), bool), shards[:, 1:] != shards[:, :-1]), 1)
                 row, column = np.nonzero(new)
                 ids = b.column("class_id").take(pa.array(at))

@@ -115,3 +115,38 @@ def test_encoding_reduces_the_error():
     shards = model.shard_of(cells)
     assert (shards // (model.groups.max() + 1) == cells // len(model.books[0])).all() and len(np.unique(shards)) > len(model.coarse)
     assert cells.shape == (2000, 8) and all(len(set(c)) == 8 for c in cells)
+
+
+@pytest.mark.parametrize("kind", KINDS)
+def test_recall_over_many_shards(spark, kind):
+    """Cells and shards as of twenty times the rows, so that a query sees a part of them."""
+    rng = np.random.default_rng(11)
+    n, k = 3000, 10
+    centres = rng.normal(size=(60, 16)) * 1.5
+    x = (centres[rng.integers(0, 60, n)] + rng.normal(size=(n, 16)) * 0.7) * np.exp(rng.uniform(-1, 1, (n, 1)) * (1.5 if kind == "Dot" else 0.7))
+    x = x.astype(np.float32)
+    x[7] = x[5] * np.float32(0.01)  # under Dot far from what it finds
+    model = train(neighbours.unit(x) if kind == "Cosine" else x, kind, 20 * n)
+    asks = np.arange(0, n, 10) + np.arange(300) % 10
+    frame = lambda ids: spark.createDataFrame([("s", kind, int(i), bytearray(x[i].tobytes())) for i in ids], "space string, kind string, class_id long, vector binary")
+    found = {r.id: [h.class_id for h in r.hits] for r in neighbours.nearest_classes(frame(range(n)), frame(asks), {"s": model}, k).collect()}
+    assert found.keys() == set(asks.tolist())
+    q = neighbours.unit(x) if kind == "Cosine" else x
+    own = model.shard_of(model.cells(q, 1)[:, 0])
+    probed = model.shard_of(model.cells(q[asks], neighbours.PROBES, True))
+    scanned = np.mean([np.isin(own, p).mean() for p in probed])
+    right = 0
+    for i in asks:
+        scores = np.array([score(kind, x[i], v) for v in x]) if kind == "Manhattan" else q @ q[i] if kind in ("Cosine", "Dot") else -((q - q[i]) ** 2).sum(1)
+        right += len(set(np.argsort(-scores)[:k].tolist()) & set(found[int(i)]))
+    assert scanned < 0.6 and right / (k * len(asks)) > 0.9, (scanned, right / (k * len(asks)))
+
+
+def test_cells_of_two_levels_under_dot():
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(2000, 12)).astype(np.float32)
+    model = train(x, "Dot", 40_000_000)
+    cells, size = model.cells(x[:50], 8, True), len(model.books[0])
+    assert model.levels == 2 and cells.shape == (50, 9) and (cells[:, :1] == model.cells(x[:50], 1)).all()
+    product = np.einsum("nd,nkd->nk", x[:50], model.coarse[cells // size] + model.books[0][cells % size])[:, 1:]
+    assert (np.diff(product, axis=1) <= 1e-3).all() and (product[:, 0] > product[:, -1]).all()
