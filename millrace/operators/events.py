@@ -19,17 +19,18 @@ def with_identity(deliveries: DataFrame) -> DataFrame:
     return deliveries.withColumn("event_source", part("source")).withColumn("event_id", part("id"))
 
 
-def stored_events(deliveries: DataFrame, payload: tuple[str, ...] = ()) -> DataFrame:
+def stored_events(deliveries: DataFrame, payload: tuple[str, ...] = (), replay: tuple[int, ...] = ()) -> DataFrame:
     """Exactly one delivery of each event, the least by (received_at, delivery_id); a null time comes last.
 
-    The deliveries are upserted into a ``KeyedStore`` by (source, id), as runs of batches, and compacted. Deliveries
+    The deliveries are upserted into a ``KeyedStore`` by (source, id), one ingest window of batches after the other, and
+    the runs are compacted. ``replay`` names windows that are delivered a second time, which changes nothing. Deliveries
     without an identity are not stored. An empty input gives no rows.
     """
     store = KeyedStore(deliveries.sparkSession, ["event_source", "event_id"], ["received_at", "delivery_id"], payload)
-    rows = with_identity(deliveries).select("event_source", "event_id", "received_at", "delivery_id", *payload, "batch_id")
-    store.upsert(rows, F.pmod(F.col("batch_id"), F.lit(RUNS)))
-    kept = store.compact()
-    return kept.withColumn("delivery_id", F.col("delivery_id").cast("long"))
+    rows = with_identity(deliveries).select("event_source", "event_id", "received_at", F.col("delivery_id").cast("long").alias("delivery_id"), *payload, F.pmod(F.coalesce("batch_id", F.lit(0)), F.lit(RUNS)).alias("__window"))
+    for window in (*range(RUNS), *replay):
+        store.upsert(rows.where(F.col("__window") == window), window)
+    return store.compact()
 
 
 def repeated_deliveries(deliveries: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from dataclasses import dataclass
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import cut
+
 #: The kinds of a Value in both proto JSON spellings.
 KINDS = {
     "nullValue": "null", "null_value": "null",
@@ -24,7 +26,10 @@ KINDS = {
     "objectValue": "object", "object_value": "object",
 }
 
-OCCURRENCE = "rec_id long, node_path string, parent_path string, object_hash string, parent_hash string, ordinal int, content string"
+PARSED = "rec_id long, object_hash string, content string"
+
+#: Levels that are followed one by one before the steps double.
+LEVELS = 24
 
 
 class Unsound(ValueError):
@@ -127,13 +132,15 @@ def _members(holder, name: str, kind: type):
     return inner
 
 
+_LONE = re.compile("[\ud800-\udfff]")
+
+
 def shred(text: str | None) -> list[list] | None:
-    """The objects of a record in document order, the record itself first, each as
-    ``[path, parent path, hash, parent's hash, ordinal, content]``; None for an unsound record.
+    """The objects of a record, the record itself first, each as ``[hash, content]``; None for an unsound record.
 
-    ``content`` lists the object's own values as ``[pointer, kind, text]`` sorted by pointer; a nested object stands
-    there as its hash, a list as its length, so the content is canonical and its digest is the object's identity.
-    ``ordinal`` counts the objects directly held by the same parent occurrence, in document order.
+    ``content`` lists the object's own values as ``[pointer, kind, text]`` in the order of names and list positions; a
+    nested object stands there as its hash, a list as its length. So the content is canonical, its digest is the
+    object's identity, and the whole subtree can be followed from it. Lone surrogates stay as JSON escapes.
     """
     if text is None:
         return None
@@ -141,17 +148,14 @@ def shred(text: str | None) -> list[list] | None:
         record = parse(text)
         if not isinstance(record, dict):
             return None
-        root = ["", None, None, None, 0, []]
-        nodes, parents = [root], [-1]
+        nodes: list[list] = [[None, []]]
         work = [(0, _members(record, "fields", dict))]
-        held = [0]
         while work:
             k, fields = work.pop()
-            node = nodes[k]
-            path, content = node[0], node[5]
-            todo = [("/" + _escape(name), v) for name, v in reversed(fields.items())]
+            content = nodes[k][1]
+            todo = [("/" + _escape(name), (name,), v) for name, v in fields.items()]
             while todo:
-                rel, value = todo.pop()
+                rel, order, value = todo.pop()
                 if not isinstance(value, dict) or len(value) != 1:
                     raise Unsound(rel)
                 (spelt, inner), = value.items()
@@ -160,86 +164,111 @@ def shred(text: str | None) -> list[list] | None:
                     raise Unsound(spelt)
                 if kind == "array":
                     values = _members(inner, "values", list)
-                    content.append([rel, kind, str(len(values))])
-                    todo.extend((f"{rel}/{i}", values[i]) for i in range(len(values) - 1, -1, -1))
+                    content.append((order, rel, kind, str(len(values))))
+                    todo.extend((f"{rel}/{i}", (*order, i), v) for i, v in enumerate(values))
                 elif kind == "object":
-                    nodes.append([path + rel, path, None, None, held[k], []])
-                    parents.append(k)
-                    held[k] += 1
-                    held.append(0)
+                    nodes.append([None, []])
                     work.append((len(nodes) - 1, _members(inner, "fields", dict)))
-                    content.append([rel, kind, len(nodes) - 1])
+                    content.append((order, rel, kind, len(nodes) - 1))
                 else:
-                    content.append([rel, kind, _scalar(kind, inner)])
+                    content.append((order, rel, kind, _scalar(kind, inner)))
     except (ValueError, RecursionError):
         return None
-    for k in range(len(nodes) - 1, -1, -1):  # children come after their parents
-        node = nodes[k]
-        for entry in node[5]:
-            if entry[1] == "object":
-                entry[2] = nodes[entry[2]][2]
-        node[5] = json.dumps(sorted(node[5], key=lambda e: e[0]), ensure_ascii=False, separators=(",", ":"))
-        node[2] = blake2b(node[5].encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-    for k in range(1, len(nodes)):
-        nodes[k][3] = nodes[parents[k]][2]
+    for node in reversed(nodes):  # children come after their parents
+        entries = [[rel, kind, nodes[v][0] if kind == "object" else v] for _, rel, kind, v in sorted(node[1], key=lambda e: e[0])]
+        text = json.dumps(entries, ensure_ascii=False, separators=(",", ":"))
+        node[1] = text if text.isascii() else _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+        node[0] = blake2b(node[1].encode(), digest_size=16).hexdigest()
     return nodes
 
 
-def _clean(text: str | None) -> str | None:
-    """Lone surrogates cannot be stored as UTF-8; they become question marks."""
-    if text is None or text.isascii():
-        return text
-    return text.encode("utf-8", "replace").decode("utf-8")
-
-
-def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types = [("rec_id", pa.int64()), ("node_path", pa.string()), ("parent_path", pa.string()), ("object_hash", pa.string()), ("parent_hash", pa.string()), ("ordinal", pa.int32()), ("content", pa.string())]
-    schema = pa.schema(types)
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each sound record with the hash of its root, and one for each distinct object of a batch."""
+    schema = pa.schema([("rec_id", pa.int64()), ("object_hash", pa.string()), ("content", pa.string())])
     for batch in batches:
-        seen: set[str] = set()
-        out: list[list] = [[] for _ in types]
+        seen: dict[str, str] = {}
+        roots: list[tuple] = []
         for rec_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            for path, parent, own, above, ordinal, content in shred(text) or ():
-                row = (rec_id, _clean(path), _clean(parent), own, above, ordinal, None if own in seen else _clean(content))
-                seen.add(own)
-                for column, x in zip(out, row):
-                    column.append(x)
-            if len(out[0]) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, types)], schema=schema)
-                out = [[] for _ in types]
-        if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(out, types)], schema=schema)
+            nodes = shred(text)
+            if nodes:
+                roots.append((rec_id, nodes[0][0]))
+                seen.update(nodes)
+            if len(seen) > 20_000:
+                yield _rows(roots, seen, schema)
+                seen, roots = {}, []
+        yield _rows(roots, seen, schema)
+
+
+def _rows(roots: list[tuple], seen: dict[str, str], schema: pa.Schema) -> pa.RecordBatch:
+    ids, hashes = zip(*roots) if roots else ((), ())
+    columns = ([*ids, *[None] * len(seen)], [*hashes, *seen], [*[None] * len(roots), *seen.values()])
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 @dataclass
 class FlatTables:
-    """``occurrences`` has a row for each object of each record (the record itself has path ''), with its parent's path
-    and its place among its siblings; ``objects`` holds each distinct object once; ``fields`` its scalar and list
-    entries; ``bridge`` links a distinct parent to its distinct children at their pointers and ordinals."""
+    """``records`` (rec_id, object_hash) has each sound record with its root object; ``objects`` (object_hash, content)
+    holds each distinct object once; ``fields`` its scalar and list entries; ``bridge`` links a distinct parent to its
+    children at their pointers, with ordinals in the order of names and list positions."""
 
-    occurrences: DataFrame
+    records: DataFrame
     objects: DataFrame
     fields: DataFrame
     bridge: DataFrame
 
+    def occurrences(self, levels: int = LEVELS) -> DataFrame:
+        """(rec_id, node_path, parent_path, object_hash): every object of every record, the record itself with path ''
+        and no parent, followed from the roots through the bridge.
+
+        A level is a join with the bridge, written once; beyond ``levels`` the steps double (the links of two steps, of
+        four, ...), so a chain of any depth takes a number of joins that grows with its logarithm.
+        """
+        level = self.records.select("rec_id", F.lit("").alias("node_path"), F.lit(None).cast("string").alias("parent_path"), "object_hash")
+        step = self.bridge.select("parent_hash", "child_hash", F.col("pointer").alias("path"), F.lit("").alias("above"))
+        found = level
+        for _ in range(levels):
+            level = cut(_followed(level, step), "level")
+            if level.isEmpty():
+                return found
+            found = found.unionByName(level)
+        deep = level
+        while not (more := cut(_followed(deep, step), "level")).isEmpty():
+            found, deep = found.unionByName(more), deep.unionByName(more)
+            on = step.select(F.col("parent_hash").alias("child_hash"), F.col("child_hash").alias("end"), F.col("path").alias("on"), F.col("above").alias("on_above"))
+            step = cut(step.join(on, "child_hash").select("parent_hash", F.col("end").alias("child_hash"), F.concat("path", "on").alias("path"), F.concat("path", "on_above").alias("above")), "steps")
+        return found
+
+
+def _followed(level: DataFrame, step: DataFrame) -> DataFrame:
+    joined = level.join(step, level["object_hash"] == step["parent_hash"])
+    return joined.select("rec_id", F.concat("node_path", "path").alias("node_path"), F.concat("node_path", "above").alias("parent_path"), F.col("child_hash").alias("object_hash"))
+
 
 def flatten_records(records: DataFrame, id_col: str = "rec_id", json_col: str = "record_json") -> FlatTables:
     """Flat tables of the sound records; a null, broken or rule-breaking record gives no rows anywhere.
 
-    Records are parsed where they lie, without a shuffle; only distinct objects are shuffled, by hash, and each task
-    sends an object's content once a batch. A repeated name in a JSON object keeps its last value. Any nesting depth.
+    Records are parsed once, where they lie, and written as roots and objects; all tables come from these. Each task
+    sends an object's content once a batch, and only distinct objects are shuffled, by hash; bridge and fields are
+    unfolded from them. A repeated name in a JSON object keeps its last value. Any nesting depth.
     """
     rows = records.select(F.col(id_col).cast("long").alias("rec_id"), F.col(json_col).cast("string").alias("record_json"))
-    found = rows.mapInArrow(_occurrences, OCCURRENCE)
-    objects = found.where("content is not null").groupBy("object_hash").agg(F.min("content").alias("content"))
-    entry = F.explode(F.from_json("content", "array<array<string>>")).alias("e")
-    entries = objects.select("object_hash", entry).select("object_hash", F.col("e")[0].alias("pointer"), F.col("e")[1].alias("kind"), F.col("e")[2].alias("value"))
-    links = found.where("parent_hash is not null").select(
-        "parent_hash", F.col("object_hash").alias("child_hash"), F.expr("substring(node_path, length(parent_path) + 1)").alias("pointer"), "ordinal"
-    )
-    return FlatTables(found.drop("content"), objects, entries.where("kind <> 'object'"), links.distinct())
+    parsed = cut(rows.mapInArrow(_parsed, PARSED), "parsed")
+    objects = cut(parsed.where("content is not null").groupBy("object_hash").agg(F.min("content").alias("content")), "objects")
+    entry = F.posexplode(F.from_json("content", "array<array<string>>")).alias("at", "e")
+    entries = objects.select("object_hash", entry).select("object_hash", "at", F.col("e")[0].alias("pointer"), F.col("e")[1].alias("kind"), F.col("e")[2].alias("value"))
+    held = F.row_number().over(Window.partitionBy("object_hash").orderBy("at")) - 1  # what one object holds itself
+    links = entries.where("kind = 'object'").select(F.col("object_hash").alias("parent_hash"), F.col("value").alias("child_hash"), "pointer", held.alias("ordinal"))
+    return FlatTables(parsed.where("content is null").select("rec_id", "object_hash"), objects, entries.where("kind <> 'object'").drop("at"), links)
 
 
 def nested_objects(records: DataFrame) -> DataFrame:
-    """(rec_id, node_path, parent_path) of every object value below a sound record's fields."""
-    return flatten_records(records).occurrences.where("node_path <> ''").select("rec_id", "node_path", "parent_path")
+    """(rec_id, node_path, parent_path) of every object value below a sound record's fields: the occurrences that root
+    hashes and bridge lead to."""
+    return flatten_records(records).occurrences().where("parent_path is not null").select("rec_id", "node_path", "parent_path")
+
+
+def field_rows(records: DataFrame) -> DataFrame:
+    """(rec_id, field_path, kind) of every scalar and list of every record: each occurrence with its object's fields."""
+    tables = flatten_records(records)
+    found = tables.occurrences().join(tables.fields, "object_hash")
+    return found.select("rec_id", F.concat("node_path", "pointer").alias("field_path"), "kind")

@@ -12,6 +12,7 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_cuts: list[str] = []
 
 
 def get_session(cores: int | str = 8, **conf: str) -> SparkSession:
@@ -54,10 +55,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset (tests), a folder of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a
+    folder of our own; on a cluster, where every executor would write to its own disk, it is an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _own:
         path = tempfile.mkdtemp(prefix="millrace-")
         atexit.register(shutil.rmtree, path, True)
@@ -77,9 +81,19 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     ship(df.sparkSession)
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
+    _cuts.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables that ``cut`` has written so far, once the results that read them are done with."""
+    paths, _cuts[:] = list(_cuts), []
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def at_least(spark: SparkSession, low: int = 12) -> int:
     """Shuffle partitions of the session, ``low`` or more."""
     return max(low, int(spark.conf.get("spark.sql.shuffle.partitions")))

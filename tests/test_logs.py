@@ -171,14 +171,55 @@ def test_streams(spark, tmp_path):
     assert len(calls) == 4 and link.target.rows().count() == 60
     assert {(r.partition, r.applied) for r in link.applied().collect()} == {(0, 58), (1, 59), (2, 60)}
     assert {(r.k, r.total) for r in sink.read().collect()} == {(k, sum(range(k, 60, 5))) for k in range(5)}
-    queries = links.LiveQueries(lambda s: s, "k", ["offset"])
-    for i, rows in enumerate([df, df, df.where("k <> 3")]):
-        queries.apply(rows, i)
-    assert queries.published == [(0, [0, 1, 2, 3, 4]), (1, []), (2, [3])]
+    sink.compact()
+    assert {(r.k, r.total) for r in sink.read().collect()} == {(k, sum(range(k, 60, 5))) for k in range(5)} and list(sink.runs.entries()) == [-1]
     with pytest.raises(ValueError):
         links.deduplicated(stream(), "offset", window_s=90_000)
 
 
+def test_link_takes_late_records_once(spark):
+    link = links.Link(spark)
+    frame = lambda offsets: spark.createDataFrame([(0, o) for o in offsets], "partition int, offset long")
+    for offsets, total in (((5, 6, 6), 2), ((5, 6), 2), ((2, 6, 9), 4), ((2,), 4), ((3, 9, 10), 6)):
+        link.apply(frame(offsets))
+        assert link.target.rows().count() == total
+    assert [tuple(r) for r in link.applied().collect()] == [(0, 11)]
+
+
+def test_documents_of_a_stream(spark):
+    rows = random_log(300) + [("u", 300, "upsert", "{broken", None, None, None), ("v", 301, "frob", "{}", None, None, None), ("v", 302, "patch", "[1]", None, None, None)]
+    state = {}
+    for k, _, *op in rows[:300]:
+        if k is not None:
+            state[k] = apply_op(state.get(k), *op)
+    sink = links.CollectionSink(spark, "k")
+    frame = lambda part: spark.createDataFrame([(*r, 0, r[1]) for r in part], OPS + ", partition int, offset long")
+    for i, at in enumerate(range(0, 303, 101)):
+        sink.apply(frame(rows[at : at + 101]), i)
+        sink.apply(frame(rows[at : at + 101]), i)
+    assert {r.k: json.loads(r.doc) for r in sink.read().collect()} == {k: v for k, v in state.items() if v is not None}
+    reasons = {(r.at, r.reason) for r in sink.dead_letters().collect()}
+    assert {(300, "broken document"), (301, "unknown operation"), (302, "no object")} < reasons and len(reasons) == 3 + sum(r[0] is None for r in rows)
+
+
+def test_live_queries_rerun_what_is_touched(spark):
+    sets = spark.createDataFrame([(q, 10.0 * q, 10.0 * q + 9) for q in range(5)], "q int, low double, high double")
+    asked = []
+
+    def evaluate(state, wanted):
+        asked.append(sorted(r.q for r in wanted.collect()))
+        return state.join(sets.join(wanted, "q"), F.col("v").between(F.col("low"), F.col("high"))).select("q", "v")
+
+    state = lambda values: spark.createDataFrame([(float(v),) for v in values], "v double")
+    queries = links.LiveQueries(spark, sets, evaluate, "q", ["v"], "v")
+    steps = [([1, 12, 33], None, {0, 1, 3}), ([1, 12, 33], [12, 44], set()), ([1, 33, 35], [12, 35, 99], {1, 3}), ([1, 33, 35, 13], [13], {1})]
+    for i, (values, writes, want) in enumerate(steps):
+        got = queries.apply(state(values), None if writes is None else state(writes), i)
+        assert {r.q for r in got.collect()} == want, i
+    assert asked == [[0, 1, 2, 3, 4], [1, 4], [1, 3], [1]]
+    assert {tuple(r) for r in queries.published().collect()} == {(i, q) for i, (_, _, want) in enumerate(steps) for q in want}
+
+
 def test_stream_files_are_read_in_order(spark, tmp_path):
     import os
 
