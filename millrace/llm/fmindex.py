@@ -1,4 +1,4 @@
-"""A compressed full-text index of many texts: BWT in a wavelet matrix, with marks for repeated L-grams."""
+"""A compressed full-text index of many texts: BWT in a wavelet matrix, and matching statistics by backward search."""
 
 from __future__ import annotations
 
@@ -51,15 +51,15 @@ class WaveletMatrix:
         return place if absolute else place - self.base[symbol]
 
 
-def suffix_array(text: np.ndarray, sigma: int, snapshot: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The suffix array; also ranks of all suffixes by their first d symbols, and that d: the largest reached that is
-    at most ``snapshot``, or 0 if all suffixes already differ within fewer symbols.
+def suffix_array(text: np.ndarray, sigma: int, enough: int) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+    """Suffixes in order of their first ``enough`` symbols at least (those that agree so far stand in any order); and, for
+    each depth on the way, the classes of suffixes that agree in so many symbols, by their first row; -1 at the end.
 
     Prefix doubling from packed symbols; each round sorts only the suffixes that still tie.
     """
     n = len(text)
     bits = max(1, int(sigma).bit_length())  # one more symbol for the end
-    pack = max(1, min(62 // bits, snapshot, 8))
+    pack = max(1, min(62 // bits, enough, 8))
     key = np.zeros(n, np.int64)
     padded = np.concatenate((text.astype(np.int64) + 1, np.zeros(pack, np.int64)))
     for k in range(pack):
@@ -71,34 +71,72 @@ def suffix_array(text: np.ndarray, sigma: int, snapshot: int) -> tuple[np.ndarra
     rank = np.empty(n + 1, np.int64)
     rank[n] = -1
     rank[order] = starts
-    depth, kept, kept_depth = pack, None, 0
-    while True:
+    depth, levels = pack, [(pack, rank.astype(np.int32))]
+    while depth < enough:
         tied = ~fresh
         tied[:-1] |= ~fresh[1:]
         slots = np.flatnonzero(tied)
-        if depth <= snapshot:
-            kept, kept_depth = (rank[:n].copy(), depth) if depth * 2 > snapshot else (None, depth)
         if not len(slots):
-            return order, kept, 0 if kept is None else kept_depth
+            break
         at = order[slots]
         key = rank[at] * (n + 2) + rank[np.minimum(at + depth, n)] + 1
         by = np.argsort(key)
         at, key = at[by], key[by]
         order[slots] = at
         fresh[slots] = np.concatenate(([True], key[1:] != key[:-1]))
-        begin = np.maximum.accumulate(np.where(fresh[slots], slots, 0))
-        rank[at] = begin
+        rank[at] = np.maximum.accumulate(np.where(fresh[slots], slots, 0))
         depth *= 2
+        levels.append((depth, rank.astype(np.int32)))
+    return order, levels
+
+
+def common_prefixes(text: np.ndarray, order: np.ndarray, levels: list[tuple[int, np.ndarray]], most: int) -> np.ndarray:
+    """Of each row and the row before it, the symbols they have in common, ``most`` at most; 0 for the first row."""
+    n = len(text)
+    a, b = order[:-1], order[1:]
+    size = np.zeros(max(n - 1, 0), np.int64)
+    for depth, rank in reversed(levels):
+        size += depth * (rank[np.minimum(a + size, n)] == rank[np.minimum(b + size, n)])
+    ended = np.append(text.astype(np.int64), -1)
+    going = size < most
+    for _ in range(levels[0][0] - 1):
+        going &= (ended[np.minimum(a + size, n)] == ended[np.minimum(b + size, n)]) & (b + size < n) & (a + size < n)
+        size += going
+    return np.concatenate((np.zeros(min(n, 1), np.int64), np.minimum(size, most)))
+
+
+class Minima:
+    """The least entry of any range, from the least ones of all ranges whose lengths are powers of two."""
+
+    def __init__(self, x: np.ndarray):
+        self.rows = [x]
+        while 1 << len(self.rows) <= len(x):
+            last, half = self.rows[-1], 1 << len(self.rows) - 1
+            self.rows.append(np.minimum(last[:-half], last[half:]))
+        self.log = np.zeros(len(x) + 2, np.int8)
+        for k in range(1, len(self.rows) + 1):
+            self.log[1 << k :] = k
+
+    def least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Over ``first`` to ``last``, both inclusive and first <= last."""
+        level = self.log[last - first + 1]
+        out = np.empty(len(first), self.rows[0].dtype)
+        for k in np.unique(level):
+            at = np.flatnonzero(level == k)
+            row = self.rows[k]
+            out[at] = np.minimum(row[first[at]], row[last[at] - (1 << int(k)) + 1])
+        return out
 
 
 class FMIndex:
-    """Index of ``texts`` (arrays of code points), each with an owner range (least and greatest document).
+    """Index of the texts of a shard (arrays of code points), each with the least and greatest document that holds it.
 
-    Only the BWT, the counts of symbols and one bit a row are kept for the search: the bit tells whether the ``length``
-    symbols at the row's suffix occur in texts of two different owners.
+    The search uses the BWT in a wavelet matrix and the counts of symbols. Beside them lie, for matching statistics, the
+    common prefixes of neighbouring rows (up to ``most`` symbols) and for each row the nearest rows before and after it
+    that belong to another document; a text that several documents hold is another one to everything.
     """
 
-    def __init__(self, texts: list[np.ndarray], low: np.ndarray, high: np.ndarray, length: int):
+    def __init__(self, texts: list[np.ndarray], low: np.ndarray, high: np.ndarray, most: int):
         size = np.array([len(t) for t in texts], np.int64)
         joined = np.concatenate([x for t in texts for x in (t, [0])]).astype(np.uint32)
         ends = np.cumsum(size + 1) - 1
@@ -108,68 +146,66 @@ class FMIndex:
         symbols = np.searchsorted(self.alphabet, joined) + 1
         symbols[is_end] = 0
         sigma = len(self.alphabet) + 1
-        n = len(symbols)
-        order, ranks, depth = suffix_array(symbols, sigma, length)
-        bwt = symbols[order - 1]
+        self.n = n = len(symbols)
+        self.most = most
+        order, levels = suffix_array(symbols, sigma, most)
         self.counts = np.concatenate(([0], np.cumsum(np.bincount(symbols, minlength=sigma))))
-        self.matrix = WaveletMatrix(bwt, sigma)
-        self.n = n
-        shared = np.zeros(n, bool)
-        if depth:
-            owner = np.repeat(np.arange(len(texts)), size + 1)
-            whole = ends[owner] - np.arange(n) >= length
-            rows = np.flatnonzero(whole[order])
-            at = order[rows]
-            same = (ranks[at[1:]] == ranks[at[:-1]]) & (ranks[at[1:] + length - depth] == ranks[at[:-1] + length - depth])
-            first = np.flatnonzero(np.concatenate(([True], ~same))) if len(rows) else np.zeros(0, np.int64)
-            if len(rows):
-                least = np.minimum.reduceat(low[owner[at]], first)
-                most = np.maximum.reduceat(high[owner[at]], first)
-                shared[rows] = np.repeat(least != most, np.diff(np.append(first, len(rows))))
-        else:
-            owner = np.repeat(np.arange(len(texts)), size + 1)
-            whole = ends[owner] - np.arange(n) >= length
-            shared[:] = (whole & (low != high)[owner])[order]
-        self.shared = BitVector(shared)
+        self.matrix = WaveletMatrix(symbols[order - 1], sigma)
+        common = common_prefixes(symbols, order, levels, most)
+        # rows that agree in ``most`` symbols are one class, whatever their order
+        self.first = np.maximum.accumulate(np.where(common < most, np.arange(n), 0)).astype(np.int32)
+        self.minima = Minima(common.astype(np.uint16 if most < 1 << 16 else np.int32))
+        owner = np.repeat(np.arange(len(texts)), size + 1)[order]
+        several = (low != high)[owner]
+        document = low[owner]
+        turn = np.concatenate(([True], (document[1:] != document[:-1]) | several[1:] | several[:-1]))  # from the row before
+        self.before = np.maximum.accumulate(np.where(turn, np.arange(n), 0)) - 1  # -1: none
+        nearest = np.minimum.accumulate(np.where(turn, np.arange(n), n)[::-1])[::-1]
+        self.after = np.append(nearest[1:], n)  # n: none
+        self.shared_texts = low != high
+
+    def _elsewhere(self, row: np.ndarray) -> np.ndarray:
+        """The symbols that a row has in common with the nearest rows of other documents, the greater number."""
+        out = np.zeros(len(row), np.int64)
+        for near, ok in ((self.before[row], self.before[row] >= 0), (self.after[row], self.after[row] < self.n)):
+            at = np.flatnonzero(ok)
+            a, b = np.minimum(row[at], near[at]) + 1, np.maximum(row[at], near[at])
+            out[at] = np.maximum(out[at], self.minima.least(a, b))
+        return out
 
-    def shared_starts(self, texts: list[np.ndarray], length: int) -> list[np.ndarray]:
-        """For each streamed text the positions whose matching statistic reaches ``length`` in another document.
+    def matching_statistics(self, texts: list[np.ndarray]) -> list[np.ndarray]:
+        """For each position of each streamed text, one of the shard's, the length of the longest match from there on with
+        another document, ``most`` at most.
 
-        Backward search of all texts side by side, the longest first: the interval of the suffix read so far is narrowed
-        by one symbol a step. Once ``length`` symbols are matched, the bit of the interval's row answers. A symbol that
-        the index lacks ends a text's search with what it has.
+        Backward search of all texts side by side, the longest first. A step leads from the first row that begins with
+        what has been read to the first that begins with one symbol more; from ``most`` symbols on, to the first of those
+        that agree in as many. The text's own row is always among these rows, so the search itself does not fail; the
+        nearest rows of other documents say how far the match with them goes.
         """
         size = np.array([len(t) for t in texts], np.int64)
         rank = np.argsort(-size, kind="stable")
         sizes = size[rank]
         flat = np.concatenate([texts[k] for k in rank]) if len(texts) else np.zeros(0, np.uint32)
-        place = np.searchsorted(self.alphabet, flat)
-        known = self.alphabet[np.minimum(place, len(self.alphabet) - 1)] == flat
-        symbols = np.where(known, place + 1, -1)
+        symbols = np.searchsorted(self.alphabet, flat) + 1
         ends = np.cumsum(sizes)
-        lo, hi = np.zeros(len(rank), np.int64), np.full(len(rank), self.n, np.int64)
-        alive = np.ones(len(rank), bool)
-        hit_text, hit_at = [], []
+        whole = self.shared_texts[rank]
+        lo, length = np.zeros(len(rank), np.int64), np.zeros(len(flat), np.int32)
         for step in range(int(sizes[0]) if len(sizes) else 0):
             active = int(np.searchsorted(-sizes, -step, "left"))  # texts longer than ``step``
-            symbol = symbols[ends[:active] - 1 - step]
-            bad = symbol < 0
-            safe = np.where(bad, 0, symbol)
-            both = self.matrix.rank(np.concatenate((safe, safe)), np.concatenate((lo[:active], hi[:active])))
-            lo[:active] = self.counts[safe] + both[:active]
-            hi[:active] = self.counts[safe] + both[active:]
-            alive[:active] &= ~bad & (hi[:active] > lo[:active])
-            if step + 1 >= length:
-                hit = np.flatnonzero(alive[:active])
-                hit = hit[self.shared.get(lo[hit]) == 1]
-                hit_text.append(hit)
-                hit_at.append(sizes[hit] - 1 - step)
-        out = [np.zeros(0, np.int64)] * len(texts)
-        if hit_text:
-            text, at = np.concatenate(hit_text), np.concatenate(hit_at)
-            by = np.lexsort((at, text))
-            text, at = text[by], at[by]
-            cuts = np.searchsorted(text, np.arange(len(rank) + 1))
-            for k, original in enumerate(rank):
-                out[original] = at[cuts[k] : cuts[k + 1]]
+            place = ends[:active] - 1 - step
+            symbol = symbols[place]
+            row = self.counts[symbol] + self.matrix.rank(symbol, lo[:active])
+            read = step + 1
+            if read >= self.most:
+                row = self.first[row].astype(np.int64)
+                read = self.most
+            lo[:active] = row
+            length[place] = np.where(whole[:active], read, np.minimum(self._elsewhere(row), read))
+        out: list[np.ndarray] = [length[:0]] * len(texts)
+        for k, original in enumerate(rank):
+            out[original] = length[ends[k] - sizes[k] : ends[k]]
         return out
+
+    def shared_starts(self, texts: list[np.ndarray], length: int) -> list[np.ndarray]:
+        """The positions of each text from which at least ``length`` symbols match in another document."""
+        return [np.flatnonzero(x >= length) for x in self.matching_statistics(texts)]

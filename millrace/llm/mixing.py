@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import base64
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ranged import running_sum
@@ -28,12 +30,22 @@ def counter(tokenizer: str):
         return lambda text: len(word.findall(text))
     import tiktoken
 
-    with open(tokenizer, "rb") as f:
+    sent = SparkFiles.get(os.path.basename(tokenizer))
+    with open(sent if os.path.exists(sent) else tokenizer, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     encoding = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(encoding.encode_ordinary(text))
 
 
+def send(spark: SparkSession, tokenizer: str) -> None:
+    """Gives a vocabulary file of the driver to all executors, once for each Spark context."""
+    context = spark.sparkContext
+    sent = getattr(context, "_millrace_sent", set())
+    if tokenizer != "words" and tokenizer not in sent:
+        context.addFile(tokenizer)
+        context._millrace_sent = sent | {tokenizer}
+
+
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, source_name, tokens) of every document, whole texts; a null text has 0 tokens.
 
@@ -46,6 +58,7 @@ def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
             n = pa.array([tokens(t) if t else 0 for t in b.column(2).to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], ["doc_id", "source_name", "tokens"])
 
+    send(documents.sparkSession, tokenizer)
     source = F.lower(F.regexp_replace("source", r"^\s+|\s+$", ""))
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), source.alias("source_name"), "text").mapInArrow(
         count, "doc_id long, source_name string, tokens long"
@@ -61,7 +74,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, to
     copies of a document. The prefix sums are computed in ranges, so a source of any size spreads over tasks. A null
     cap means 1, a null share 0. Documents of unlisted or null sources are not drawn, a listed source without documents
     is reported with 0 tokens. Documents without tokens are drawn with their neighbours at no cost.
-    Report: source_name, target_share, max_repeats, tokens, wanted, drawn, actual_share, reachable.
+    Report: source_name, target_share, max_repeats, tokens, wanted, drawn, actual_share, reachable. A source is out of
+    reach if what was drawn is all that its cap allows and yet less than wanted.
     """
     wanted = targets.select("source_name", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(1)).cast("long").alias("max_repeats"))
     counts = cut(token_counts(documents, tokenizer).join(wanted.select("source_name"), "source_name", "left_semi"), "tokens")
@@ -86,5 +100,5 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, to
     report = report.withColumn("all_drawn", F.sum("drawn").over(Window.partitionBy(F.lit(0))))
     share = F.coalesce(F.col("drawn") / F.when(F.col("all_drawn") > 0, F.col("all_drawn")), F.lit(0.0))
     return drawn, report.select(
-        "source_name", "target_share", "max_repeats", "tokens", "wanted", "drawn", share.alias("actual_share"), (F.col("wanted") <= F.col("capacity")).alias("reachable")
+        "source_name", "target_share", "max_repeats", "tokens", "wanted", "drawn", share.alias("actual_share"), (~((F.col("drawn") >= F.col("capacity")) & (F.col("drawn") < F.col("wanted")))).alias("reachable")
     )

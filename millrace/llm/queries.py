@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from millrace.llm.contamination import leaks
@@ -31,6 +34,17 @@ def _recall(s, d):
     return found.select("queries", F.round("recall", 3).alias("recall"))
 
 
+def _budgets(s, d):
+    """The report with words as tokens, and whether each source came within one document of its budget."""
+    drawn, report = mix(load(s, d, "documents"), load(s, d, "mix_targets"), "words")
+    size = drawn.groupBy("source_name").agg(F.max("tokens").alias("largest"), F.max("copies").alias("most"))
+    joined = report.join(size, "source_name", "left")
+    budget = F.least(F.col("wanted"), (F.col("max_repeats") * F.col("tokens")).cast("double"))
+    near = (F.col("drawn") <= budget) & (budget - F.col("drawn") < F.greatest(F.coalesce("largest", F.lit(0)), F.lit(1)) + F.lit(0.5))
+    near = near & (F.coalesce("most", F.lit(0)) <= F.col("max_repeats"))
+    return joined.select("source_name", "tokens", F.round("wanted", 3).alias("wanted"), "reachable", near.alias("kept"))
+
+
 QUERIES = {
     "p3_found": lambda s, d: top_items(median_ranking(load(s, d, "scan_hits"))),
     "p3_ranking": lambda s, d: positions(median_ranking(load(s, d, "scan_hits"))).withColumn("mean_rank", F.round("mean_rank", 6)),
@@ -42,6 +56,7 @@ QUERIES = {
     "p7_found": lambda s, d: mix(load(s, d, "documents"), load(s, d, "mix_targets"))[1].where("not reachable").select("source_name"),
     "p7_drawn": lambda s, d: mix(load(s, d, "documents"), load(s, d, "mix_targets"))[0],
     "p7_shares": lambda s, d: mix(load(s, d, "documents"), load(s, d, "mix_targets"))[1],
+    "p7_budgets": _budgets,
     "p8_found": lambda s, d: shared_spans(load(s, d, "documents")),
     "p8_shares": lambda s, d: shared_shares(load(s, d, "documents"), shared_spans(load(s, d, "documents"))),
 }
@@ -66,6 +81,36 @@ placed AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY median_rank, round(mean_rank, 9), _id) AS position FROM ranking)
 """
 
+_SPANS = """
+WITH g AS (
+  SELECT doc_id, i, md5(substring(text, CAST(i AS BIGINT) + 1, 300)) AS h FROM (
+    SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS i FROM documents WHERE length(text) >= 300)),
+s AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+c AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 300 THEN 0 ELSE 1 END AS new FROM g JOIN s USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM c),
+f AS (SELECT doc_id, min(i) AS span_start, max(i) + 300 AS span_end FROM n GROUP BY doc_id, no)
+"""
+
+# words after normalisation, and their runs of twelve; the compatibility forms that strip_accents leaves are written out
+def _compatible(text: str) -> str:
+    """SQL for the compatibility forms that strip_accents leaves: single characters, and ligatures of letters."""
+    forms = {chr(c): unicodedata.normalize("NFKD", chr(c)) for c in range(0xA0, sys.maxunicode + 1) if not 0xD800 <= c < 0xE000}
+    single = {c: f for c, f in forms.items() if len(f) == 1 and f != c and unicodedata.normalize("NFD", c) == c and f not in "'"}
+    out = f"translate({text}, '{''.join(single)}', '{''.join(single.values())}')"
+    for c in map(chr, range(0xFB00, 0xFB07)):
+        out = f"replace({out}, '{c}', '{forms[c]}')"
+    return out
+
+
+_PLAIN = "lower(strip_accents(nfc_normalize(" + _compatible("regexp_replace(regexp_replace(text, '<[^>]*>', ' ', 'g'), '[\\p{Cf}]', '', 'g')") + ")))"
+_LEAKS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_PLAIN}, '[\p{{L}}\p{{N}}]+') AS t FROM documents),
+e AS (SELECT item_id, regexp_extract_all({_PLAIN}, '[\p{{L}}\p{{N}}]+') AS t FROM eval_items),
+dg AS (SELECT doc_id, array_to_string(t[i : i + 11], ' ') AS w FROM (SELECT doc_id, t, unnest(range(1, len(t) - 10)) AS i FROM d WHERE len(t) >= 12)),
+eg AS (SELECT DISTINCT item_id, array_to_string(t[i : i + 11], ' ') AS w FROM (SELECT item_id, t, unnest(range(1, len(t) - 10)) AS i FROM e WHERE len(t) >= 12)),
+l AS (SELECT doc_id, item_id, count(*) AS windows FROM dg JOIN eg USING (w) GROUP BY ALL)
+"""
+
 SQL = {
     "p3_found": _P3 + "SELECT query_id, _id FROM placed WHERE position <= 5",
     "p3_ranking": _P3 + "SELECT query_id, _id, median_rank, round(mean_rank, 6) AS mean_rank, position FROM placed",
@@ -85,12 +130,18 @@ SELECT x.a AS vec_a, x.b AS vec_b FROM n x JOIN n y ON x.a = y.b AND x.b = y.a W
 WITH d AS (SELECT lower(trim(source)) AS source_name, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS tokens FROM documents),
 t AS (SELECT m.source_name, target_share, max_repeats, coalesce(sum(tokens), 0) AS tokens FROM mix_targets m LEFT JOIN d USING (source_name) GROUP BY ALL)
 SELECT source_name FROM t WHERE target_share * (SELECT sum(tokens) FROM t) > max_repeats * tokens""",
-    "p8_found": """
-WITH g AS (
-  SELECT doc_id, i, md5(substring(text, CAST(i AS BIGINT) + 1, 300)) AS h FROM (
-    SELECT doc_id, text, unnest(range(0, length(text) - 299)) AS i FROM documents WHERE length(text) >= 300)),
-s AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)),
-c AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER w + 300 THEN 0 ELSE 1 END AS new FROM g JOIN s USING (h) WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-n AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS no FROM c)
-SELECT doc_id, min(i) AS span_start, max(i) + 300 AS span_end FROM n GROUP BY doc_id, no""",
+    "p6_found": _LEAKS + "SELECT doc_id, item_id FROM l",
+    "p6_items": _LEAKS
+    + """SELECT item_id, suite, CAST(coalesce(documents, 0) AS BIGINT) AS documents, CAST(coalesce(windows, 0) AS BIGINT) AS windows
+FROM eval_items LEFT JOIN (SELECT item_id, count(*) AS documents, sum(windows) AS windows FROM l GROUP BY item_id) USING (item_id)""",
+    "p7_budgets": r"""
+WITH d AS (SELECT lower(trim(source)) AS source_name, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS tokens FROM documents),
+t AS (SELECT m.source_name, target_share, max_repeats, coalesce(sum(tokens), 0) AS tokens FROM mix_targets m LEFT JOIN d USING (source_name) GROUP BY ALL)
+SELECT source_name, CAST(tokens AS BIGINT) AS tokens, round(target_share * (SELECT sum(tokens) FROM t), 3) AS wanted,
+  target_share * (SELECT sum(tokens) FROM t) <= max_repeats * tokens AS reachable, true AS kept FROM t""",
+    "p8_found": _SPANS + "SELECT doc_id, span_start, span_end FROM f",
+    "p8_shares": _SPANS
+    + """, k AS (SELECT doc_id, sum(span_end - span_start) AS n FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(length(text), 0) AS chars, CAST(coalesce(n, 0) AS BIGINT) AS shared_chars,
+  CASE WHEN length(text) > 0 THEN coalesce(n, 0) / length(text) ELSE 0.0::DOUBLE END AS shared_share FROM documents LEFT JOIN k USING (doc_id)""",
 }

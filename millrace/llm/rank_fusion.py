@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.operators.ranged import running_sum
+from millrace.session import cut
 
 KEYS = ["query_id", "retriever", "_id"]
 
@@ -32,9 +33,10 @@ def median_ranking(hits: DataFrame, weights: dict[str, float] | None = None) ->
     Every item gets a rank in each list of its query: items absent from a list share the mean of the places after its
     end. ``median_rank`` is the lower weighted median of these ranks (``weights`` by retriever, 1 where not given, more
     than 0), ``mean_rank`` their weighted mean. Only ranks enter, so neither range nor distribution of a score counts.
-    What is gathered by item or query is one entry per retriever.
+    What is gathered by item or query is one entry per retriever. The ranks are written once and read by both lists and
+    items.
     """
-    ranks = hit_ranks(hits)
+    ranks = cut(hit_ranks(hits), "ranks")
     lists = ranks.groupBy("query_id", "retriever").agg(F.count("*").alias("len"))
     of_query = lists.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("retriever", "len"))).alias("lists"))
     items = ranks.groupBy("query_id", "_id").agg(F.map_from_entries(F.collect_list(F.struct("retriever", "rank"))).alias("own"))

@@ -9,28 +9,26 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from millrace.llm.fmindex import FMIndex
 from millrace.llm.textcodes import codes_of, mix64, powers, prefix
 from millrace.session import cut
 
-#: Characters of a span, of an indexed shard, and scanned at once; distinct segments of one anchor that a shard takes.
-LENGTH, SHARD_CHARS, BATCH_CHARS, HOT = 300, 1_500_000, 300_000, 1_000
+#: Characters of a span, of an indexed shard, and scanned at once; distinct segments of one anchor that a shard takes;
+#: lengths of anchors, as shares of a span's, that are tried one after the other where an anchor has more.
+LENGTH, SHARD_CHARS, BATCH_CHARS, CROWD = 300, 1_500_000, 300_000, 1_000
+ANCHORS = (1 / 3, 2 / 3, 9 / 10, 1)
 
 
-def _grams(sums: np.ndarray, inverse: np.ndarray, start: np.ndarray | slice, size) -> np.ndarray:
-    return (sums[start + size] - sums[start]) * inverse[start]
-
-
-def winnow(texts: list[str], length: int) -> tuple[np.ndarray, ...]:
+def winnow(texts: list[str], length: int, k: int) -> tuple[np.ndarray, ...]:
     """Segments of the texts, as arrays (text, start, starts, anchor, digest).
 
-    Every start of a ``length``-gram belongs to the anchor of that gram: its k-gram with the least hash (the first of
-    equals), k being a third of ``length``. Neighbouring starts with one anchor form a segment, which covers the text
-    from ``start`` for ``starts`` + ``length`` - 1 characters. The anchor depends on nothing but the gram, so equal
-    grams of any two texts lie in segments with equal anchors.
+    Every start of a ``length``-gram belongs to the anchor of that gram: its ``k``-gram with the least hash (the first of
+    equals). Neighbouring starts with one anchor form a segment, which covers the text from ``start`` for ``starts`` +
+    ``length`` - 1 characters. The anchor depends on nothing but the gram, so equal grams of any two texts lie in
+    segments with equal anchors. The digest is of the segment's characters, by another hash than the anchor's.
     """
-    k = max(1, length // 3)
     width = length - k + 1
     codes = codes_of("".join(texts))
     n = len(codes)
@@ -60,7 +58,8 @@ def winnow(texts: list[str], length: int) -> tuple[np.ndarray, ...]:
     text = np.searchsorted(ends, first, "right")
     inside = first + length <= ends[text]
     first, many, text = first[inside], many[inside], text[inside]
-    digest = mix64(_grams(sums, inverse, first, many + length - 1) + many.astype(np.uint64))
+    raw = memoryview(codes).cast("B")
+    digest = np.fromiter((xxh3_64_intdigest(raw[4 * i : 4 * j]) for i, j in zip(first.tolist(), (first + many + length - 1).tolist())), np.uint64, len(first))
     return text, first - begin[text], many, gram[least[first]], digest
 
 
@@ -83,14 +82,14 @@ def _pieces(texts: list[str | None], length: int) -> Iterator[tuple[list[int], l
         yield rows, offsets, parts
 
 
-def segments(documents: DataFrame, length: int) -> DataFrame:
+def segments(documents: DataFrame, length: int, k: int) -> DataFrame:
     """(anchor, digest, doc_id, start, starts) of all segments of all texts, computed where the texts lie."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy(zero_copy_only=False)
             for rows, offsets, parts in _pieces(b.column(1).to_pylist(), length):
-                text, start, starts, anchor, digest = winnow(parts, length)
+                text, start, starts, anchor, digest = winnow(parts, length, k)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(anchor.view(np.int64)),
@@ -130,7 +129,8 @@ def _cut_out(documents: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 
 
 def _search(length: int):
-    """Builds the index of a shard and streams the shard's segments through it."""
+    """Builds the index of a shard, streams the shard's segments through it and reports where matches with other
+    documents reach ``length``, as ranges of starts."""
 
     def run(table: pa.Table) -> pa.Table:
         texts = [codes_of(t) for t in table.column("piece").to_pylist()]
@@ -151,46 +151,89 @@ def _search(length: int):
     return run
 
 
-def shared_spans(documents: DataFrame, length: int = LENGTH, shard_chars: int = SHARD_CHARS, hot: int = HOT) -> DataFrame:
+def _shared(all_segments: DataFrame) -> DataFrame:
+    """The segments whose anchor occurs in several documents."""
+    of_anchor = all_segments.groupBy("anchor").agg(F.min("low").alias("l"), F.max("high").alias("h")).where("l <> h")
+    return cut(all_segments.join(of_anchor.select("anchor"), "anchor", "left_semi"), "candidates")
+
+
+def _distinct(shared: DataFrame) -> DataFrame:
+    """Equal segments as one, with the least and greatest document that holds them and one place to read them from."""
+    found = shared.groupBy("anchor", "digest").agg(F.min(F.struct("doc_id", "start", "starts")).alias("one"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return cut(found.select("anchor", "digest", "one.*", "low", "high"), "distinct")
+
+
+def _finer(pieces: DataFrame, length: int, k: int) -> DataFrame:
+    """Distinct segments winnowed again with longer anchors: segments of segments, at their places in both."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for rows, offsets, parts in _pieces(b.column("piece").to_pylist(), length):
+                text, start, starts, anchor, digest = winnow(parts, length, k)
+                row = pa.array(np.array(rows, np.int64)[text])
+                at = (start + np.array(offsets, np.int64)[text]).astype(np.int32)
+                of = {n: b.column(n).take(row) for n in ("anchor", "digest", "doc_id", "start", "low", "high")}
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(anchor.view(np.int64)), pa.array(digest.view(np.int64)), of["doc_id"], pa.array(of["start"].to_numpy() + at), pa.array(starts.astype(np.int32)), of["low"], of["high"], of["anchor"], of["digest"], pa.array(at)],
+                    ["anchor", "digest", "doc_id", "start", "starts", "low", "high", "of_anchor", "of_digest", "offset"],
+                )
+
+    return pieces.mapInArrow(scan, "anchor long, digest long, doc_id long, start int, starts int, low long, high long, of_anchor long, of_digest long, offset int")
+
+
+def _hits(documents: DataFrame, distinct: DataFrame, length: int, anchors: tuple[float, ...], shard_chars: int, crowd: int) -> DataFrame:
+    """(anchor, digest, first, last): the starts of each distinct segment whose ``length``-grams another document holds.
+
+    Segments are sharded by anchor. Those of an anchor that too many share are winnowed again with the next longer
+    anchors, which tell apart more of them and leave out what occurs in one document only; when the anchor is the whole
+    gram, equal segments are equal grams and nothing is left to search.
+    """
+    if len(anchors) == 1:
+        return distinct.where("low <> high").select("anchor", "digest", F.lit(0).alias("first"), (F.col("starts") - 1).alias("last"))
+    crowded = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("anchor")
+    crowded = cut(distinct.join(crowded, "anchor", "left_semi"), "crowded")
+    some = not crowded.isEmpty()
+    few = distinct.join(crowded.select("anchor").distinct(), "anchor", "left_anti") if some else distinct
+    total = few.agg(F.sum(F.col("starts") + length)).first()[0] or 0
+    shards = max(1, math.ceil(total / shard_chars))
+    indexed = _cut_out(documents, few, length).withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    hits = indexed.groupBy("shard").applyInArrow(_search(length), "anchor long, digest long, first int, last int")
+    if not some:
+        return hits
+    places = crowded.select("*", F.col("doc_id").alias("of_doc"), F.col("start").alias("of_start"))
+    pieces = _cut_out(documents, places, length).withColumnsRenamed({"of_doc": "doc_id", "of_start": "start"})
+    shared = _shared(_finer(pieces, length, _anchor(length, anchors[1])))
+    found = _hits(documents, _distinct(shared), length, anchors[1:], shard_chars, crowd)
+    back = shared.select("anchor", "digest", "of_anchor", "of_digest", "offset").join(found, ["anchor", "digest"])
+    return hits.unionByName(back.select(F.col("of_anchor").alias("anchor"), F.col("of_digest").alias("digest"), (F.col("offset") + F.col("first")).alias("first"), (F.col("offset") + F.col("last")).alias("last")))
+
+
+def _anchor(length: int, share: float) -> int:
+    return max(1, math.floor(length * share))
+
+
+def shared_spans(documents: DataFrame, length: int = LENGTH, shard_chars: int = SHARD_CHARS, crowd: int = CROWD) -> DataFrame:
     """(doc_id, span_start, span_end): maximal stretches of a text all of whose characters lie in some ``length``-gram
     that another document also holds; code points, end exclusive.
 
     Each gram has an anchor that depends on it alone; segments whose anchor occurs in one document only cannot share
-    anything and are left out. Equal segments collapse to one, whatever their number. The texts of the remaining ones
-    are sharded by anchor into FM-indexes of about ``shard_chars`` characters, and each shard's segments are streamed
-    through its index. An anchor with more than ``hot`` distinct segments would unbalance its shard: its grams are
-    compared by exact grouping instead, spread by the whole gram. Null, empty and short texts have no spans; a stretch
-    that one document repeats for itself is not shared. Documents need distinct ids.
+    anything and are left out. Equal segments collapse to one, whatever their number (equal in two independent 64-bit
+    hashes). The texts of the remaining ones are sharded by anchor into FM-indexes of about ``shard_chars`` characters;
+    each shard's segments are streamed through its index, which gives for every position how far the text matches
+    another document, and ranges that reach ``length`` are reported. Where more than ``crowd`` distinct segments share an
+    anchor they are sharded by longer anchors within it, so a passage that a third of all documents quote in different
+    surroundings makes no shard too large. Null, empty and short texts have no spans; a stretch that one document repeats
+    for itself is not shared. Documents need distinct ids.
     """
-    all_segments = cut(segments(documents, length), "segments")
-    of_anchor = all_segments.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high")
-    shared = cut(all_segments.join(of_anchor.select("anchor"), "anchor", "left_semi"), "candidates")
-    distinct = shared.groupBy("anchor", "digest").agg(
-        F.min(F.struct("doc_id", "start", "starts")).alias("one"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")
-    )
-    distinct = cut(distinct.select("anchor", "digest", "one.*", "low", "high"), "distinct")
-    crowd = distinct.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("anchor")
-    total = distinct.agg(F.sum(F.col("starts") + length)).first()[0] or 0
-    shards = max(1, math.ceil(total / shard_chars))
-    indexed = _cut_out(documents, distinct.join(crowd, "anchor", "left_anti"), length)
-    indexed = indexed.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    hits = indexed.groupBy("shard").applyInArrow(_search(length), "anchor long, digest long, first int, last int")
-    hits = hits.unionByName(_hot_hits(documents, distinct.join(crowd, "anchor", "left_semi"), length))
+    found = segments(documents, length, _anchor(length, ANCHORS[0]))
+    shared = _shared(cut(found.select("*", F.col("doc_id").alias("low"), F.col("doc_id").alias("high")), "segments"))
+    hits = _hits(documents, _distinct(shared), length, ANCHORS, shard_chars, crowd)
     placed = shared.join(hits, ["anchor", "digest"]).select(
         "doc_id", (F.col("start") + F.col("first")).cast("long").alias("a"), (F.col("start") + F.col("last") + length).cast("long").alias("b")
     )
     return merged(placed)
 
 
-def _hot_hits(documents: DataFrame, crowded: DataFrame, length: int) -> DataFrame:
-    """Hits of the segments of crowded anchors: their grams grouped as whole strings."""
-    cuts = _cut_out(documents, crowded, length)
-    grams = cuts.select("anchor", "digest", "low", "high", F.posexplode(F.expr(f"transform(sequence(1, length(piece) - {length - 1}), i -> substring(piece, i, {length}))")).alias("first", "gram"))
-    grams = grams.select("anchor", "digest", "low", "high", "first", F.xxhash64("gram").alias("h"), F.md5("gram").alias("m"))
-    several = grams.groupBy("h", "m").agg(F.min("low").alias("l"), F.max("high").alias("g")).where("l <> g")
-    return grams.join(several, ["h", "m"], "left_semi").select("anchor", "digest", "first", F.col("first").alias("last"))
-
-
 def merged(intervals: DataFrame) -> DataFrame:
     """Touching or overlapping intervals (doc_id, a, b) of each document as one."""
     earlier = Window.partitionBy("doc_id").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import contamination, spans
-from millrace.llm.fmindex import FMIndex, suffix_array
+from millrace.llm.fmindex import FMIndex, Minima, common_prefixes, suffix_array
 from millrace.session import load
 
 SMALL = "/root/testdata/sf0.001"
@@ -57,24 +57,43 @@ def rows(df):
 
 
 @pytest.mark.parametrize("sigma,size,seed", [(1, 40, 0), (2, 300, 1), (4, 500, 2), (30, 200, 3)])
-def test_suffix_array_and_fm_index(sigma, size, seed):
+def test_suffix_array(sigma, size, seed):
     rng = np.random.default_rng(seed)
     text = rng.integers(1, sigma + 1, size)
-    order, ranks, depth = suffix_array(text, sigma + 1, 9)
     plain = [tuple(text[i:]) for i in range(size)]
-    assert list(order) == sorted(range(size), key=lambda i: plain[i])
-    if depth:
-        heads = [p[:depth] for p in plain]
-        assert all((ranks[i] == ranks[j]) == (heads[i] == heads[j]) for i in range(0, size, 7) for j in range(0, size, 5))
-    texts = [rng.integers(97, 97 + sigma, rng.integers(1, 60)).astype(np.uint32) for _ in range(30)]
-    ids = np.arange(30)
-    owners = defaultdict(set)
-    for k, t in enumerate(texts):
-        for i in range(len(t) - 8):
-            owners[tuple(t[i : i + 9])].add(k)
-    found = FMIndex(texts, ids, ids, 9).shared_starts(texts, 9)
-    for t, at in zip(texts, found):
-        assert list(at) == [i for i in range(len(t) - 8) if len(owners[tuple(t[i : i + 9])]) > 1]
+    for enough in (1, 9, 1000):
+        order, levels = suffix_array(text, sigma + 1, enough)
+        heads = [p[:enough] for p in plain]
+        assert [heads[i] for i in order] == sorted(heads) and sorted(order) == list(range(size))
+        for depth, rank in levels:
+            assert all((rank[i] == rank[j]) == (plain[i][:depth] == plain[j][:depth]) for i in range(0, size, 7) for j in range(0, size, 5))
+        common = common_prefixes(text, order, levels, enough)
+        for r in range(1, size):
+            a, b = heads[order[r - 1]], heads[order[r]]
+            assert common[r] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("sigma,seed", [(1, 0), (2, 1), (3, 5), (4, 2), (30, 3)])
+def test_matching_statistics(sigma, seed):
+    rng = np.random.default_rng(seed)
+    texts = [rng.integers(97, 97 + sigma, rng.integers(0, 60)).astype(np.uint32) for _ in range(40)]
+    texts[7:9] = [texts[6][3:], texts[6]]
+    low = rng.integers(0, 12, 40)
+    high = np.where(rng.random(40) < 0.1, low + 1, low)
+    for most in (1, 4, 9, 70):
+        found = FMIndex(texts, low, high, most).matching_statistics(texts)
+        for k, t in enumerate(texts):
+            others = [texts[j].tolist() for j in range(40) if low[k] != high[k] or low[j] != low[k] or high[j] != high[k]]
+            grams = {n: {tuple(o[i : i + n]) for o in others for i in range(len(o) - n + 1)} for n in range(1, min(most, len(t)) + 1)}
+            for i in range(len(t)):
+                want = max((n for n in range(1, min(most, len(t) - i) + 1) if tuple(t[i : i + n].tolist()) in grams[n]), default=0)
+                assert found[k][i] == want, (k, i)
+
+
+def test_minima():
+    x = np.random.default_rng(0).integers(0, 9, 77)
+    a, b = np.triu_indices(77)
+    assert list(Minima(x).least(a, b)) == [x[i : j + 1].min() for i, j in zip(a, b)]
 
 
 def hard_docs():
@@ -88,19 +107,30 @@ def hard_docs():
     return docs
 
 
-@pytest.mark.parametrize("hot", [1000, 3])
-def test_spans_against_brute_force(spark, hot):
+@pytest.mark.parametrize("crowd", [1000, 3, 0])
+def test_spans_against_brute_force(spark, crowd):
     docs = hard_docs()
     df = spark.createDataFrame(list(docs.items()), DOCS)
     for length in (30, 50):
-        assert rows(spans.shared_spans(df, length, shard_chars=2_000, hot=hot)) == brute_spans(docs, length)
+        assert rows(spans.shared_spans(df, length, shard_chars=2_000, crowd=crowd)) == brute_spans(docs, length)
+
+
+def test_spans_of_a_passage_that_many_quote(spark):
+    """More quotations in surroundings of their own than a shard takes of one anchor."""
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(120))
+    word = lambda n: "".join(rng.choice("klmnopqrst") for _ in range(n))
+    docs = {k: word(rng.randrange(20, 60)) + passage + word(rng.randrange(20, 60)) for k in range(1300)}
+    docs |= {k: word(50) + passage[:99] + word(50) for k in range(1300, 1400)} | {1400: word(300)}
+    got = rows(spans.shared_spans(spark.createDataFrame(list(docs.items()), DOCS), 100))
+    assert got == brute_spans(docs, 100) and len(got) >= 1300
 
 
 def test_spans_of_long_texts_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(spans, "BATCH_CHARS", 70)
     docs = hard_docs()
     pieces = [winnowed for winnowed in spans._pieces([t for t in docs.values()], 30)]
-    grams = sum(int(spans.winnow(parts, 30)[2].sum()) for _, _, parts in pieces)
+    grams = sum(int(spans.winnow(parts, 30, 10)[2].sum()) for _, _, parts in pieces)
     assert grams == sum(max(0, len(t or "") - 29) for t in docs.values())
 
 
