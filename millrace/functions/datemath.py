@@ -48,7 +48,8 @@ def floor(at: datetime, unit: str) -> datetime:
 
 
 def parse_date(text: str, up: bool = False) -> datetime:
-    """A date as UTC without zone; missing parts are the first or, rounding up, the last that fit, to the millisecond."""
+    """A date as UTC without zone; missing parts are the first; rounding up, those of the time of day are the last that
+    fit, to the millisecond, and a missing month or day still the first."""
     m = _ISO.fullmatch(text.strip())
     if m:
         year, month, day, hour, minute, second, fraction, zone = m.groups()
@@ -56,7 +57,7 @@ def parse_date(text: str, up: bool = False) -> datetime:
         try:
             at = datetime(*parts, int((fraction or "0").ljust(9, "0")[:6]))
             if up and fraction is None:
-                unit = "s" if second else "m" if minute else "h" if hour else "d" if day else "M" if month else "y"
+                unit = "s" if second else "m" if minute else "h" if hour else "d"
                 at = add(at, 1, unit) - timedelta(milliseconds=1)
         except (ValueError, OverflowError) as e:
             raise DateError(f"not a date: {text}") from e

@@ -124,14 +124,15 @@ def wildcard_regex(pattern: str) -> str:
 
 @dataclass
 class Node:
-    """A compiled clause: where it matches, and its score there (0 elsewhere)."""
+    """A compiled clause: where it matches, its score there (0 elsewhere), and whether a match needs a text's term."""
 
     match: Column
     score: Column
+    driven: bool = False
 
 
-def _constant(match: Column, value: float = 1.0) -> Node:
-    return Node(match, F.when(match, F.lit(value)).otherwise(F.lit(0.0)))
+def _constant(match: Column, value: float = 1.0, driven: bool = False) -> Node:
+    return Node(match, F.when(match, F.lit(value)).otherwise(F.lit(0.0)), driven)
 
 
 @dataclass
@@ -183,6 +184,43 @@ def parse_date(value) -> datetime:
 _SQL_TYPE = {"i64": "bigint", "f64": "double", "bool": "boolean", "date": "timestamp_ntz"}
 
 
+#: Lists within lists that are looked through at each place of a JSON path.
+LIST_DEPTH = 3
+_NUMBERS = "^(BIGINT|DOUBLE|FLOAT|DECIMAL)"
+
+
+def _unlisted(values: Column) -> Column:
+    """Variants with lists in place of which their elements stand."""
+    for _ in range(LIST_DEPTH):
+        values = F.flatten(F.transform(values, lambda v: F.when(F.schema_of_variant(v).startswith("ARRAY"), F.try_variant_get(v, "$", "array<variant>")).otherwise(F.array(v))))
+    return values
+
+
+def _member(values: Column, key: str) -> Column:
+    """What the objects among variants hold under a name."""
+    held = F.transform(values, lambda v: F.when(F.schema_of_variant(v).startswith("OBJECT"), F.try_variant_get(v, f"$['{key}']", "variant")))
+    return _unlisted(F.filter(held, lambda v: v.isNotNull()))
+
+
+def _moved(places: Column, by: int) -> Column:
+    return F.transform(places, lambda p: p - by)
+
+
+def _as_text(v: Column) -> Column:
+    """The text of a JSON string; null for any other value."""
+    return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _as_number(v: Column) -> Column:
+    return F.when(F.schema_of_variant(v).rlike(_NUMBERS), F.try_variant_get(v, "$", "double"))
+
+
+def _as_date(v: Column) -> Column:
+    """The time that a JSON string names, if it looks like one."""
+    text = F.regexp_replace(_as_text(v), r"^(\d{4})/(\d\d)/(\d\d)", "$1-$2-$3")
+    return F.when(text.rlike(r"^\d{4}-\d\d-\d\d([T ]\d\d:\d\d:\d\d.*)?$"), text.try_cast("timestamp")).cast("timestamp_ntz")
+
+
 class Compiler:
     def __init__(self, schema: Schema):
         self.schema = schema
@@ -190,16 +228,33 @@ class Compiler:
         self.stats: dict[str, float] = {}
         self.dictionary: DataFrame | None = None
         self.clauses = 0
+        self.scoring = True  # off where only the match counts, so that no statistics are gathered
+        self.columns: list[str] = []  # of the collection, besides those of text clauses
 
     # values and tokens
 
     def _any(self, f: Field, path: str, test: Callable[[Column], Column]) -> Column:
         """Whether some value of the field passes; false for none."""
+        self.columns.append(f.column)
         column = F.col(f.column)
-        if f.kind == "json":
-            column = F.get_json_object(column, "$" + "".join(f"['{p}']" for p in path.split(".") if p))
-        found = F.exists(column, test) if f.multi else test(column)
-        return F.coalesce(found, F.lit(False))
+        return F.coalesce(F.exists(column, test) if f.multi else test(column), F.lit(False))
+
+    def _json(self, f: Field, path: str) -> Column:
+        """The values at a path of a JSON field, as variants: lists are transparent at any place of the path, and its
+        names may stand grouped (``{"a.b": 1}`` as ``{"a": {"b": 1}}``). An explicit null is a value here; null for a
+        missing or broken document."""
+        self.columns.append(f.column)
+        names = path.split(".") if path else []
+        found: list[list[Column]] = [[_unlisted(F.array(F.try_parse_json(F.col(f.column))))], *[[] for _ in names]]
+        for i in range(len(names)):
+            for j in range(i + 1, len(names) + 1):
+                key = ".".join(names[i:j]).replace("\\", "\\\\").replace("'", "\\'")
+                found[j] += [_member(held, key) for held in found[i]]
+        ends = found[-1]
+        return ends[0] if len(ends) == 1 else F.flatten(F.array(*ends))
+
+    def _json_any(self, f: Field, path: str, test: Callable[[Column], Column]) -> Column:
+        return F.coalesce(F.exists(self._json(f, path), lambda v: F.coalesce(test(v), F.lit(False))), F.lit(False))
 
     def tokens(self, f: Field) -> Column:
         c = F.col(f.column)
@@ -207,13 +262,40 @@ class Compiler:
             return F.flatten(F.transform(c, lambda x: analyzers.tokens(x, f.analyzer)))
         return analyzers.tokens(c, f.analyzer)
 
+    # what text clauses look at: here the tokens of the text itself
+
+    def _tf(self, name: str, f: Field, token: str) -> Column:
+        """How often the token occurs."""
+        return F.size(F.filter(self.tokens(f), lambda t: t == token))
+
+    def _length(self, name: str, f: Field) -> Column:
+        return F.size(self.tokens(f))
+
+    def _has(self, name: str, f: Field, test: Callable[[Column], Column], label: str) -> Column:
+        """Whether some token passes; ``label`` tells apart tests of one field."""
+        return F.coalesce(F.exists(self.tokens(f), test), F.lit(False))
+
+    def _places(self, name: str, f: Field, tokens: list[str]) -> Column:
+        """Where one of the tokens stands."""
+        places = F.transform(self.tokens(f), lambda t, i: F.when(t.isin(tokens) if len(tokens) != 1 else t == tokens[0], i))
+        return F.filter(places, lambda p: p.isNotNull())
+
     def _bm25(self, name: str, f: Field, term: str, tf: Column, length: Column, normed: bool) -> Node:
         key = f"{name}\0{term}"
-        self.terms.setdefault(key, _Term(key, name, tf, length, normed))
         match = F.coalesce(tf > 0, F.lit(False))
+        if not self.scoring:
+            return Node(match, F.lit(0.0), normed)
+        self.terms.setdefault(key, _Term(key, name, tf, length, normed))
         if key not in self.stats:
-            return Node(match, F.lit(0.0))
-        return Node(match, F.when(match, self._weight(self.stats[key], name, tf, length, normed)).otherwise(F.lit(0.0)))
+            return Node(match, F.lit(0.0), normed)
+        return Node(match, F.when(match, self._weight(self.stats[key], name, tf, length, normed)).otherwise(F.lit(0.0)), normed)
+
+    def _unscored(self, query: dict) -> Node:
+        before, self.scoring = self.scoring, False
+        try:
+            return self.compile(query)
+        finally:
+            self.scoring = before
 
     def idf(self, df: float) -> float:
         import math
@@ -253,7 +335,7 @@ class Compiler:
             raise QueryError(f"unknown query {kind}")
         boost = body.get("boost", 1.0) if isinstance(body, dict) else 1.0
         node = make(body)
-        return node if boost == 1.0 else Node(node.match, node.score * F.lit(float(boost)))
+        return node if boost == 1.0 else Node(node.match, node.score * F.lit(float(boost)), node.driven)
 
     def q_match_all(self, body: dict) -> Node:
         return Node(F.lit(True), F.lit(1.0))
@@ -262,18 +344,17 @@ class Compiler:
         return _constant(F.lit(False))
 
     def _token_node(self, name: str, f: Field, token: str, edits: int = 0) -> Node:
-        toks = self.tokens(f)
         if edits:
-            return _constant(F.coalesce(F.exists(toks, lambda t: within_edits(t, token, edits)), F.lit(False)))
-        tf = F.size(F.filter(toks, lambda t: t == token))
-        return self._bm25(name, f, token, tf, F.size(toks), True)
+            return _constant(self._has(name, f, lambda t: within_edits(t, token, edits), f"{token}~{edits}"), driven=True)
+        return self._bm25(name, f, token, self._tf(name, f, token), self._length(name, f), True)
 
     def _combine(self, nodes: list[Node], need: int) -> Node:
         hits = F.lit(0)
         for n in nodes:
             hits = hits + n.match.cast("int")
         match = hits >= max(need, 1)
-        return Node(match, F.when(match, self._sum([n.score for n in nodes])).otherwise(F.lit(0.0)))
+        driven = sum(not n.driven for n in nodes) < max(need, 1)
+        return Node(match, F.when(match, self._sum([n.score for n in nodes])).otherwise(F.lit(0.0)), driven)
 
     @staticmethod
     def _sum(scores: list[Column]) -> Column:
@@ -301,16 +382,10 @@ class Compiler:
             need = minimum_should_match(body.get("minimum_should_match", 1), len(nodes))
         return self._combine(nodes, need)
 
-    def _positions(self, f: Field, test: Callable[[Column], Column], shift: int) -> Column:
-        places = F.transform(self.tokens(f), lambda t, i: F.when(test(t), i - shift))
-        return F.filter(places, lambda p: p.isNotNull())
-
     def _phrase(self, name: str, f: Field, toks: list[str], slop: int, last: list[str] | None = None) -> Node:
         """Starts from which every token follows within ``slop`` places in all; the count is the phrase's frequency."""
-        tests: list[Callable[[Column], Column]] = [(lambda t, x=x: t == x) for x in toks]
-        if last is not None:
-            tests.append(lambda t: t.isin(last))
-        lists = [self._positions(f, test, i) for i, test in enumerate(tests)]
+        groups = [[t] for t in toks] + ([last] if last is not None else [])
+        lists = [_moved(self._places(name, f, g), i) for i, g in enumerate(groups)]
         starts = lists[0] if slop == 0 else F.array_distinct(F.flatten(F.array(*lists)))
 
         def fits(v: Column) -> Column:
@@ -320,14 +395,14 @@ class Compiler:
             return ok
 
         tf = F.size(F.filter(starts, fits))
-        length = F.size(self.tokens(f))
+        length = self._length(name, f)
         singles = [self._token_node(name, f, t) for t in toks]
         keys = [f"{name}\0{t}" for t in toks]
         match = F.coalesce(tf > 0, F.lit(False))
-        if not singles or any(k not in self.stats for k in keys):
-            return _constant(match)
+        if not singles or not self.scoring or any(k not in self.stats for k in keys):
+            return _constant(match, driven=True)
         idf = sum(self.idf(self.stats[k]) for k in keys)
-        return Node(match, F.when(match, self._weight(0, name, tf, length, True, idf)).otherwise(F.lit(0.0)))
+        return Node(match, F.when(match, self._weight(0, name, tf, length, True, idf)).otherwise(F.lit(0.0)), True)
 
     def q_match_phrase(self, body: dict) -> Node:
         name = body["field"]
@@ -381,7 +456,7 @@ class Compiler:
 
     @staticmethod
     def _boosted(node: Node, boost: float) -> Node:
-        return node if boost == 1 else Node(node.match, node.score * F.lit(boost))
+        return node if boost == 1 else Node(node.match, node.score * F.lit(boost), node.driven)
 
     def _best(self, nodes: list[Node], tie: float) -> Node:
         """The best score plus ``tie`` of the others."""
@@ -391,7 +466,7 @@ class Compiler:
         for n in nodes[1:]:
             match = match | n.match
         best = F.greatest(*[n.score for n in nodes])
-        return Node(match, best if tie == 0 else best + F.lit(tie) * (self._sum([n.score for n in nodes]) - best))
+        return Node(match, best if tie == 0 else best + F.lit(tie) * (self._sum([n.score for n in nodes]) - best), all(n.driven for n in nodes))
 
     def q_dis_max(self, body: dict) -> Node:
         return self._best([self.compile(q) for q in body["queries"]], float(body.get("tie_breaker", 0.0)))
@@ -412,16 +487,18 @@ class Compiler:
             return _constant(F.lit(False))
         match = self._any(f, path, lambda c: c == F.lit(typed))
         if f.kind == "keyword":
+            self.columns.append(f.column)
             size = F.size(F.col(f.column)) if f.multi else F.lit(1)
             return self._bm25(name, f, str(typed), match.cast("int"), size, False)
         return _constant(match)
 
     def _json_term(self, f: Field, path: str, value) -> Node:
+        """Equal in value and type: 1 is the number, not the text; text is scored."""
         if isinstance(value, bool):
-            return _constant(self._any(f, path, lambda c: c == F.lit(str(value).lower())))
+            return _constant(self._json_any(f, path, lambda v: F.when(F.schema_of_variant(v) == "BOOLEAN", F.try_variant_get(v, "$", "boolean")) == F.lit(value)))
         if isinstance(value, (int, float)):
-            return _constant(self._any(f, path, lambda c: c.try_cast("double") == F.lit(float(value))))
-        match = self._any(f, path, lambda c: c == F.lit(str(value)))
+            return _constant(self._json_any(f, path, lambda v: _as_number(v) == F.lit(float(value))))
+        match = self._json_any(f, path, lambda v: _as_text(v) == F.lit(str(value)))
         return self._bm25(f"{f.column}.{path}", f, str(value), match.cast("int"), F.lit(1), False)
 
     def q_terms(self, body: dict) -> Node:
@@ -433,7 +510,7 @@ class Compiler:
             return _constant(F.lit(False))
         if f.kind == "text":
             wanted = [str(v) for v in body["values"]]
-            return _constant(F.coalesce(F.arrays_overlap(self.tokens(f), F.array(*map(F.lit, wanted))), F.lit(False)))
+            return _constant(self._has(name, f, lambda t: t.isin(wanted), f"in {wanted}"), driven=True)
         if f.kind == "json":
             match = F.lit(False)
             for v in body["values"]:
@@ -457,8 +534,10 @@ class Compiler:
             return self.q_exists({"field": name})
         kind = f.kind
         if kind == "json":
-            sample = next(iter(bounds.values()))
-            kind = "f64" if isinstance(sample, (int, float)) and not isinstance(sample, bool) else "keyword"
+            kinds = {"bool" if isinstance(v, bool) else "f64" if isinstance(v, (int, float)) else "date" if isinstance(v, datetime) else "keyword" for v in bounds.values()}
+            if len(kinds) > 1 or kinds == {"bool"}:
+                raise QueryError(f"the bounds on {name} mix types or are booleans")
+            (kind,) = kinds
         tests = []
         for op, v in bounds.items():
             if kind == "i64" and not isinstance(v, bool):
@@ -471,8 +550,8 @@ class Compiler:
         low, high = -(1 << 63), (1 << 63) - 1
 
         def test(c: Column) -> Column:
-            if f.kind == "json" and kind == "f64":
-                c = c.try_cast("double")
+            if f.kind == "json":
+                c = {"f64": _as_number, "date": _as_date, "keyword": _as_text}[kind](c)
             ok = c.isNotNull()
             for op, v in tests:
                 if isinstance(v, int) and not isinstance(v, bool) and not low <= v <= high:
@@ -481,12 +560,15 @@ class Compiler:
                 ok = ok & {"gt": c > v, "gte": c >= v, "lt": c < v, "lte": c <= v}[op]
             return ok
 
-        return _constant(self._any(f, path, test))
+        return _constant(self._json_any(f, path, test) if f.kind == "json" else self._any(f, path, test))
 
     def q_exists(self, body: dict) -> Node:
+        """Whether there is a value: an empty list has none, and neither has an object without members."""
         f, path = self.schema.resolve(body["field"])
         if f is None:
             return _constant(F.lit(False))
+        if f.kind == "json":
+            return _constant(self._json_any(f, path, lambda v: ~F.schema_of_variant(v).isin("VOID", "OBJECT<>")))
         return _constant(self._any(f, path, lambda c: c.isNotNull()))
 
     def q_is_empty(self, body: dict) -> Node:
@@ -497,29 +579,30 @@ class Compiler:
         f, path = self.schema.resolve(body["field"])
         if f is None or f.kind != "json":
             return _constant(F.lit(False))
-        at = "$" + "".join(f"['{p}']" for p in path.split(".") if p)
-        found = F.is_variant_null(F.try_variant_get(F.try_parse_json(F.col(f.column)), at, "variant"))
-        return _constant(F.coalesce(found, F.lit(False)))
+        return _constant(self._json_any(f, path, lambda v: F.schema_of_variant(v) == "VOID"))
 
     def q_values_count(self, body: dict) -> Node:
-        """How many values a JSON path has: an array's length, 1 for anything else, 0 if missing or null."""
+        """How many values a JSON path has: lists count their elements, an object counts as one, null and missing as 0."""
+        if ("gt" in body and "gte" in body) or ("lt" in body and "lte" in body):
+            raise QueryError("two bounds on one side")
         f, path = self.schema.resolve(body["field"])
-        if f is None or f.kind != "json":
-            return _constant(F.lit(False))
-        at = F.get_json_object(F.col(f.column), "$" + "".join(f"['{p}']" for p in path.split(".") if p))
-        n = F.when(at.isNull(), F.lit(0)).when(at.startswith("["), F.coalesce(F.json_array_length(at), F.lit(1))).otherwise(F.lit(1))
+        if f is not None and f.kind != "json":
+            raise QueryError("values_count is for JSON paths")
+        n = F.lit(0) if f is None else F.coalesce(F.size(F.filter(self._json(f, path), lambda v: F.schema_of_variant(v) != "VOID")), F.lit(0))
         ok = F.lit(True)
         for op, v in body.items():
             if op in ("gt", "gte", "lt", "lte"):
                 ok = ok & {"gt": n > v, "gte": n >= v, "lt": n < v, "lte": n <= v}[op]
         return _constant(ok)
 
-    def _string_test(self, name: str, test: Callable[[Column], Column]) -> Node:
+    def _string_test(self, name: str, test: Callable[[Column], Column], label: str) -> Node:
         f, path = self.schema.resolve(name)
         if f is None or f.kind not in ("text", "keyword", "uuid", "json"):
             return _constant(F.lit(False))
         if f.kind == "text":
-            return _constant(F.coalesce(F.exists(self.tokens(f), test), F.lit(False)))
+            return _constant(self._has(name, f, test, label), driven=True)
+        if f.kind == "json":
+            return _constant(self._json_any(f, path, lambda v: test(_as_text(v))))
         return _constant(self._any(f, path, test))
 
     def _cased(self, name: str, value: str) -> str:
@@ -528,23 +611,25 @@ class Compiler:
 
     def q_prefix(self, body: dict) -> Node:
         value = self._cased(body["field"], str(body["value"]))
-        return self._string_test(body["field"], lambda c: c.startswith(value))
+        return self._string_test(body["field"], lambda c: c.startswith(value), f"{value}*")
 
     def q_wildcard(self, body: dict) -> Node:
         pattern = wildcard_regex(self._cased(body["field"], str(body["value"])))
-        return self._string_test(body["field"], lambda c: c.rlike(pattern))
+        return self._string_test(body["field"], lambda c: c.rlike(pattern), f"/{pattern}/")
 
     def q_fuzzy(self, body: dict) -> Node:
         value = str(body["value"])
         edits = fuzzy_edits(body.get("fuzziness", "AUTO"), value)
-        return self._string_test(body["field"], lambda c: within_edits(c, value, edits))
+        return self._string_test(body["field"], lambda c: within_edits(c, value, edits), f"{value}~{edits}")
 
     def q_constant_score(self, body: dict) -> Node:
-        return _constant(self.compile(body["filter"]).match)
+        inner = self._unscored(body["filter"])
+        return _constant(inner.match, driven=inner.driven)
 
     def q_bool(self, body: dict) -> Node:
         lists = {k: (v if isinstance(v, list) else [v]) for k, v in body.items() if k in ("must", "should", "must_not", "filter")}
-        must, should, filters, banned = ([self.compile(q) for q in lists.get(k, [])] for k in ("must", "should", "filter", "must_not"))
+        must, should = ([self.compile(q) for q in lists.get(k, [])] for k in ("must", "should"))
+        filters, banned = ([self._unscored(q) for q in lists.get(k, [])] for k in ("filter", "must_not"))
         default = 1 if should and not must and not filters else 0
         need = minimum_should_match(body.get("minimum_should_match", default), len(should))
         match = F.lit(True)
@@ -557,7 +642,8 @@ class Compiler:
             for n in should:
                 hits = hits + n.match.cast("int")
             match = match & (hits >= need)
-        return Node(match, F.when(match, self._sum([n.score for n in [*must, *should]])).otherwise(F.lit(0.0)))
+        driven = any(n.driven for n in [*must, *filters]) or sum(not n.driven for n in should) < need
+        return Node(match, F.when(match, self._sum([n.score for n in [*must, *should]])).otherwise(F.lit(0.0)), driven)
 
     def q_query_string(self, body: dict) -> Node:
         return self.compile(parse_query_string(body["query"], body.get("default_fields") or [n for n, f in self.schema.fields.items() if f.kind == "text"], body.get("default_operator", "or")))
