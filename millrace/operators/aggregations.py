@@ -62,19 +62,23 @@ def bucket_key(kind: str, body: dict, multi: bool = False) -> Column:
         unit = body.get("calendar_interval")
         if unit:
             return F.date_trunc(unit, field).cast("timestamp_ntz")
-        amount, scale = body["fixed_interval"][:-1], {"s": 1, "m": 60, "h": 3600, "d": 86_400}[body["fixed_interval"][-1]]
-        step = int(amount) * scale
+        step = _seconds(body["fixed_interval"])
         seconds = F.unix_timestamp(field.cast("timestamp"))
         return F.timestamp_seconds(F.floor(seconds / step) * step).cast("timestamp_ntz")
     raise AggregationError(f"{kind} has no single key")
 
 
+def _range_name(r: dict) -> str:
+    low, high = r.get("from"), r.get("to")
+    return r.get("key") or f"{'*' if low is None else float(low)}-{'*' if high is None else float(high)}"
+
+
 def _range_keys(body: dict) -> Column:
     """All ranges [from, to) that hold the value, as an array of their names."""
     out = []
     for r in body["ranges"]:
         low, high = r.get("from"), r.get("to")
-        name = r.get("key") or f"{'*' if low is None else float(low)}-{'*' if high is None else float(high)}"
+        name = _range_name(r)
         value = F.col(body["field"])
         inside = value.isNotNull()
         if low is not None:
@@ -107,6 +111,47 @@ def _bucketed(df: DataFrame, name: str, kind: str, body: dict, condition=None) -
     return df, [name]
 
 
+#: Metrics of a bucket without rows that are 0 rather than null.
+_ZERO = {"sum": ("",), "value_count": ("",), "cardinality": ("",), "stats": ("_count", "_sum"), "extended_stats": ("_count", "_sum", "_sum_of_squares")}
+
+
+def _zeros(inner: dict) -> list[str]:
+    out = []
+    for name, agg in inner.items():
+        kind = next(k for k in agg if k not in ("aggs", "aggregations"))
+        out += [name + part for part in _ZERO.get(kind, ())]
+    return out
+
+
+def _filled(table: DataFrame, outer: list[str], kept: DataFrame | None, kind: str, body: dict, key: str, zeros: list[str]) -> DataFrame:
+    """With the buckets that have no rows: every named range, and what lies between the first and the last bucket of a
+    histogram, within each outer bucket. More than ``MOST_BUCKETS`` of them are an error."""
+    if kind == "range":
+        names = F.explode(F.array(*[F.lit(_range_name(r)) for r in body["ranges"]])).alias(key)
+        every = (kept.select(*outer) if outer else table.sparkSession.range(1)).select(*outer, names)
+    elif kind in ("histogram", "date_histogram") and body.get("min_doc_count", 0) == 0:
+        ends = table.groupBy(*outer).agg(F.min(key).alias("__lo"), F.max(key).alias("__hi")).where("__lo is not null")
+        if kind == "histogram":
+            step, shift = float(body["interval"]), float(body.get("offset", 0))
+            at = lambda c: F.round((F.col(c) - shift) / step).cast("long")
+            n, keys = at("__hi") - at("__lo"), F.transform(F.sequence(at("__lo"), at("__hi")), lambda i: i * step + shift)
+        else:
+            length = body.get("calendar_interval") or f"{_seconds(body['fixed_interval'])} second"
+            length = length if " " in length else f"1 {length}"
+            keys = F.sequence(F.col("__lo"), F.col("__hi"), F.expr(f"interval {length}"))
+            n = F.lit(0) if body.get("calendar_interval") else F.timestamp_diff("SECOND", "__lo", "__hi") / _seconds(body["fixed_interval"])
+        keys = F.when(n > MOST_BUCKETS, F.raise_error(F.lit(f"more than {MOST_BUCKETS} buckets"))).otherwise(keys)
+        every = ends.select(*outer, F.explode(keys).alias(key))
+    else:
+        return table
+    joined = every.join(table, [*outer, key], "left")
+    return joined.fillna(0, ["doc_count", *zeros]).select(*table.columns)
+
+
+def _seconds(interval: str) -> int:
+    return int(interval[:-1]) * {"s": 1, "m": 60, "h": 3600, "d": 86_400}[interval[-1]]
+
+
 def _keep(result: DataFrame, outer: list[str], kind: str, body: dict, own: list[str]) -> DataFrame:
     """Size and order of one level of buckets, within the buckets outside it."""
     if kind == "terms":
@@ -135,7 +180,8 @@ def _keep(result: DataFrame, outer: list[str], kind: str, body: dict, own: list[
 
 def aggregate(df: DataFrame, spec: dict, exact: bool = True, condition=None, pk: str | None = None) -> dict[str, DataFrame]:
     """A table for each bucket path ("a", "a>b", ...): bucket keys, doc_count, and columns metric_part of the metrics
-    there; metrics outside any bucket are in table "". Inner buckets are kept within the outer ones that are kept."""
+    there; metrics outside any bucket are in table "". Inner buckets and hits are kept within the outer buckets that are
+    kept. Histograms and ranges list their empty buckets with doc_count 0."""
     out: dict[str, DataFrame] = {}
     _level(df, spec, "", [], None, exact, condition, pk, out)
     return out
@@ -153,6 +199,8 @@ def _level(df: DataFrame, spec: dict, path: str, keys: list[str], kept: DataFram
     if path == "" and own_metrics:
         out[""] = df.agg(*[c.alias(n) for n, c in own_metrics.items()])
     for name, body in tops.items():
+        if kept is not None and keys:
+            df = df.join(kept.select(*keys), keys, "left_semi")
         out[f"{path}>{name}" if path else name] = top_hits(df, keys, body, pk)
     for name, agg in spec.items():
         kind = next(k for k in agg if k not in ("aggs", "aggregations"))
@@ -171,6 +219,8 @@ def _level(df: DataFrame, spec: dict, path: str, keys: list[str], kept: DataFram
         table = rows.groupBy(*path_keys).agg(*columns) if path_keys else rows.agg(*columns)
         if kept is not None and keys:
             table = table.join(kept.select(*keys), keys, "left_semi")
+        if own:
+            table = _filled(table, keys, kept, kind, agg[kind], own[0], _zeros(inner))
         table = _keep(table, keys, kind, agg[kind], own)
         out[here] = table
         deeper = {n: a for n, a in inner.items() if next(k for k in a if k not in ("aggs", "aggregations")) in (*BUCKETS, "top_hits")}

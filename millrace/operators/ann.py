@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from millrace.functions import kernels
 from millrace.operators import retrieval
-from millrace.session import fresh_path
+from millrace.session import cut, fresh_path
 
 #: Rows up to which a scan is as good, lists probed at least, divisor of the lists for more, share of
-#: matching rows up to which all their lists are read, growth and number of retries.
+#: matching rows up to which all their lists are read, growth and number of retries. ``SCAN_ROWS`` is a parameter of the
+#: search (``scan_rows``): with up to so many matching rows all are scored, with more the lists are probed; scores are
+#: exact either way.
 SCAN_ROWS, MIN_PROBES, PROBES_DIVISOR, LOW_SHARE, GROWTH, RETRIES = 1_000, 20, 16, 0.10, 4, 1
 EXACT, ALLOWED, PREFILTER, POSTFILTER = "exact", "brute_force_allowed", "prefilter", "postfilter"
 
@@ -26,6 +28,10 @@ def default_probes(lists: int) -> int:
     return max(MIN_PROBES, math.ceil(lists / PROBES_DIVISOR))
 
 
+#: Rows of a file of a list; a denser list has several, so no task writes all of it.
+FILE_ROWS = 200_000
+
+
 def scan_threshold(threshold_kb: int, dim: int) -> int:
     """Rows below which every matching row is scored."""
     return max(SCAN_ROWS, threshold_kb * 1024 // (4 * max(dim, 1)))
@@ -53,6 +59,7 @@ class ListIndex:
     centres: np.ndarray
     rows: int
     df: DataFrame
+    sizes: np.ndarray  # rows of each list
 
     def nearest_lists(self, query: Sequence[float], n: int) -> list[int]:
         q = np.asarray(query, np.float64)
@@ -61,6 +68,12 @@ class ListIndex:
         far = -(self.centres @ q) if self.distance == kernels.DOT else ((self.centres - q) ** 2).sum(1)
         return [int(i) for i in np.argsort(far, kind="stable")[:n]]
 
+    def enough_lists(self, query: Sequence[float], n: int, k: int) -> list[int]:
+        """The ``n`` nearest lists, and more while they hold fewer than ``k`` rows."""
+        order = self.nearest_lists(query, len(self.centres))
+        held = np.cumsum(self.sizes[order])
+        return order[: max(n, int(np.searchsorted(held, k)) + 1)]
+
     def search(self, query: Sequence[float], k: int, where: Column | None = None, probes: int | None = None, exact: bool = False, distance: str | None = None, threshold_kb: int = 0) -> tuple[DataFrame, str]:
         """The ``k`` best rows and the strategy used. Scores are exact; only rows outside the probed lists can be missed.
 
@@ -76,7 +89,7 @@ class ListIndex:
             return retrieval.knn(self.df, self.pk, self.field, query, k, measure, where), how
         n = probes or default_probes(len(self.centres))
         for _ in range(RETRIES + 1):
-            lists = self.nearest_lists(query, n)
+            lists = self.enough_lists(query, n, k)
             found = retrieval.knn(self.df.where(F.col("list").isin(lists)), self.pk, self.field, query, k, measure, where)
             if where is None or n >= len(self.centres) or found.count() >= min(k, matching or 0):
                 return found, how
@@ -94,10 +107,15 @@ def build(df: DataFrame, pk: str, field: str, distance: str = kernels.COSINE, li
     rows = rows.withColumn("__v", array_to_vector(shown))
     total = rows.count()
     if not total:
-        return ListIndex(path, pk, field, distance, np.zeros((0, 1)), 0, df.withColumn("list", F.lit(0)))
+        return ListIndex(path, pk, field, distance, np.zeros((0, 1)), 0, df.withColumn("list", F.lit(0)), np.zeros(0, np.int64))
     chosen = rows.select(pk, "__v").orderBy(F.xxhash64(pk)).limit(sample)
     k = max(2, min(lists or round(math.sqrt(total)), total))
     model = KMeans(k=k, seed=seed, maxIter=10, featuresCol="__v", predictionCol="list").fit(chosen)
-    placed = model.transform(rows).drop("__v")
-    placed.repartition("list").write.mode("overwrite").partitionBy("list").parquet(path)
-    return ListIndex(path, pk, field, distance, np.array(model.clusterCenters()), total, spark.read.parquet(path))
+    placed = cut(model.transform(rows).drop("__v"), "placed")
+    sizes = np.zeros(k, np.int64)
+    for r in placed.groupBy("list").count().collect():  # a row a list
+        sizes[r["list"]] = r["count"]
+    files = F.array(*[F.lit(int(-(-n // FILE_ROWS)) or 1) for n in sizes])[F.col("list")]
+    spread = placed.repartition("list", F.pmod(F.xxhash64(pk), files))
+    spread.write.mode("overwrite").partitionBy("list").parquet(path)
+    return ListIndex(path, pk, field, distance, np.array(model.clusterCenters()), total, spark.read.parquet(path), sizes)

@@ -93,10 +93,38 @@ def changed(before: DataFrame, now: DataFrame, query: str) -> DataFrame:
     return a.join(b, query, "full").where(~F.col("old").eqNullSafe(F.col("new"))).select(query)
 
 
-def last_documents(log: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The present documents of a log of insert, replace and delete operations, with the time of their insertion."""
-    own = Window.partitionBy(key).orderBy(*order)
-    at = F.max(F.when(F.col("op") == "insert", F.struct(*order))).over(own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(c).desc() for c in order]))
-    rows = log.withColumn("__at", at).withColumn("__place", place).where((F.col("__place") == 1) & (F.col("op") != "delete"))
-    return rows.drop("__place", "__at")
+def get(docs: DataFrame, doc_id, key: str = "_id") -> DataFrame:
+    """The document of an id, if there is one: a condition that reaches the scan."""
+    return docs.where(F.col(key) == F.lit(doc_id))
+
+
+def fold_documents(log: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
+    """(key, created, doc): the present documents of a log of insert, patch, replace and delete operations (``op``,
+    ``doc``).
+
+    ``created`` is the place (a struct of ``order``) of the insertion that the document goes back to; replace and patch
+    keep it, a deletion ends it. A patch sets the fields it names, a null one removes its field; replace, patch and
+    delete of an absent document change nothing, nor does an insert of a present one. Only what follows a key's last
+    deletion is folded, in order, hash-partitioned by key.
+    """
+    names = [c for c in order]
+    at = F.struct(*names)
+    rows = log.where(F.col(key).isNotNull())
+    gone = rows.where("op = 'delete'").groupBy(key).agg(F.max(at).alias("__gone"))
+    live = rows.join(gone, key, "left").where(F.col("__gone").isNull() | (at > F.col("__gone"))).where("op <> 'delete'")
+    begun = live.where("op = 'insert'").groupBy(key).agg(F.min_by("doc", at).alias("__first"), F.min(at).alias("created"))
+    whole = live.where("op = 'replace'").join(begun.select(key, "created"), key).where(at > F.col("created"))
+    replaced = whole.groupBy(key).agg(F.max_by("doc", at).alias("__whole"), F.max(at).alias("__from"))
+    base = begun.join(replaced, key, "left")
+    base = base.select(key, "created", F.coalesce("__from", "created").alias("__from"), F.coalesce("__whole", "__first").alias("__doc"))
+    patches = live.where("op = 'patch'").join(base.select(key, "__from"), key).where(at > F.col("__from"))
+    field = patches.select(key, at.alias("__at"), F.explode(F.from_json("doc", "map<string,string>")).alias("f", "v"))
+    last = field.groupBy(key, "f").agg(F.max_by(F.struct("v"), "__at").alias("l"))
+    last = last.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("f", "l.v"))).alias("__set"))  # a document's fields
+    joined = base.join(last, key, "left")
+    own = F.from_json("__doc", "map<string,string>")
+    none = F.create_map().cast("map<string,string>")
+    changes = F.coalesce("__set", none)
+    kept = F.map_filter(own, lambda k, v: ~F.map_contains_key(changes, k))
+    made = F.map_concat(F.coalesce(kept, none), F.map_filter(changes, lambda k, v: v.isNotNull()))
+    return joined.select(key, "created", made.alias("doc"))

@@ -6,9 +6,11 @@ import json
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.ranged import running_sum
+
 #: An op log has these columns: kind (upsert, delete, patch), the document or patch as JSON, the patch's mode
 #: (merge_deep, merge_top, replace), paths to delete, and the document to insert where a patched key is absent.
 OP = "op string, doc string, mode string, delete_keys array<string>, upsert string"
@@ -113,31 +115,65 @@ def mask(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     return df.join(gone.select(key), key, "left_anti")
 
 
-def write_results(batch: DataFrame, snapshot: DataFrame, key: str, ordinal: str = "ordinal", kind: str = "op") -> DataFrame:
-    """(ordinal, key, result): what each operation of a batch does, in its order: Created, Updated, Deleted, NotFound,
-    Noop. An operation sees the effect of the earlier ones on its key."""
-    own = Window.partitionBy(key).orderBy(ordinal)
-    there = snapshot.select(key).distinct().withColumn("__there", F.lit(True))
-    rows = batch.join(there, key, "left").withColumn("__there", F.coalesce("__there", F.lit(False)))
-    # what an operation leaves behind: an upsert a document, a deletion none, a patch what it found
-    effect = F.when(F.col(kind) == "upsert", F.lit(True)).when(F.col(kind) == "delete", F.lit(False))
-    before = F.coalesce(F.last(effect, ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.col("__there"))
-    result = (
-        F.when(F.col(kind) == "upsert", F.when(before, "Updated").otherwise("Created"))
-        .when(F.col(kind) == "delete", F.when(before, "Deleted").otherwise("NotFound"))
-        .otherwise(F.when(before, "Updated").otherwise("Noop"))
-    )
-    return rows.select(ordinal, key, result.alias("result"))
+def write_results(batch: DataFrame, snapshot: DataFrame, key: str, ordinal: str = "ordinal") -> DataFrame:
+    """(ordinal, key, result): what each operation of a batch (``OP`` columns) does, in its order, to a snapshot
+    (key, doc): Created, Updated, Deleted, NotFound, Noop.
+
+    An operation sees the effect of the earlier ones on its key. A patch of an absent key creates it from its ``upsert``
+    or finds nothing; one that leaves the document as it was does nothing; an upsert always writes. Keys are
+    hash-partitioned and each partition is run through as a stream that holds one document at a time.
+    """
+    names = [ordinal, key, "op", "doc", "mode", "delete_keys", "upsert"]
+    rows = batch.where(F.col(key).isNotNull()).select(*names, F.lit(1).alias("__turn"))
+    held = snapshot.join(rows.select(key).distinct(), key, "left_semi")
+    none = lambda kind: F.lit(None).cast(kind)
+    held = held.select(none(batch.schema[ordinal].dataType).alias(ordinal), key, F.lit("held").alias("op"), "doc", none("string").alias("mode"), none("array<string>").alias("delete_keys"), none("string").alias("upsert"), F.lit(0).alias("__turn"))
+    ordered = rows.unionByName(held).repartition(key).sortWithinPartitions(key, "__turn", ordinal).select("__turn", *names)
+    kinds = {n: batch.schema[n].dataType.simpleString() for n in (ordinal, key)}
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, doc, began = None, None, False
+        for pdf in batches:
+            out: list[tuple] = []
+            for turn, at, k, op, text, mode, gone, upsert in pdf.itertuples(index=False):
+                if not began or k != now:
+                    now, doc, began = k, None, True
+                if not turn:
+                    doc = json.loads(text) if text else {}
+                    continue
+                before, doc = doc, apply_op(doc, op, text, mode, gone, upsert)
+                if op == "delete":
+                    result = "NotFound" if before is None else "Deleted"
+                elif before is None:
+                    result = "NotFound" if doc is None else "Created"
+                else:
+                    result = "Noop" if op == "patch" and before == doc else "Updated"
+                out.append((at, k, result))
+            yield pd.DataFrame(out, columns=[ordinal, key, "result"])
+
+    return ordered.mapInPandas(run, f"{ordinal} {kinds[ordinal]}, {key} {kinds[key]}, result string")
+
+
+#: Fixed value: keys of one batch of a write by filter.
+FILTER_BATCH = 1000
+
+
+def _in_batches(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """Rows with ``batch_at``, the number of their batch of ``size`` in key order, by distributed running counts."""
+    placed = running_sum(rows.withColumn("__one", F.lit(1).cast("long")), [], [key], "__one", "__n")
+    return placed.withColumn("batch_at", F.floor(F.col("__n") / size).cast("int")).drop("__one", "__n")
 
 
-def delete_by_filter(state: DataFrame, key: str, where: Column) -> DataFrame:
-    """The deletions of the rows a filter selects in a pinned state, as log rows in key order (``batch_at``)."""
-    place = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64(key), F.lit(64))).orderBy(key))
-    return state.where(where).select(key, F.lit("delete").alias("op"), F.floor(place / 1000).cast("int").alias("batch_at"))
+def delete_by_filter(state: DataFrame, key: str, where: Column, size: int = FILTER_BATCH) -> DataFrame:
+    """The deletions of the rows a filter selects in a pinned state, as log rows in batches in key order."""
+    return _in_batches(state.where(where).select(key, F.lit("delete").alias("op")), key, size)
 
 
-def patch_by_filter(state: DataFrame, key: str, where: Column, patch: dict, mode: str = "merge_deep") -> DataFrame:
-    return state.where(where).select(key, F.lit("patch").alias("op"), F.lit(json.dumps(patch)).alias("doc"), F.lit(mode).alias("mode"))
+def patch_by_filter(state: DataFrame, key: str, where: Column, patch: dict, mode: str = "merge_deep", size: int = FILTER_BATCH) -> DataFrame:
+    """Patches of the rows a filter selects in a pinned state, in batches in key order; without an upsert, so a key that
+    is deleted since stays deleted."""
+    rows = state.where(where).select(key, F.lit("patch").alias("op"), F.lit(json.dumps(patch)).alias("doc"), F.lit(mode).alias("mode"))
+    return _in_batches(rows, key, size)
 
 
 def pinned(log: DataFrame, partition: str, offset: str, token: dict[int, int]) -> DataFrame:

@@ -81,10 +81,21 @@ def sparse(df: DataFrame, pk: str, field: str, indices: Sequence[int], values: S
     return top(found, pk, k)
 
 
-def text(df: DataFrame, schema: Schema, query: dict, k: int, where: Column | None = None) -> DataFrame:
-    """The ``k`` best rows for a text query; statistics over all rows of ``df``, also those ``where`` excludes."""
+def text(df: DataFrame, schema: Schema, query: dict, k: int, where: Column | None = None, index=None, filters: dict | None = None) -> DataFrame:
+    """The ``k`` best rows for a text query; statistics over all rows of ``df``, also those that the filter (a condition
+    or a query) excludes. With a ``text_index.TextIndex`` of ``df`` only the postings of the query's terms are read."""
+    return top(matches(df, schema, query, where, index, filters), schema.pk, k)
+
+
+def matches(df: DataFrame, schema: Schema, query: dict, where: Column | None = None, index=None, filters: dict | None = None) -> DataFrame:
+    """(pk, _score) of all rows that a text query matches, in no order."""
+    if index is not None and where is None:
+        from millrace.operators import text_index
+
+        return text_index.scored(df, schema, query, index, filters)
     rows = scored(df, schema, query)
-    return top((rows if where is None else rows.where(where)).select(schema.pk, "_score"), schema.pk, k)
+    rows = rows if where is None else rows.where(where)
+    return (rows if filters is None else rows.where(condition(schema, filters))).select(schema.pk, "_score")
 
 
 def filter_only(df: DataFrame, schema: Schema, query: dict | None, k: int) -> DataFrame:
@@ -96,23 +107,3 @@ def rescore(candidates: DataFrame, df: DataFrame, pk: str, field: str, query: Se
     """Candidates scored again by the exact kernel; those without a vector drop out."""
     rows = df.select(pk, field).join(candidates.select(pk), pk, "left_semi")
     return knn(rows, pk, field, query, k, distance)
-
-
-def term_postings(df: DataFrame, pk: str, tokens: Column) -> DataFrame:
-    """(term, pk, tf, length): an inverted index as a table. Written bucketed or sorted by term, a query reads only the
-    row groups of its terms."""
-    toks = df.select(pk, tokens.alias("toks")).where("toks is not null")
-    each = toks.select(pk, F.explode("toks").alias("term"), F.size("toks").cast("long").alias("length"))
-    return each.groupBy("term", pk).agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-
-
-def search_postings(postings: DataFrame, n_docs: int, total_length: int, terms: Sequence[str], pk: str, k: int, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 over a postings table: partial sums by document, then the ``k`` best."""
-    from millrace.functions.predicates import norm_low
-
-    mine = postings.where(F.col("term").isin(list(terms)))
-    df_of = F.broadcast(mine.groupBy("term").agg(F.count("*").alias("df")))  # a row for each query term
-    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    norm = 1 - b + b * norm_low(F.col("length")) / F.lit(max(total_length, 1) / max(n_docs, 1))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * norm)
-    return top(mine.join(df_of, "term").groupBy(pk).agg(F.sum(weight).alias("_score")), pk, k)

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import datemath, kernels
-from millrace.functions.predicates import Field, QueryError, Schema, scored
-from millrace.operators import fusion, retrieval
+from millrace.functions.predicates import Field, QueryError, Schema
+from millrace.operators import fusion, oplog, ranking, retrieval
 
 
 def _one(body: dict) -> tuple[str, object]:
@@ -111,54 +111,126 @@ def script_score(df: DataFrame, pk: str, source: str, params: dict, k: int, wher
     raise QueryError(f"unknown script {source!r}")
 
 
-def search(df: DataFrame, schema: Schema, body: dict, now: datetime | None = None) -> DataFrame:
-    """(pk, _score) of a request with ``query``, ``knn`` and ``retriever``: scores of query and vector hits add up."""
-    size = body.get("size", 10)
+#: Fixed value: the keys of a request body.
+BODY = {"query", "knn", "retriever", "size", "from", "sort", "search_after"}
+
+
+def sort_spec(sort, schema: Schema) -> list[dict]:
+    """A ``sort`` body as columns: fields by name, with order and ``missing`` (``_last`` by default), ``_score``
+    (descending by default) and ``_doc`` (key order)."""
+    out = []
+    for one in sort if isinstance(sort, list) else [sort]:
+        name, how = (one, {}) if isinstance(one, str) else _one(one)
+        how = {"order": how} if isinstance(how, str) else dict(how)
+        unknown = set(how) - {"order", "missing", "mode", "unmapped_type"}
+        if unknown or how.get("missing", "_last") not in ("_first", "_last") or how.get("order", "asc") not in ("asc", "desc"):
+            raise QueryError(f"unsupported sort {one}")
+        if name == "_score":
+            out.append({"field": "_score", "order": how.get("order", "desc")})
+            continue
+        if name == "_doc":
+            out.append({"field": schema.pk, "order": how.get("order", "asc")})
+            continue
+        f, path = schema.resolve(name)
+        if (f is None or path) and "unmapped_type" not in how:
+            raise QueryError(f"no field [{name}] to sort on")
+        if f is not None and f.kind in ("text", "json"):
+            raise QueryError(f"[{name}] has no columnar values to sort on")
+        if f is not None:
+            order = how.get("order", "asc")
+            out.append({"field": f.column, "order": order, "missing": how.get("missing", "_last")[1:], "multi": f.multi, "mode": how.get("mode", "min" if order == "asc" else "max")})
+    return out
+
+
+def search(df: DataFrame, schema: Schema, body: dict, now: datetime | None = None, index=None) -> DataFrame:
+    """(pk, _score) of a request with ``query``, ``knn`` and ``retriever``, and the columns it is sorted by: scores of
+    query and vector hits add up. ``from``, ``sort`` and ``search_after`` page; keys that are not known are refused."""
+    unknown = set(body) - BODY
+    if unknown:
+        raise QueryError(f"unknown keys {sorted(unknown)}")
+    size, start = body.get("size", 10), body.get("from", 0)
+    if start and "search_after" in body:
+        raise QueryError("[from] and [search_after] do not go together")
     if "retriever" in body:
-        return _retriever(df, schema, body["retriever"], size, now)
+        if set(body) & {"sort", "search_after", "query", "knn"}:
+            raise QueryError("[retriever] goes with size and from only")
+        return ranking.page(_retriever(df, schema, body["retriever"], size + start, now, index), schema.pk, None, size, start)
     parts = []
     if "query" in body:
-        parts.append(scored(df, schema, to_query(body["query"], schema, now)).select(schema.pk, "_score"))
+        parts.append(retrieval.matches(df, schema, to_query(body["query"], schema, now), index=index))
     for one in body["knn"] if isinstance(body.get("knn"), list) else [body["knn"]] if "knn" in body else []:
         parts.append(_knn(df, schema, one, now))
-    if not parts:
-        return retrieval.filter_only(df, schema, None, size)
-    rows = parts[0]
+    rows = parts[0] if parts else df.select(schema.pk, F.lit(1.0).alias("_score"))
     for p in parts[1:]:
         rows = rows.unionByName(p)
     if len(parts) > 1:
         rows = rows.groupBy(schema.pk).agg(F.sum("_score").alias("_score"))
-    return retrieval.top(rows, schema.pk, size)
+    sort = sort_spec(body["sort"], schema) if body.get("sort") else None
+    fields = [s for s in sort or [] if s["field"] not in ("_score", schema.pk)]
+    if fields:
+        least = {"min": F.array_min, "max": F.array_max}
+        shown = [(least[s["mode"]](s["field"]) if s["multi"] else F.col(s["field"])).alias(s["field"]) for s in fields]
+        rows = rows.join(df.select(schema.pk, *shown), schema.pk)
+    after = body.get("search_after")
+    if after is not None and sort and len(after) == len(sort) and sort[-1]["field"] != schema.pk:
+        raise QueryError("search_after needs the key as its last value")
+    return ranking.page(rows, schema.pk, sort, size, start, after)
 
 
 def _knn(df: DataFrame, schema: Schema, one: dict, now) -> DataFrame:
     from millrace.functions.predicates import condition
 
+    k = one.get("k", 10)
+    if one.get("num_candidates", k) < k:
+        raise QueryError("[num_candidates] is at least [k]")
     where = condition(schema, to_query(one["filter"], schema, now)) if one.get("filter") else None
-    return knn(df, schema.pk, one["field"], one["query_vector"], one.get("k", 10), one.get("similarity_kind", "cosine"), one.get("similarity"), where, one.get("boost", 1.0))
+    return knn(df, schema.pk, one["field"], one["query_vector"], k, one.get("similarity_kind", "cosine"), one.get("similarity"), where, one.get("boost", 1.0))
 
 
-def _retriever(df: DataFrame, schema: Schema, spec: dict, size: int, now) -> DataFrame:
+def _retriever(df: DataFrame, schema: Schema, spec: dict, size: int, now, index=None) -> DataFrame:
     kind, body = _one(spec)
     if kind == "standard":
-        return search(df, schema, {"size": size, "query": body["query"]}, now)
+        return search(df, schema, {"size": size, "query": body["query"]}, now, index)
     if kind == "knn":
         return retrieval.top(_knn(df, schema, body, now), schema.pk, size)
     if kind == "rrf":
         constant, window = body.get("rank_constant", 60), body.get("rank_window_size", max(size, 10))
         if constant < 1:
             raise QueryError("rank_constant is at least 1")
-        return fusion.rrf([_retriever(df, schema, r, window, now) for r in body["retrievers"]], schema.pk, size, constant)
+        return fusion.rrf([_retriever(df, schema, r, window, now, index) for r in body["retrievers"]], schema.pk, size, constant)
     raise QueryError(f"unknown retriever [{kind}]")
 
 
-def merged(results: Sequence[tuple[str, DataFrame]], pk: str, size: int) -> DataFrame:
-    """Hits of several indexes by score, key and index name."""
+def merged(results: Sequence[tuple[str, DataFrame]], pk: str, size: int, sort: Sequence[dict] | None = None) -> DataFrame:
+    """Hits of several indexes by score, or by the sort columns that all have, then key and index name."""
     out = None
+    by = [s["field"] for s in sort or []]
     for name, df in results:
-        part = df.select(F.lit(name).alias("_index"), pk, "_score")
+        part = df.select(F.lit(name).alias("_index"), *dict.fromkeys([pk, "_score", *by]))
         out = part if out is None else out.unionByName(part)
-    return out.orderBy(F.col("_score").desc(), pk, "_index").limit(size)
+    return out.orderBy(*ranking.order_by(sort, pk), "_index").limit(size)
+
+
+def msearch(collections: dict[str, tuple], requests: Sequence[tuple[str, dict]], now: datetime | None = None) -> list[dict]:
+    """Several searches, each of (index name, body): ``{"status": 200, "hits": plan}``, or the error of one that fails,
+    which does not stop the others. ``collections`` has (df, schema, text index or None) by name."""
+    out: list[dict] = []
+    for name, body in requests:
+        if name not in collections:
+            out.append({"status": 404, "error": f"no such index [{name}]"})
+            continue
+        df, schema, index = collections[name]
+        try:
+            out.append({"status": 200, "hits": search(df, schema, body, now, index)})
+        except (QueryError, ValueError, KeyError) as e:
+            out.append({"status": 400, "error": str(e)})
+    return out
+
+
+def mget(df: DataFrame, pk: str, ids: Sequence) -> DataFrame:
+    """The documents of the ids in the asked order, with ``found``; a missing one has nulls."""
+    there = df.withColumn("found", F.lit(True))
+    return ranking.get(there, pk, ids).withColumn("found", F.coalesce("found", F.lit(False)))
 
 
 def counts(df: DataFrame, schema: Schema, queries: dict[str, dict], now: datetime | None = None) -> DataFrame:
@@ -189,6 +261,23 @@ def bulk_ops(lines: DataFrame, ordinal: str = "ordinal", line: str = "line") ->
     return ops.select(ordinal, "action", key.alias("_id"), kind.alias("op"), doc.alias("doc"), upsert.alias("upsert"))
 
 
+#: The status of each outcome of a bulk action.
+_STATUS = {"Created": 201, "Updated": 200, "Noop": 200, "Deleted": 200, "NotFound": 404, "Conflict": 409}
+
+
+def bulk_results(ops: DataFrame, snapshot: DataFrame, key: str = "_id", ordinal: str = "ordinal") -> DataFrame:
+    """(ordinal, action, key, result, status) of each action of a bulk request (see ``bulk_ops``) on a snapshot (key,
+    doc): what it did, in order; ``create`` of a present document is a conflict and changes nothing."""
+    whole = ops.withColumn("mode", F.lit("merge_deep")).withColumn("delete_keys", F.lit(None).cast("array<string>"))
+    # an action that creates is a patch without changes where the document is there, and inserts it where it is not
+    creates = F.col("action") == "create"
+    shaped = whole.withColumn("upsert", F.when(creates, F.col("doc")).otherwise(F.col("upsert"))).withColumn("op", F.when(creates, "patch").otherwise(F.col("op"))).withColumn("doc", F.when(creates, "{}").otherwise(F.col("doc")))
+    done = oplog.write_results(shaped, snapshot, key, ordinal).join(ops.select(ordinal, "action"), ordinal)
+    result = F.when((F.col("action") == "create") & (F.col("result") == "Noop"), "Conflict").otherwise(F.col("result"))
+    status = F.create_map(*[F.lit(x) for pair in _STATUS.items() for x in pair])
+    return done.select(ordinal, "action", key, result.alias("result")).withColumn("status", status[F.col("result")])
+
+
 _ASSIGN = re.compile(r"ctx\._source\.([\w.]+)\s*=\s*(params\.(\w+)|'([^']*)'|-?\d+(?:\.\d+)?|true|false|null)")
 _REMOVE = re.compile(r"ctx\._source\.remove\('([\w.]+)'\)")
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from millrace.functions import analyzers, kernels
 from millrace.functions.predicates import Field, Schema
+from millrace.operators import text_index
 from millrace.plans.search import Collection
 from millrace.session import load
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Collection:
+    """With the stored text index of the table's version."""
     fields = {
         "text": Field("text", "text"),
         "lang": Field("keyword", "lang"),
@@ -20,7 +22,8 @@ def documents(spark: SparkSession, sf_dir: str) -> Collection:
         "n_chars": Field("i64", "n_chars"),
         "updated_at": Field("date", "updated_at"),
     }
-    return Collection(load(spark, sf_dir, "documents"), Schema(fields, "doc_id"), {})
+    df, schema = load(spark, sf_dir, "documents"), Schema(fields, "doc_id")
+    return Collection(df, schema, {}, index=text_index.stored(df, schema))
 
 
 def parts(spark: SparkSession, sf_dir: str) -> Collection:
@@ -33,8 +36,8 @@ def parts(spark: SparkSession, sf_dir: str) -> Collection:
         "price": Field("f64", "p_retailprice"),
         "tags": Field("keyword", "tags", multi=True),
     }
-    df = load(spark, sf_dir, "part").withColumn("tags", F.split("p_name", " "))
-    return Collection(df, Schema(fields, "p_partkey"), {})
+    df, schema = load(spark, sf_dir, "part").withColumn("tags", F.split("p_name", " ")), Schema(fields, "p_partkey")
+    return Collection(df, schema, {}, index=text_index.stored(df, schema))
 
 
 def events(spark: SparkSession, sf_dir: str) -> Collection:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import kernels
 from millrace.functions.predicates import scored
-from millrace.operators import ann, fusion, grouping, points, ranking, retrieval, search_dsl
+from millrace.operators import ann, fusion, grouping, points, ranking, retrieval, search_dsl, text_index
 from millrace.plans import catalog
 from millrace.plans.search import search
 from millrace.plans.sql import Engine
@@ -140,7 +140,7 @@ def _text_query(name: str, q: dict, sql: str, k: int = 40):
     @query(name, sql)
     def _(s, d):
         c = catalog.documents(s, d)
-        return rounded(ranked(retrieval.text(c.df, c.schema, q, k), "doc_id"))
+        return rounded(ranked(retrieval.text(c.df, c.schema, q, k, index=c.index), "doc_id"))
 
 
 def _sum_of(words: list[str], having: str = "") -> str:
@@ -190,7 +190,7 @@ _text_query("query_string", {"query_string": {"query": '+lease -cache "hot tier"
 def _(s, d):
     c = catalog.parts(s, d)
     q = {"multi_match": {"fields": ["name", "kind"], "text": "red promo", "tie_breaker": 0.3}}
-    return rounded(ranked(retrieval.text(c.df, c.schema, q, 60), "p_partkey"), digits=5)
+    return rounded(ranked(retrieval.text(c.df, c.schema, q, 60, index=c.index), "p_partkey"), digits=5)
 
 
 for _kind, _join in {"most_fields": "x.sa + y.sb", "cross_fields": None}.items():
@@ -198,7 +198,7 @@ for _kind, _join in {"most_fields": "x.sa + y.sb", "cross_fields": None}.items()
     def _multi(s, d, kind=_kind):
         c = catalog.parts(s, d)
         q = {"multi_match": {"fields": ["name", "kind^2"], "text": "red promo", "type": kind, "operator": "and" if kind == "cross_fields" else "or"}}
-        return rounded(ranked(retrieval.text(c.df, c.schema, q, 60), "p_partkey"), digits=5)
+        return rounded(ranked(retrieval.text(c.df, c.schema, q, 60, index=c.index), "p_partkey"), digits=5)
 
     query(
         f"multi_match_{_kind}",
@@ -210,15 +210,23 @@ for _kind, _join in {"most_fields": "x.sa + y.sb", "cross_fields": None}.items()
     )(_multi)
 
 
-@query("bm25_postings", f"WITH {_BM} " + top_sql(_sum_of(["lease", "cache"]), "doc_id", 40))
+@query("bm25_unindexed", f"WITH {_BM} " + top_sql(_sum_of(["lease", "cache"]), "doc_id", 40))
 def _(s, d):
-    from millrace.functions.analyzers import tokens
-    from millrace.functions.predicates import norm_twice_mid
+    """Without the stored index: the texts themselves are tokenised."""
+    c = catalog.documents(s, d)
+    return rounded(ranked(retrieval.text(c.df, c.schema, {"match": {"field": "text", "text": "lease cache"}}, 40), "doc_id"))
+
 
-    df = load(s, d, "documents")
-    toks = tokens(F.col("text"), "simple")
-    stats = df.agg(F.count("*").alias("n"), F.floor(F.sum(norm_twice_mid(F.coalesce(F.size(toks), F.lit(0)).cast("long"))) / 2).alias("total")).first()
-    return rounded(ranked(retrieval.search_postings(retrieval.term_postings(df, "doc_id", toks), stats.n, stats.total, ["lease", "cache"], "doc_id", 40), "doc_id"))
+@query("text_index_build", f"WITH {_BM} SELECT 'text' AS field, (SELECT docs FROM bm_s) AS docs, CAST((SELECT total FROM bm_s) AS BIGINT) AS total, (SELECT count(*) FROM bm_d) AS terms, (SELECT count(*) FROM bm_f) AS postings, CAST((SELECT sum(tf) FROM bm_f) AS BIGINT) AS places")
+def _(s, d):
+    """Builds an index anew and counts what it holds."""
+    c = catalog.documents(s, d)
+    index = text_index.build(c.df, c.schema)
+    postings = index.postings(s, "text").where("term is not null")
+    counted = postings.agg(F.count("*").alias("postings"), F.sum(F.size("places").cast("long")).alias("places"))
+    terms = index.terms(s, "text").agg(F.count("*").alias("terms"))
+    docs, total = index.stats["text"]
+    return terms.crossJoin(counted).select(F.lit("text").alias("field"), F.lit(docs).cast("long").alias("docs"), F.lit(total).cast("long").alias("total"), "terms", "postings", "places")  # one row
 
 
 # predicates as filters: matching keys
@@ -263,7 +271,7 @@ def _filter_query(name: str, table: str, q: dict, sql: str):
     @query(name, sql)
     def _(s, d):
         c = {"part": catalog.parts, "events": catalog.events, "documents": catalog.documents}[table](s, d)
-        return scored(c.df, c.schema, q).select(_PK[table])
+        return retrieval.matches(c.df, c.schema, q, index=c.index).select(_PK[table])
 
 
 for _f in _FILTERS:
@@ -527,7 +535,7 @@ def _(s, d):
 def _(s, d):
     c = catalog.documents(s, d)
     body = {"size": 20, "query": {"bool": {"must": [{"match": {"text": "lease tier"}}], "filter": [{"range": {"updated_at": {"gte": "2026-03-10||/M", "lt": "2026-05-31||+1d/d"}}}]}}}
-    return rounded(ranked(search_dsl.search(c.df, c.schema, body), "doc_id"))
+    return rounded(ranked(search_dsl.search(c.df, c.schema, body, index=c.index), "doc_id"))
 
 
 for _similarity, _formula in {
@@ -554,14 +562,14 @@ def _(s, d):
 def _(s, d):
     c = catalog.documents(s, d)
     body = {"size": 15, "retriever": {"rrf": {"rank_constant": 10, "rank_window_size": 50, "retrievers": [{"standard": {"query": {"match": {"text": t}}}} for t in ("lease expires", "shadowed rows")]}}}
-    return rounded(ranked(search_dsl.search(c.df, c.schema, body), "doc_id"))
+    return rounded(ranked(search_dsl.search(c.df, c.schema, body, index=c.index), "doc_id"))
 
 
 @query("dsl_hybrid_sum", top_sql(f"SELECT vec_id, sum(s) AS _score FROM (SELECT vec_id, 1.0::DOUBLE AS s FROM embeddings WHERE label = 3 UNION ALL SELECT vec_id, 2 * (1 + s) / 2 FROM (SELECT vec_id, {sim(kernels.COSINE, VEC)} AS s FROM embeddings ORDER BY s DESC, vec_id LIMIT 15)) GROUP BY vec_id", "vec_id", 30))
 def _(s, d):
     c = catalog.embeddings(s, d)
     body = {"size": 30, "query": {"term": {"label": 3}}, "knn": {"field": "embedding", "query_vector": catalog.vector_of(s, d, VEC), "k": 15, "boost": 2.0}}
-    return rounded(ranked(search_dsl.search(c.df, c.schema, body), "vec_id"))
+    return rounded(ranked(search_dsl.search(c.df, c.schema, body, index=c.index), "vec_id"))
 
 
 @query("dsl_multi_index", "SELECT * FROM (SELECT 'customer' AS _index, c_custkey AS k, c_acctbal AS _score FROM customer UNION ALL SELECT 'supplier', s_suppkey, s_acctbal FROM supplier) ORDER BY _score DESC, k, _index LIMIT 40")

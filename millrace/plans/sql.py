@@ -8,11 +8,10 @@ import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from millrace.functions.predicates import QueryError, condition
-from millrace.operators import fusion, retrieval
-from millrace.plans.search import Collection
+from millrace.operators import fusion
+from millrace.plans.search import Collection, candidates
 
 #: Hits of a search function, and rows of a result.
 SEARCH_K, MAX_ROWS = 1000, 10_000
@@ -110,29 +109,32 @@ class Engine:
 
         texts = [n for n, f in c.schema.fields.items() if f.kind == "text"]
         if call == "vector_search":
-            _, vector, field, k, filters, _exact = args[:6]
+            _, vector, field, k, filters, exact = args[:6]
             field = field or only(list(c.vectors), "vector")
             if field not in c.vectors:
                 raise SqlError(f"no vector field {field}")
-            return c, retrieval.knn(c.df, c.pk, field, vector, k or SEARCH_K, c.vectors[field], self._filter(c, filters))
+            spec = {"vector": {"field": field, "query": vector, "k": k or SEARCH_K, "params": {"exact": bool(exact)}}}
+            return c, candidates(c, spec, self._filter(c, filters))
         if call == "text_search":
             _, text, field, k, filters = args[:5]
             query = {"match": {"field": field or only(texts, "text"), "text": text}}
-            return c, retrieval.text(c.df, c.schema, query, k or SEARCH_K, self._filter(c, filters))
+            return c, candidates(c, {"text": {"query": query, "k": k or SEARCH_K}}, self._filter(c, filters))
         _, vf, vector, tf, text, k, kind, rrf_k, filters = args[:9]
-        where, k = self._filter(c, filters), k or SEARCH_K
-        dense = retrieval.knn(c.df, c.pk, vf or only(list(c.vectors), "vector"), vector, k, c.vectors[vf or only(list(c.vectors), "vector")], where)
-        words = retrieval.text(c.df, c.schema, {"match": {"field": tf or only(texts, "text"), "text": text}}, k, where)
+        own, k = self._filter(c, filters), k or SEARCH_K
+        dense = candidates(c, {"vector": {"field": vf or only(list(c.vectors), "vector"), "query": vector, "k": k}}, own)
+        words = candidates(c, {"text": {"query": {"match": {"field": tf or only(texts, "text"), "text": text}}, "k": k}}, own)
         spec = {"rrf": {"k": rrf_k or fusion.RRF_K}} if (kind or "rrf") == "rrf" else kind
         return c, fusion.fuse([dense, words], c.pk, k, spec)
 
-    def _filter(self, c: Collection, text: str | None):
+    def _filter(self, c: Collection, text: str | None) -> dict | None:
         if text is None:
-            return F.lit(True)
+            return None
         try:
-            return condition(c.schema, json.loads(text))
+            query = json.loads(text)
+            condition(c.schema, query)
         except (ValueError, QueryError) as e:
             raise SqlError(f"bad filter: {e}") from e
+        return query
 
     def _call(self, call: str, args: list[str]) -> tuple[Collection, DataFrame]:
         if call != "rrf":

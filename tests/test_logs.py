@@ -271,3 +271,48 @@ def test_dynamic_mapping_and_extraction(spark):
     rows = collections.with_fields(spark.createDataFrame(values, "id long, src string"), "src", {"n": "i64", "b": "bool", "d": "date", "u": "uuid", "f": "f64"}).orderBy("id").collect()
     assert [r.n for r in rows] == [4, None, -7] and [r.b for r in rows] == [False, None, True] and [r.f for r in rows] == [2.5, None, None]
     assert [str(r.d) for r in rows] == ["2026-01-02 00:00:00", "2023-11-14 22:13:20", "2026-01-02 03:04:05"] and rows[0].u == "0a2b3c4d-0000-4000-8000-000000000001" and rows[1].u is None
+
+
+def test_write_results(spark):
+    rows = random_log(300) + [("p", 300, "patch", '{"a":1}', None, None, None), ("q", 301, "patch", "{}", None, None, '{"n":1}'), ("q", 302, "patch", '{"n":1}', None, ["zz"], None), ("q", 303, "upsert", '{"n":1}', None, None, None), ("held", 304, "patch", '{"x":{"y":1}}', None, None, None), ("held", 305, "delete", None, None, None, None), ("held", 306, "delete", None, None, None, None)]
+    state, want = {"held": {"x": {"y": 1}}, "hot": {"b": 2}}, {}
+    for k, at, *op in rows:
+        if k is None:
+            continue
+        before, after = state.get(k), apply_op(state.get(k), *op)
+        state[k] = after
+        want[at] = ("NotFound" if before is None else "Deleted") if op[0] == "delete" else ("NotFound" if after is None else "Created") if before is None else "Noop" if op[0] == "patch" and before == after else "Updated"
+    snapshot = spark.createDataFrame([("held", '{"x":{"y":1}}'), ("hot", '{"b":2}'), ("unused", "{}")], "k string, doc string")
+    got = {r.at: r.result for r in oplog.write_results(spark.createDataFrame(rows, OPS), snapshot, "k", "at").collect()}
+    assert got == want and [want[i] for i in range(300, 307)] == ["NotFound", "Created", "Noop", "Updated", "Noop", "Deleted", "NotFound"]
+    assert oplog.write_results(spark.createDataFrame([], OPS), snapshot, "k", "at").count() == 0
+
+
+def test_writes_by_filter_in_batches(spark):
+    df = spark.range(2500).selectExpr("2500 - id as k")
+    got = {r.k: r.batch_at for r in oplog.delete_by_filter(df, "k", F.col("k") % 2 == 0).collect()}
+    assert got == {k: i // 1000 for i, k in enumerate(range(2, 2501, 2))}
+    patches = oplog.patch_by_filter(df, "k", F.col("k") > 2490, {"a": 1}, size=4).orderBy("k").collect()
+    assert [(r.k, r.op, r.doc, r.batch_at) for r in patches] == [(2491 + i, "patch", '{"a": 1}', i // 4) for i in range(10)]
+
+
+def test_live_documents(spark):
+    log = [
+        ("a", 1, "insert", '{"x":1,"y":"u"}'), ("a", 2, "patch", '{"x":null,"z":[1]}'), ("a", 3, "insert", '{"q":1}'), ("b", 1, "patch", '{"x":1}'), ("b", 2, "insert", '{"x":2}'), ("b", 3, "delete", None), ("c", 1, "insert", "{}"), ("c", 2, "delete", None),
+        ("c", 3, "patch", '{"p":1}'), ("c", 4, "insert", '{"k":5}'), ("d", 1, "insert", '{"a":1}'), ("d", 2, "patch", '{"b":2}'), ("d", 3, "replace", '{"c":3}'), ("d", 4, "patch", '{"d":4}'), ("e", 1, "replace", '{"c":3}'), (None, 1, "insert", "{}"),
+    ]
+    df = spark.createDataFrame(log, "_id string, at long, op string, doc string")
+    got = {r._id: (r.created.at, r.doc) for r in live.fold_documents(df, "_id", ["at"]).collect()}
+    assert got == {"a": (1, {"y": "u", "z": "[1]"}), "c": (4, {"k": "5"}), "d": (1, {"c": "3", "d": "4"})}
+    assert live.get(df, "b").count() == 3 and live.fold_documents(df.limit(0), "_id", ["at"]).count() == 0
+
+
+def test_bulk_results(spark):
+    from millrace.operators import search_dsl
+
+    lines = ['{"create":{"_id":"1"}}', '{"a":1}', '{"create":{"_id":"9"}}', '{"a":1}', '{"index":{"_id":"9"}}', '{"a":2}', '{"update":{"_id":"7"}}', '{"doc":{"a":1}}', '{"update":{"_id":"1"}}', '{"doc":{"k":1}}', '{"delete":{"_id":"9"}}', '{"delete":{"_id":"9"}}']
+    ops = search_dsl.bulk_ops(spark.createDataFrame(list(enumerate(lines)), "ordinal int, line string"))
+    got = search_dsl.bulk_results(ops, spark.createDataFrame([("1", '{"k":1}')], "_id string, doc string")).orderBy("ordinal").collect()
+    assert [(r.action, r._id, r.result, r.status) for r in got] == [
+        ("create", "1", "Conflict", 409), ("create", "9", "Created", 201), ("index", "9", "Updated", 200), ("update", "7", "NotFound", 404), ("update", "1", "Noop", 200), ("delete", "9", "Deleted", 200), ("delete", "9", "NotFound", 404),
+    ]

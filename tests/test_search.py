@@ -418,3 +418,103 @@ def test_score_threshold_has_no_limit(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "embeddings.parquet"))
     got = QUERIES["score_threshold"](spark, str(tmp_path))
     assert got.agg(F.count("*"), F.count_distinct("vec_id"), F.min("_score"), F.max("_score")).first()[:] == (109_780, 109_780, 1.0, 1.0)
+
+
+def test_index_gives_what_the_texts_give(spark, tmp_path):
+    """Every query, by the stored index and by the texts themselves."""
+    from millrace.operators import text_index
+
+    spark.createDataFrame(DOCS, COLUMNS).write.parquet(str(tmp_path / "docs"))
+    df = spark.read.parquet(str(tmp_path / "docs"))
+    index = text_index.stored(df, SCHEMA)
+    assert text_index.stored(spark.read.parquet(str(tmp_path / "docs")), SCHEMA) is index and index.stats["body"] == (5, 16)
+    more = [
+        {"match": {"field": "body", "text": "hot rows", "fuzziness": 1}}, {"match_phrase": {"field": "body", "text": "a hot cache", "slop": 2}}, {"multi_match": {"fields": ["body^2", "tag"], "text": "hot a"}},
+        {"bool": {"should": [{"match": {"field": "body", "text": "hot"}}, {"term": {"field": "tag", "value": "a"}}]}}, {"bool": {"must_not": [{"match": {"field": "body", "text": "hot"}}]}},
+        {"bool": {"must": [{"match": {"field": "body", "text": "hot"}}], "filter": [{"range": {"field": "n", "gte": 2}}]}}, {"terms": {"field": "body", "values": ["hot", "rows"]}},
+    ]
+    for query in [q for q, _ in CASES] + more:
+        want = {r.id: r._score for r in scored(df, SCHEMA, query).collect()}
+        got = {r.id: r._score for r in text_index.scored(df, SCHEMA, query, index).collect()}
+        assert got == pytest.approx(want), query
+    got = text_index.scored(df, SCHEMA, {"match": {"field": "body", "text": "hot"}}, index, {"term": {"field": "tag", "value": "b"}})
+    assert [r.id for r in got.collect()] == [2]
+    empty = text_index.build(df.limit(0), SCHEMA)
+    assert empty.stats["body"] == (0, 0) and text_index.scored(df.limit(0), SCHEMA, {"match": {"field": "body", "text": "hot"}}, empty).count() == 0
+
+
+def test_index_of_long_and_repeated_words(spark):
+    from millrace.operators import text_index
+
+    rows = [(i, " ".join(f"w{'abcdefgh'[j % (i + 1)]}" for j in range(40 * i))) for i in range(8)] + [(9, None), (10, "wa"), (None, "wa")]
+    df = spark.createDataFrame(rows, "id long, body string")
+    schema = Schema({"body": Field("text", "body")}, "id")
+    index = text_index.build(df, schema)
+    want = {}
+    for i, t in rows:
+        for at, w in enumerate((t or "").split()):
+            if i is not None:
+                want.setdefault((w, i), []).append(at)
+    postings = {(r.term, r.pk): r for r in index.postings(spark, "body").where("term is not null").collect()}
+    assert {k: r.places for k, r in postings.items()} == want and all(r.tf == len(r.places) for r in postings.values())
+    assert {r.term: r.df for r in index.terms(spark, "body").collect()} == {w: sum(k[0] == w for k in want) for w, _ in want}
+    assert index.stats["body"][0] == 10
+
+
+def test_domain_of_totals_and_aggregations(docs):
+    c = Collection(docs, SCHEMA, {"v": kernels.COSINE})
+    base = {"retrievers": [{"text": {"query": {"match": {"field": "body", "text": "hot rows"}}, "k": 1}}], "track_total_hits": "exact", "aggregations": {"t": {"terms": {"field": "tag"}}}}
+    count = lambda r: (r.total.first().value, {(x.t, x.doc_count) for x in r.aggregations["t"].collect()})
+    assert count(search(c, base)) == (3, {("a", 2), ("b", 1)})  # all matches, not the k best
+    assert count(search(c, base | {"score_threshold": 0.0})) == (1, {("a", 1)})
+    assert count(search(c, base | {"filter": {"term": {"field": "tag", "value": "b"}}})) == (1, {("b", 1)})
+    with pytest.raises(QueryError):
+        search(c, base | {"sorted": True})
+
+
+def test_vector_requests_by_a_list_index(spark, docs):
+    from millrace.operators import ann
+
+    rows = [(i, [float(i % 40), float(i // 40)], i % 3) for i in range(1600)]
+    df = spark.createDataFrame(rows, "id long, v array<float>, g int")
+    index = ann.build(df, "id", "v", kernels.EUCLID, lists=20)
+    c = Collection(df, Schema({"g": Field("i64", "g")}, "id"), {"v": kernels.EUCLID}, lists={"v": index})
+    ask = lambda **more: [r.id for r in search(c, {"retrievers": [{"vector": {"field": "v", "query": [7.2, 8.1], "k": 9} | more}]}).hits.collect()]
+    exact = [r.id for r in retrieval.knn(df, "id", "v", [7.2, 8.1], 9, kernels.EUCLID).collect()]
+    assert ask(params={"exact": True}) == exact and ask(params={"nprobes": 20}) == exact and ask(params={"nprobes": 3, "oversampling": 3}) == exact
+    assert ask(distance=kernels.MANHATTAN)[0] == exact[0] and len(ask(filter={"term": {"field": "g", "value": 1}})) == 9
+    # below the number of rows that a scan is as good for, and above it: strategies
+    assert ann.strategy(5000, 900, 2) == ann.ALLOWED and ann.strategy(5000, 1001, 2) == ann.POSTFILTER and ann.strategy(50_000, 1001, 2) == ann.PREFILTER
+    few = index.search([7.2, 8.1], 1200, probes=1)[0]  # more than one list holds
+    assert few.count() == 1200
+
+
+def test_dsl_sort_and_paging(docs):
+    ask = lambda **body: [r.id for r in search_dsl.search(docs, SCHEMA, body).collect()]
+    assert ask(sort=[{"n": {"order": "desc", "missing": "_first"}}]) == [3, 4, 2, 1, 5]
+    assert ask(sort=["tag", {"n": "desc"}], size=3) == [1, 3, 5]
+    assert ask(sort=[{"tags": "asc"}]) == [5, 1, 2, 3, 4] and ask(sort="_doc", **{"from": 3}) == [4, 5]
+    assert ask(sort=[{"n": "asc"}, "_doc"], search_after=[1, 1]) == [2, 4, 3] and ask(query={"match": {"body": "hot"}}, sort=["_score"]) == ask(query={"match": {"body": "hot"}})
+    for bad in ({"sort": ["body"]}, {"sort": ["nope"]}, {"sorts": []}, {"sort": [{"n": {"nested": 1}}]}, {"from": 1, "search_after": [1]}, {"aggs": {}}, {"knn": {"field": "v", "query_vector": [1.0, 0.0], "k": 5, "num_candidates": 2}}):
+        with pytest.raises(QueryError):
+            search_dsl.search(docs, SCHEMA, bad)
+    got = search_dsl.msearch({"a": (docs, SCHEMA, None)}, [("a", {"size": 1}), ("b", {}), ("a", {"x": 1})])
+    assert [g["status"] for g in got] == [200, 404, 400] and got[0]["hits"].count() == 1
+    assert [(r.id, r.found, r.tag) for r in search_dsl.mget(docs, "id", [2, 77, 1]).collect()] == [(2, True, "b"), (77, False, None), (1, True, "a")]
+
+
+def test_empty_buckets(docs):
+    spec = {"t": {"terms": {"field": "tag"}, "aggs": {"r": {"range": {"field": "n", "ranges": [{"to": 0}, {"from": 0, "to": 5}, {"from": 5}]}, "aggs": {"s": {"sum": {"field": "x"}}, "a": {"avg": {"field": "x"}}}}}}}
+    got = {(r.t, r.r): (r.doc_count, r.s, r.a) for r in aggregate(docs, spec)["t>r"].collect()}
+    assert len(got) == 9 and got["a", "*-0.0"] == (0, 0.0, None) and got["b", "0.0-5.0"] == (1, 0.0, None) and got["a", "0.0-5.0"] == (1, 1.5, 1.5)
+    months = aggregate(docs, {"m": {"date_histogram": {"field": "d", "calendar_interval": "month"}}})["m"].orderBy("m").collect()
+    assert [r.doc_count for r in months] == [1, *[0] * 11, 2, 1] and months[3].m == datetime(2025, 4, 1)
+    assert len(aggregate(docs, {"m": {"date_histogram": {"field": "d", "calendar_interval": "month", "min_doc_count": 1}}})["m"].collect()) == 3
+    hours = aggregate(docs, {"h": {"date_histogram": {"field": "d", "fixed_interval": "12h"}}})["h"]
+    assert hours.agg(F.sum("doc_count"), F.count("*")).first()[:] == (4, 2 * 396 + 1)
+    steps = {r.h: r.doc_count for r in aggregate(docs, {"h": {"histogram": {"field": "x", "interval": 1}}})["h"].collect()}
+    assert steps == {-2.0: 1, -1.0: 0, 0.0: 1, 1.0: 1, 2.0: 0, 3.0: 1}
+    with pytest.raises(Exception, match="buckets"):
+        aggregate(docs, {"h": {"histogram": {"field": "n", "interval": 1}}})["h"].collect()
+    kept = aggregate(docs, {"t": {"terms": {"field": "tag", "size": 1}, "aggs": {"best": {"top_hits": {"size": 2}}}}}, pk="id")["t>best"]
+    assert {r.tag if "tag" in r else r.t for r in kept.collect()} == {"a"}
