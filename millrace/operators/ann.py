@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import kernels
 from millrace.operators import retrieval
-from millrace.session import cut, fresh_path
+from millrace.session import cut, file_versions, fresh_path
 
 #: Rows up to which a scan is as good, lists probed at least, divisor of the lists for more, share of
 #: matching rows up to which all their lists are read, growth and number of retries. ``SCAN_ROWS`` is a parameter of the
@@ -119,3 +119,15 @@ def build(df: DataFrame, pk: str, field: str, distance: str = kernels.COSINE, li
     spread = placed.repartition("list", F.pmod(F.xxhash64(pk), files))
     spread.write.mode("overwrite").partitionBy("list").parquet(path)
     return ListIndex(path, pk, field, distance, np.array(model.clusterCenters()), total, spark.read.parquet(path), sizes)
+
+
+def stored(df: DataFrame, pk: str, field: str, distance: str = kernels.COSINE) -> ListIndex:
+    """The list index of a table of files, built when it is first asked for in a Spark application and for each version
+    of the files."""
+    context = df.sparkSession.sparkContext
+    if not hasattr(context, "_millrace_lists"):
+        context._millrace_lists = {}
+    key = (file_versions(df), pk, field, distance)
+    if key not in context._millrace_lists:
+        context._millrace_lists[key] = build(df, pk, field, distance)
+    return context._millrace_lists[key]

@@ -26,6 +26,16 @@ def sort_columns(sort: Sequence[dict] | None, pk: str) -> list[tuple[str, bool,
     return out if any(c == pk for c, *_ in out) else [*out, (pk, False, True)]
 
 
+def cross_type(value: Column) -> Column:
+    """A variant as a struct that sorts across types: null, then booleans, numbers (NaN last), text, anything else."""
+    kind = F.schema_of_variant(value)
+    is_number = kind.rlike("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")
+    rank = F.when(kind == "VOID", 0).when(kind == "BOOLEAN", 1).when(is_number, 2).when(kind == "STRING", 3).otherwise(4)
+    number = F.when(is_number, F.try_variant_get(value, "$", "double")).when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean").cast("double"))
+    text = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(rank == 4, F.to_json(value))
+    return F.struct(F.coalesce(rank, F.lit(0)).alias("rank"), number.alias("number"), text.alias("text"))
+
+
 def order_by(sort: Sequence[dict] | None, pk: str) -> list[Column]:
     out = []
     for column, desc, last in sort_columns(sort, pk):

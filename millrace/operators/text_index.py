@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions.predicates import EXPANSIONS, Compiler, Field, Schema, norm_twice_mid
-from millrace.session import at_least, fresh_path, ship
+from millrace.session import at_least, file_versions, fresh_path, ship
 
 
 def _inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -86,24 +86,13 @@ def build(df: DataFrame, schema: Schema, fields: Sequence[str] | None = None, pa
     return TextIndex(path, schema.pk, kind, stats)
 
 
-def _fingerprint(df: DataFrame) -> tuple:
-    """The files a table is read from, with their sizes and times: another version has another one."""
-    spark = df.sparkSession
-    out = []
-    for name in sorted(df.inputFiles()):
-        at = spark._jvm.org.apache.hadoop.fs.Path(name)
-        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
-        out.append((name, status.getLen(), status.getModificationTime()))
-    return tuple(out)
-
-
 def stored(df: DataFrame, schema: Schema) -> TextIndex:
     """The index of a table of files, built when it is first asked for in a Spark application and for each version of
     the files, and read from then on."""
     context = df.sparkSession.sparkContext
     if not hasattr(context, "_millrace_indexes"):
         context._millrace_indexes = {}
-    key = (_fingerprint(df), schema.pk, tuple((n, f.column, f.analyzer) for n, f in schema.fields.items() if f.kind == "text"))
+    key = (file_versions(df), schema.pk, tuple((n, f.column, f.analyzer) for n, f in schema.fields.items() if f.kind == "text"))
     if key not in context._millrace_indexes:
         context._millrace_indexes[key] = build(df, schema)
     return context._millrace_indexes[key]
@@ -116,7 +105,7 @@ class IndexedCompiler(Compiler):
     def __init__(self, schema: Schema, index: TextIndex, spark: SparkSession):
         super().__init__(schema)
         self.index, self.spark = index, spark
-        self.parts: dict[str, tuple[str, Column, Column]] = {}  # column: field, which postings, aggregate
+        self.parts: dict[str, tuple[str, Column, Column, str]] = {}  # column: field, which postings, aggregate, what for
 
     def _column(self, name: str, kind: str, what, which: Column, made: Column) -> Column:
         known = {v[3]: k for k, v in self.parts.items()}

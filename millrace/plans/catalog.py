@@ -76,3 +76,10 @@ def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("user_id") % 4).cast("int").alias("partition"), "user_id", "event_id", op.alias("op"), doc.alias("doc"), F.lit("merge_deep").alias("mode"),
         F.when(op == "patch", F.array(F.lit("first"))).alias("delete_keys"), F.lit(None).cast("string").alias("upsert"), "event_type", "value", "ts",
     )
+
+
+def json_events(spark: SparkSession, sf_dir: str) -> Collection:
+    """Events with documents that spell one path in six ways."""
+    payload = F.element_at(F.array(*map(F.lit, ['{"a":{"b":7}}', '{"a.b":7}', '{"a":[{"b":"7"},{"b":[]}]}', '{"a":{"b":null}}', '{"a":{"b":[7.5,[7]]}}', "{}"])), (F.col("event_id") % 6).cast("int") + 1)
+    df = load(spark, sf_dir, "events").select("event_id", payload.alias("payload"))
+    return Collection(df, Schema({"payload": Field("json", "payload")}, "event_id"), {}, "payload")

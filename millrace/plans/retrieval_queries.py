@@ -166,9 +166,24 @@ _text_query(
     f"WITH {_BM}, {_PHRASE}, idf AS (SELECT sum(ln(1 + (docs - df + 0.5) / (df + 0.5))) AS idf FROM bm_d, bm_s WHERE w IN ('hot', 'tier')) "
     + top_sql("SELECT ph.id AS doc_id, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * low / (total / docs))) AS _score FROM ph JOIN bm_n USING (id), bm_s, idf WHERE tf > 0", "doc_id", 40),
 )
-_text_query("match_phrase_slop", {"match_phrase": {"field": "text", "text": "lease expires", "slop": 2}}, None)
-_text_query("phrase_prefix", {"phrase_prefix": {"field": "text", "text": "the lease exp"}}, None)
-_text_query("match_fuzzy", {"match": {"field": "text", "text": "laese", "fuzziness": "AUTO"}}, None)
+_SLOP = """pl AS (SELECT id, list_filter(range(0, len(toks)), lambda i: toks[i + 1] = 'lease') AS a, list_filter(range(-1, len(toks) - 1), lambda i: toks[i + 2] = 'expires') AS b FROM bm_n WHERE len(toks) > 0),
+ph AS (SELECT id, len(list_filter(list_distinct(list_concat(a, b)), lambda v: len(list_filter(a, lambda x: x >= v AND x <= v + 2)) > 0 AND len(list_filter(b, lambda x: x >= v AND x <= v + 2)) > 0)) AS tf FROM pl)"""
+
+
+def _phrase_score(words: str) -> str:
+    return f"idf AS (SELECT sum(ln(1 + (docs - df + 0.5) / (df + 0.5))) AS idf FROM bm_d, bm_s WHERE w IN ({words})), pscore AS (SELECT ph.id, idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * low / (total / docs))) AS s FROM ph JOIN bm_n USING (id), bm_s, idf WHERE tf > 0) "
+
+
+_text_query("match_phrase_slop", {"match_phrase": {"field": "text", "text": "lease expires", "slop": 2}}, f"WITH {_BM}, {_SLOP}, " + _phrase_score("'lease', 'expires'") + top_sql("SELECT id AS doc_id, s AS _score FROM pscore", "doc_id", 40))
+_text_query(
+    "phrase_prefix",
+    {"phrase_prefix": {"field": "text", "text": "the lease exp"}},
+    f"WITH {_BM}, ex AS (SELECT list(w) AS ws FROM (SELECT w FROM bm_d WHERE starts_with(w, 'exp') ORDER BY w LIMIT 50)), "
+    "ph AS (SELECT id, len(list_filter(range(1, len(toks) - 1), lambda i: toks[i] = 'the' AND toks[i + 1] = 'lease' AND list_contains(ws, toks[i + 2]))) AS tf FROM bm_n, ex WHERE len(toks) > 2), "
+    + _phrase_score("'the', 'lease'")
+    + top_sql("SELECT id AS doc_id, s AS _score FROM pscore", "doc_id", 40),
+)
+_text_query("match_fuzzy", {"match": {"field": "text", "text": "laese", "fuzziness": "AUTO"}}, f"WITH {_BM} " + top_sql("SELECT DISTINCT id AS doc_id, 1.0::DOUBLE AS _score FROM bm_f WHERE damerau_levenshtein(w, 'laese') <= 1", "doc_id", 40))
 _text_query(
     "bool_query",
     {"bool": {"must": [{"term": {"field": "text", "value": "lease"}}], "should": [{"term": {"field": "text", "value": "cache"}}], "filter": [{"range": {"field": "n_chars", "gte": 500}}], "must_not": [{"term": {"field": "lang", "value": "de"}}]}},
@@ -178,7 +193,13 @@ _text_query(
     ),
 )
 _text_query("boosted_constant", {"constant_score": {"filter": {"term": {"field": "text", "value": "lease"}}, "boost": 2.5}}, f"WITH {_BM} " + top_sql("SELECT id AS doc_id, 2.5::DOUBLE AS _score FROM bm WHERE w = 'lease'", "doc_id", 40))
-_text_query("query_string", {"query_string": {"query": '+lease -cache "hot tier"', "default_fields": ["text"]}}, None)
+_text_query(
+    "query_string",
+    {"query_string": {"query": '+lease -cache "hot tier"', "default_fields": ["text"]}},
+    f"WITH {_BM}, {_PHRASE}, "
+    + _phrase_score("'hot', 'tier'")
+    + top_sql("SELECT bm.id AS doc_id, bm.s + coalesce(pscore.s, 0) AS _score FROM bm LEFT JOIN pscore ON pscore.id = bm.id WHERE w = 'lease' AND bm.id NOT IN (SELECT id FROM bm_f WHERE w = 'cache')", "doc_id", 40),
+)
 
 
 @query(
@@ -202,7 +223,8 @@ for _kind, _join in {"most_fields": "x.sa + y.sb", "cross_fields": None}.items()
 
     query(
         f"multi_match_{_kind}",
-        None
+        f"WITH {bm25_cte('part', 'p_partkey', 'p_name', 'a')}, {bm25_cte('part', 'p_partkey', 'p_type', 'b')}, u AS (SELECT id, w, max(s) AS s FROM (SELECT id, w, s FROM a UNION ALL SELECT id, w, 2 * s FROM b) WHERE w IN ('red', 'promo') GROUP BY ALL) "
+        + top_sql("SELECT id AS p_partkey, sum(s) AS _score FROM u GROUP BY id HAVING count(*) = 2", "p_partkey", 60, 5)
         if _join is None
         else f"WITH {bm25_cte('part', 'p_partkey', 'p_name', 'a')}, {bm25_cte('part', 'p_partkey', 'p_type', 'b')}, "
         "x AS (SELECT id, sum(s) AS sa FROM a WHERE w IN ('red', 'promo') GROUP BY id), y AS (SELECT id, 2 * sum(s) AS sb FROM b WHERE w IN ('red', 'promo') GROUP BY id) "
@@ -258,19 +280,33 @@ _FILTERS = [
     (
         "pred_bool",
         "part",
-        {"bool": {"must": [{"term": {"field": "tags", "value": "red"}}], "must_not": [{"range": {"field": "size", "lt": 5}}], "should": [{"term": {"field": "type", "value": "PROMO"}}, {"term": {"field": "type", "value": "SMALL"}}, {"range": {"field": "price", "gte": 1000}}], "minimum_should_match": 2}},
-        _PART + "list_contains(string_split(p_name, ' '), 'red') AND NOT p_size < 5 AND (p_type = 'PROMO')::INT + (p_type = 'SMALL')::INT + (p_retailprice >= 1000)::INT >= 2",
+        {"bool": {"must": [{"term": {"field": "tags", "value": "red"}}], "must_not": [{"range": {"field": "size", "lt": 5}}], "should": [{"term": {"field": "type", "value": "PROMO"}}, {"term": {"field": "type", "value": "SMALL"}}, {"range": {"field": "price", "gte": 930}}], "minimum_should_match": 2}},
+        _PART + "list_contains(string_split(p_name, ' '), 'red') AND NOT p_size < 5 AND (p_type = 'PROMO')::INT + (p_type = 'SMALL')::INT + (p_retailprice >= 930)::INT >= 2",
     ),
     ("pred_pure_negative", "part", {"bool": {"must_not": [{"term": {"field": "type", "value": "PROMO"}}]}}, _PART + "p_type <> 'PROMO' OR p_type IS NULL"),
     ("pred_query_string", "part", {"query_string": {"query": "red AND size:[10 TO 20] -type:PROMO", "default_fields": ["name"]}}, _PART + "list_contains(string_split(p_name, ' '), 'red') AND p_size BETWEEN 10 AND 20 AND p_type <> 'PROMO'"),
 ]
-_PK = {"part": "p_partkey", "events": "event_id", "documents": "doc_id"}
+_FILTERS.remove(next(f for f in _FILTERS if f[0] == "pred_is_null_json"))
+_JSON = "SELECT event_id FROM events WHERE event_id % 6 IN "
+_FILTERS += [
+    ("pred_is_null_json", "json", {"is_null": {"field": "payload.a.b"}}, _JSON + "(3)"),
+    ("json_term_number", "json", {"term": {"field": "payload.a.b", "value": 7}}, _JSON + "(0, 1, 4)"),
+    ("json_term_text", "json", {"term": {"field": "payload.a.b", "value": "7"}}, _JSON + "(2)"),
+    ("json_terms", "json", {"terms": {"field": "payload.a.b", "values": [7.5, "7"]}}, _JSON + "(2, 4)"),
+    ("json_range", "json", {"range": {"field": "payload.a.b", "gt": 7, "lt": 8}}, _JSON + "(4)"),
+    ("json_range_text", "json", {"range": {"field": "payload.a.b", "gte": "0"}}, _JSON + "(2)"),
+    ("json_exists", "json", {"exists": {"field": "payload.a.b"}}, _JSON + "(0, 1, 2, 4)"),
+    ("json_is_empty", "json", {"is_empty": {"field": "payload.a.b"}}, _JSON + "(3, 5)"),
+    ("json_values_count", "json", {"values_count": {"field": "payload.a.b", "gte": 2}}, _JSON + "(4)"),
+    ("json_values_count_none", "json", {"values_count": {"field": "payload.a.b", "lt": 1}}, _JSON + "(3, 5)"),
+]
+_PK = {"part": "p_partkey", "events": "event_id", "documents": "doc_id", "json": "event_id"}
 
 
 def _filter_query(name: str, table: str, q: dict, sql: str):
     @query(name, sql)
     def _(s, d):
-        c = {"part": catalog.parts, "events": catalog.events, "documents": catalog.documents}[table](s, d)
+        c = {"part": catalog.parts, "events": catalog.events, "documents": catalog.documents, "json": catalog.json_events}[table](s, d)
         return retrieval.matches(c.df, c.schema, q, index=c.index).select(_PK[table])
 
 
@@ -408,7 +444,7 @@ def _(s, d):
     return ranking.fetch(retrieval.knn(c.df, "vec_id", "embedding", catalog.vector_of(s, d, VEC), 12), c.df, "vec_id", ["label"]).select("vec_id", "label")
 
 
-@query("source_filter", None)
+@query("source_filter", """SELECT row_key, '{"body":' || (_source::JSON->'$.body') || '}' AS _source FROM collection_rows""")
 def _(s, d):
     return load(s, d, "collection_rows").select("row_key", ranking.source_filter(F.col("_source"), ["body", "meta.*"], ["meta.secret"]).alias("_source"))
 
@@ -618,7 +654,17 @@ def _(s, d):
     return _engine(s, d).query("SELECT doc_id, round(_score, 6) AS s FROM rrf(text_search('documents', 'lease expires'), text_search('documents', 'shadowed rows'), 10, 20)")
 
 
-@query("sql_hybrid_search")
+_BOTH = bm25_cte("(SELECT d.* FROM documents d JOIN embeddings ON doc_id = vec_id)", "doc_id", "text")
+
+
+@query(
+    "sql_hybrid_search",
+    f"""WITH {_BOTH}, l AS (
+SELECT 0 AS list, * FROM (SELECT vec_id AS id, {sim(kernels.COSINE, VEC)} AS s FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents) ORDER BY s DESC, id LIMIT 50)
+UNION ALL SELECT 1, * FROM (SELECT id, sum(s) AS s FROM bm WHERE w IN ('lease', 'tier') GROUP BY id ORDER BY s DESC, id LIMIT 50)),
+r AS (SELECT *, avg(s) OVER (PARTITION BY list) AS m, stddev_samp(s) OVER (PARTITION BY list) AS sd FROM l)
+SELECT id AS doc_id, round(_score, 6) AS s FROM (SELECT id, sum((s - (m - 3 * sd)) / (6 * sd)) AS _score FROM r GROUP BY id ORDER BY _score DESC, id LIMIT 50)""",
+)
 def _(s, d):
     v = _array([float(x) for x in catalog.vector_of(s, d, VEC)])
     c = catalog.documents(s, d)
@@ -626,3 +672,74 @@ def _(s, d):
     both = c.df.join(e, c.df.doc_id == e.vec_id)
     engine = Engine(s, {"both": type(c)(both, c.schema, {"embedding": kernels.COSINE})})
     return engine.query(f"SELECT doc_id, round(_score, 6) AS s FROM hybrid_search('both', 'embedding', {v}, 'text', 'lease tier', 50, 'dbsf')")
+
+
+# more of requests, points and the DSL
+
+
+@query("text_domain", f"WITH {_BM}, m AS (SELECT DISTINCT id FROM bm_f WHERE w IN ('lease', 'tier')) SELECT lang, count(*) AS doc_count, (SELECT count(*) FROM m JOIN documents ON doc_id = id WHERE n_chars >= 300) AS total FROM m JOIN documents ON doc_id = id WHERE n_chars >= 300 AND lang IS NOT NULL GROUP BY lang ORDER BY 2 DESC, 1 LIMIT 3")
+def _(s, d):
+    """A text request's total and aggregations are over all its matches, not over the few hits it shows."""
+    request = {"retrievers": [{"text": {"query": {"match": {"field": "text", "text": "lease tier"}}, "k": 5}}], "filter": {"range": {"field": "n_chars", "gte": 300}}, "track_total_hits": "exact", "aggregations": {"lang": {"terms": {"field": "lang", "size": 3}}}}
+    out = search(catalog.documents(s, d), request)
+    return out.aggregations["lang"].crossJoin(out.total.select(F.col("value").alias("total")))  # one row
+
+
+for _name, _body, _where in [("exact", {"params": {"exact": True}}, "true"), ("few", {"filter": {"term": {"field": "label", "value": 1}}}, "label = 1"), ("all_lists", {"params": {"nprobes": 1_000_000}}, "true")]:
+
+    def _listed(s, d, body=_body):
+        c = catalog.embeddings(s, d)
+        c.lists["embedding"] = ann.stored(c.df, "vec_id", "embedding")
+        spec = {"vector": {"field": "embedding", "query": catalog.vector_of(s, d, VEC), "k": 25} | body}
+        return rounded(ranked(search(c, {"retrievers": [spec], "limit": 25}).hits, "vec_id"))
+
+    query(f"knn_lists_{_name}", top_sql(f"SELECT vec_id, {sim(kernels.COSINE, VEC)} AS _score FROM embeddings WHERE {_where}", "vec_id", 25))(_listed)
+
+
+@query("point_matches", r"""SELECT doc_id FROM documents, (SELECT 1) WHERE len(list_intersect(regexp_extract_all(lower(text), '[\p{L}\p{Nl}]+'), ['lease', 'shard'])) > 0
+AND ' ' || array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{Nl}]+'), ' ') || ' ' LIKE '% hot tier %' AND starts_with(source, 'r') AND updated_at >= TIMESTAMP '2026-01-15' AND updated_at < TIMESTAMP '2026-06-01 12:00:00'""")
+def _(s, d):
+    c = catalog.documents(s, d)
+    spec = {"must": [{"key": "text", "match": {"text_any": "lease shard"}}, {"key": "text", "match": {"phrase": "hot tier"}}, {"key": "source", "match": {"prefix": "r"}}, {"key": "updated_at", "range": {"gte": "2026-01-15T00:00:00Z", "lt": "2026-06-01T12:00:00Z"}}]}
+    return retrieval.matches(c.df, c.schema, points.filter_query(spec), index=c.index).select("doc_id")
+
+
+@query("point_values_count", "SELECT event_id FROM events WHERE event_id % 6 IN (0, 1, 2)")
+def _(s, d):
+    c = catalog.json_events(s, d)
+    return scored(c.df, c.schema, points.filter_query({"must": {"key": "payload.a.b", "values_count": {"gte": 1, "lt": 2}}})).select("event_id")
+
+
+@query("dsl_sort", "SELECT doc_id, lang, n_chars FROM documents WHERE NOT contains(lower(coalesce(lang, '')), 'q') AND (coalesce(lang, '~'), -n_chars) > ('de', -1500) AND n_chars IS NOT NULL AND (lang IS NULL OR lang > 'de' OR (lang = 'de' AND (n_chars < 1500 OR (n_chars = 1500 AND doc_id > 0)))) ORDER BY lang NULLS LAST, n_chars DESC, doc_id LIMIT 60")
+def _(s, d):
+    c = catalog.documents(s, d)
+    body = {"size": 60, "query": {"exists": {"field": "n_chars"}}, "sort": [{"lang": "asc"}, {"n_chars": {"order": "desc"}}, "_doc"], "search_after": ["de", 1500, 0]}
+    return search_dsl.search(c.df, c.schema, body, index=c.index).select("doc_id", "lang", "n_chars")
+
+
+@query("dsl_from", "SELECT p_partkey FROM part WHERE p_type = 'PROMO' ORDER BY p_size DESC NULLS FIRST, p_partkey LIMIT 15 OFFSET 30")
+def _(s, d):
+    c = catalog.parts(s, d)
+    return search_dsl.search(c.df, c.schema, {"from": 30, "size": 15, "query": {"term": {"type": "PROMO"}}, "sort": [{"size": {"order": "desc", "missing": "_first"}}]}).select("p_partkey")
+
+
+@query("dsl_mget", "SELECT CAST(i AS INTEGER) AS ordinal, CAST(k AS BIGINT) AS p_partkey, p_name, p_name IS NOT NULL AS found FROM (VALUES (0, 9), (1, 3), (2, 99999999), (3, 9)) t(i, k) LEFT JOIN part ON p_partkey = k")
+def _(s, d):
+    return search_dsl.mget(load(s, d, "part").select("p_partkey", "p_name"), "p_partkey", [9, 3, 99999999, 9])
+
+
+@query("dsl_msearch", "(SELECT 0 AS request, p_partkey AS key FROM part WHERE p_type = 'PROMO' ORDER BY p_partkey LIMIT 10) UNION ALL (SELECT 1, p_partkey FROM part WHERE p_size > 30 ORDER BY p_size, p_partkey LIMIT 5)")
+def _(s, d):
+    c = catalog.parts(s, d)
+    got = search_dsl.msearch({"parts": (c.df, c.schema, c.index)}, [("parts", {"query": {"constant_score": {"filter": {"term": {"type": "PROMO"}}}}}), ("parts", {"size": 5, "query": {"range": {"size": {"gt": 30}}}, "sort": ["size"]}), ("none", {})])
+    each = [g["hits"].select(F.lit(i).alias("request"), F.col("p_partkey").alias("key")) for i, g in enumerate(got) if g["status"] == 200]
+    return each[0].unionByName(each[1])
+
+
+@query("sort_cross_type", "SELECT event_id, CAST(row_number() OVER (ORDER BY CASE event_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 3 END, CASE event_id % 4 WHEN 1 THEN user_id % 2 WHEN 2 THEN user_id % 9 ELSE 0 END, CASE event_id % 4 WHEN 3 THEN event_type ELSE '' END, event_id) AS INTEGER) AS rank FROM events ORDER BY rank LIMIT 6000")
+def _(s, d):
+    """Values of several types in one order: null, booleans, numbers, text."""
+    v = F.expr("CASE event_id % 4 WHEN 0 THEN 'null' WHEN 1 THEN if(user_id % 2 = 1, 'true', 'false') WHEN 2 THEN cast(user_id % 9 AS STRING) ELSE concat('\"', event_type, '\"') END")
+    rows = load(s, d, "events").select("event_id", ranking.cross_type(F.parse_json(v)).alias("v"))
+    first = rows.orderBy("v", "event_id").limit(6000)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy("v", "event_id"))).select("event_id", "rank")

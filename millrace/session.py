@@ -85,6 +85,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def file_versions(df: DataFrame) -> tuple:
+    """The files a table is read from, with their sizes and times: another version has another one."""
+    spark = df.sparkSession
+    out = []
+    for name in sorted(df.inputFiles()):
+        at = spark._jvm.org.apache.hadoop.fs.Path(name)
+        status = at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
 def release(spark: SparkSession) -> int:
     """Deletes the tables that ``cut`` has written so far, once the results that read them are done with."""
     paths, _cuts[:] = list(_cuts), []
