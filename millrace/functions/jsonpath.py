@@ -135,6 +135,31 @@ def set_payload(column: Column, path: str | None, new: dict) -> Column:
     return _mapped(column, lambda v: put(v, parts, new))
 
 
+def merge_payload(column: Column, new: Column) -> Column:
+    """Each document with the top-level members of another one set; null or broken JSON on either side gives null."""
+
+    @F.pandas_udf("string")
+    def run(texts: pd.Series, news: pd.Series) -> pd.Series:
+        out = []
+        for t, n in zip(texts, news):
+            try:
+                out.append(json.dumps(json.loads(t) | json.loads(n), ensure_ascii=False, separators=(",", ":")))
+            except (TypeError, ValueError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return run(column, new)
+
+
+def overwrite_payload(column: Column, new: dict) -> Column:
+    """The whole payload replaced; a missing one stays missing."""
+    return F.when(column.isNotNull(), F.lit(json.dumps(new, ensure_ascii=False, separators=(",", ":"))))
+
+
+def clear_payload(column: Column) -> Column:
+    return overwrite_payload(column, {})
+
+
 def delete_payload(column: Column, paths: Sequence[str]) -> Column:
     parsed = [parse(p) for p in paths]
 

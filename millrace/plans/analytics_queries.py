@@ -134,6 +134,29 @@ def _(s, d):
     return rounded(aggregate(load(s, d, "lineitem"), spec)["flag>year"], "price")
 
 
+@query(
+    "agg_histogram_gaps",
+    "WITH b AS (SELECT floor(c_acctbal / 2.0) * 2.0 AS bucket, count(*) AS n, round(sum(c_nationkey), 2) AS s FROM customer GROUP BY 1), e AS (SELECT unnest(range(CAST((SELECT min(bucket) / 2 FROM b) AS BIGINT), CAST((SELECT max(bucket) / 2 FROM b) AS BIGINT) + 1)) * 2.0::DOUBLE AS bucket) SELECT bucket, coalesce(n, 0) AS doc_count, CAST(coalesce(s, 0) AS BIGINT) AS s FROM e LEFT JOIN b USING (bucket)",
+)
+def _(s, d):
+    spec = {"bucket": {"histogram": {"field": "c_acctbal", "interval": 2}, "aggs": {"s": {"sum": {"field": "c_nationkey"}}}}}
+    return aggregate(load(s, d, "customer"), spec)["bucket"]
+
+
+@query("agg_date_gaps", "WITH b AS (SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS slot, count(*) AS n FROM events WHERE user_id = 7 GROUP BY 1) SELECT slot, coalesce(n, 0) AS doc_count FROM (SELECT unnest(generate_series((SELECT min(slot) FROM b), (SELECT max(slot) FROM b), INTERVAL 1 HOUR)) AS slot) LEFT JOIN b USING (slot)")
+def _(s, d):
+    return aggregate(load(s, d, "events").where("user_id = 7"), {"slot": {"date_histogram": {"field": "ts", "fixed_interval": "1h"}}})["slot"]
+
+
+@query(
+    "agg_range_empty",
+    "SELECT seg, band, count(c_custkey) AS doc_count FROM (SELECT DISTINCT c_mktsegment AS seg FROM customer) CROSS JOIN (VALUES ('*--2000.0', -1e9, -2000), ('low', -2000, 0), ('0.0-*', 0, 1e9)) r(band, lo, hi) LEFT JOIN customer ON c_mktsegment = seg AND c_acctbal >= lo AND c_acctbal < hi GROUP BY 1, 2",
+)
+def _(s, d):
+    inner = {"band": {"range": {"field": "c_acctbal", "ranges": [{"to": -2000}, {"from": -2000, "to": 0, "key": "low"}, {"from": 0}]}}}
+    return aggregate(load(s, d, "customer"), {"seg": {"terms": {"field": "c_mktsegment"}, "aggs": inner}})["seg>band"]
+
+
 # logs
 
 
@@ -176,7 +199,22 @@ def _(s, d):
     return log.retain(rows, "partition", "ts", F.lit(None), None, F.length("props"), 5000).select("event_id")
 
 
-@query("log_partitioner")
+_M = "1540483477::UBIGINT"
+_MIX = f"(xor(((b * {_M}) % 4294967296), ((b * {_M}) % 4294967296) >> 24) * {_M}) % 4294967296"
+_HASH = f"""list_reduce(list_prepend(xor(2538058380::UBIGINT, n::UBIGINT), list_transform(list_transform(range(0, n // 4), lambda j: (bs[4 * j + 1] + bs[4 * j + 2] * 256 + bs[4 * j + 3] * 65536 + bs[4 * j + 4] * 16777216)::UBIGINT), lambda b: {_MIX})),
+  lambda h, k: xor((h * {_M}) % 4294967296, k))"""
+
+
+@query(
+    "log_partitioner",
+    f"""WITH k AS (SELECT delivery_id, source, id, attributes['partitionkey'] AS key FROM cloud_events),
+b AS (SELECT *, hex(encode(key)) AS hx FROM k), c AS (SELECT *, (length(hx) // 2)::BIGINT AS n, list_transform(range(0, length(hx) // 2), lambda i: ('0x' || hx[2 * i + 1 : 2 * i + 2])::UBIGINT) AS bs FROM b),
+w AS (SELECT *, {_HASH} AS h, list_sum(list_transform(range(0, n % 4), lambda i: bs[n - n % 4 + i + 1] * (1::UBIGINT << (8 * i))))::UBIGINT AS tail FROM c),
+t AS (SELECT *, CASE WHEN n % 4 > 0 THEN (xor(h, tail) * {_M}) % 4294967296 ELSE h END AS g FROM w),
+f AS (SELECT *, (xor(g, g >> 13) * {_M}) % 4294967296 AS e FROM t)
+SELECT delivery_id, CAST(CASE WHEN key IS NOT NULL THEN (xor(e, e >> 15) & 2147483647) % 12
+  ELSE ('0x' || substr(sha256(coalesce(source, 'None') || chr(0) || coalesce(id, 'None')), 1, 8))::UBIGINT % 12 END AS INTEGER) AS partition FROM f""",
+)
 def _(s, d):
     e = load(s, d, "cloud_events")
     return e.select("delivery_id", log.partition_of(F.try_element_at("attributes", F.lit("partitionkey")), F.col("source"), F.col("id"), 12).alias("partition"))
@@ -237,17 +275,31 @@ def _(s, d):
 
 @query(
     "write_results",
-    f"""WITH {_OPS}, x AS (SELECT event_id AS ordinal, user_id, op, coalesce(last_value(CASE op WHEN 'upsert' THEN true WHEN 'delete' THEN false END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), user_id % 2 = 0) AS there FROM op)
-SELECT ordinal, user_id, CASE op WHEN 'upsert' THEN CASE WHEN there THEN 'Updated' ELSE 'Created' END WHEN 'delete' THEN CASE WHEN there THEN 'Deleted' ELSE 'NotFound' END ELSE CASE WHEN there THEN 'Updated' ELSE 'Noop' END END AS result FROM x""",
+    f"""WITH RECURSIVE {_OPS}, r AS (SELECT user_id, event_id, op, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM op),
+w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS n, user_id % 2 = 0 AS there, false AS seen, CAST(NULL AS BIGINT) AS ordinal, CAST(NULL AS VARCHAR) AS result FROM op
+UNION ALL SELECT r.user_id, r.n, CASE op WHEN 'upsert' THEN true WHEN 'delete' THEN false ELSE there OR r.user_id % 3 = 0 END, op = 'patch' AND there, r.event_id,
+  CASE op WHEN 'upsert' THEN CASE WHEN there THEN 'Updated' ELSE 'Created' END WHEN 'delete' THEN CASE WHEN there THEN 'Deleted' ELSE 'NotFound' END
+  ELSE CASE WHEN there AND seen THEN 'Noop' WHEN there THEN 'Updated' WHEN r.user_id % 3 = 0 THEN 'Created' ELSE 'NotFound' END END
+  FROM w JOIN r ON r.user_id = w.user_id AND r.n = w.n + 1)
+SELECT ordinal, user_id, result FROM w WHERE n > 0""",
 )
 def _(s, d):
-    batch = catalog.op_log(s, d).withColumn("ordinal", F.col("event_id")).select("ordinal", "user_id", "op")
-    return oplog.write_results(batch, batch.where("user_id % 2 = 0").select("user_id"), "user_id")
+    """Patches that say the same again do nothing; a third of the users have a document to insert where one is absent."""
+    is_patch = F.col("op") == "patch"
+    batch = catalog.op_log(s, d).withColumn("ordinal", F.col("event_id")).withColumn("doc", F.when(is_patch, F.lit('{"seen":true}')).otherwise(F.col("doc")))
+    batch = batch.withColumn("upsert", F.when(is_patch & (F.col("user_id") % 3 == 0), F.lit("{}"))).withColumn("delete_keys", F.lit(None).cast("array<string>"))
+    held = batch.where("user_id % 2 = 0").select("user_id", F.lit("{}").alias("doc")).distinct()
+    return oplog.write_results(batch, held, "user_id")
 
 
-@query("delete_by_filter", "SELECT p_partkey, 'delete' AS op FROM part WHERE p_type = 'PROMO' AND p_size > 20")
+@query("delete_by_filter", "SELECT p_partkey, 'delete' AS op, CAST((row_number() OVER (ORDER BY p_partkey) - 1) // 100 AS INTEGER) AS batch_at FROM part WHERE p_type = 'PROMO' AND p_size > 20")
 def _(s, d):
-    return oplog.delete_by_filter(load(s, d, "part"), "p_partkey", F.expr("p_type = 'PROMO' AND p_size > 20")).select("p_partkey", "op")
+    return oplog.delete_by_filter(load(s, d, "part"), "p_partkey", F.expr("p_type = 'PROMO' AND p_size > 20"), size=100)
+
+
+@query("patch_by_filter", """SELECT o_orderkey, 'patch' AS op, '{"late": true}' AS doc, 'merge_top' AS mode, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS INTEGER) AS batch_at FROM orders WHERE o_orderstatus = 'F'""")
+def _(s, d):
+    return oplog.patch_by_filter(load(s, d, "orders"), "o_orderkey", F.col("o_orderstatus") == "F", {"late": True}, "merge_top")
 
 
 @query("pinned_read", f'WITH {_LOG} SELECT event_id FROM lg WHERE (part = 0 AND "offset" <= 40) OR (part = 3 AND "offset" <= 7)')
@@ -279,11 +331,53 @@ def _(s, d):
     return collections.dynamic_mapping(load(s, d, "collection_rows").select("row_key", "_source"), "_source")
 
 
-@query("payload_paths", "SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+_K = "json_extract_string(props, '$.k')"
+
+
+@query("payload_paths", f"""SELECT event_id, '{{"k":' || {_K} || ',"a":{{"b":{{"c":1,"d":[1,2]}}}}}}' AS put, '{{"k":' || {_K} || ',"a":{{"b":{{"d":[1]}}}}}}' AS cut, '2' AS got FROM events""")
+def _(s, d):
+    put = load(s, d, "events").select("event_id", jsonpath.set_payload(F.col("props"), "a.b", {"c": 1, "d": [1, 2]}).alias("put"))
+    return put.select("event_id", "put", jsonpath.delete_payload(F.col("put"), ["a.b.c", "a.b.d[1]"]).alias("cut"), jsonpath.extract(F.col("put"), "a.b.d[1]").alias("got"))
+
+
+@query("payload_ops", f"""SELECT event_id, '{{"k":0,"x":{{"y":' || event_id || '}}}}' AS merged, '{{"x":1}}' AS overwritten, '{{}}' AS cleared, '{{"k":' || {_K} || '}}' AS picked FROM events""")
+def _(s, d):
+    """Set merges, overwrite replaces, clear empties, include picks."""
+    e = load(s, d, "events").select("event_id", "props", F.to_json(F.struct(F.lit(0).alias("k"), F.struct(F.col("event_id").alias("y")).alias("x"))).alias("new"))
+    return e.select(
+        "event_id", jsonpath.merge_payload(F.col("props"), F.col("new")).alias("merged"), jsonpath.overwrite_payload(F.col("props"), {"x": 1}).alias("overwritten"), jsonpath.clear_payload(F.col("props")).alias("cleared"), jsonpath.select_payload(F.col("props"), ["k", "zz"]).alias("picked")
+    )
+
+
+@query("scan_plan", "SELECT count(*) AS n, CAST(2 AS BIGINT) AS versions FROM orders WHERE o_orderkey % 3 < 2")
+def _(s, d):
+    """Another reader takes the files that a pinned version lists."""
+    o, table = load(s, d, "orders"), collections.CollectionTable(s, "o_orderkey", {"o_orderstatus": "keyword"})
+    for k in range(3):
+        table.append(o.where(F.col("o_orderkey") % 3 == k).select("o_orderkey", "o_orderstatus"))
+    files = [r.file for r in table.scan_plan(1).collect()]  # a row a file
+    return s.read.parquet(*files).agg(F.count("*").alias("n")).withColumn("versions", F.lit(len(table.state.folders(1))).cast("long"))
+
+
+@query("catalog_columns", "SELECT * FROM (VALUES ('orders', 'o_orderkey', 'pk'), ('orders', 'status', 'keyword'), ('orders', 'price', 'f64'), ('o', 'o_orderkey', 'pk'), ('o', 'status', 'keyword'), ('o', 'price', 'f64')) t(table_name, column_name, kind)")
 def _(s, d):
-    changed = load(s, d, "events").select("event_id", jsonpath.set_payload(F.col("props"), "a.b", {"c": 1}).alias("p"))
-    cleaned = changed.select("event_id", jsonpath.delete_payload(F.col("p"), ["a.b.c"]).alias("p"))
-    return cleaned.select("event_id", jsonpath.extract(F.col("p"), "k").alias("k"))
+    """Collections are created, extended, dropped and named again; what is left is listed."""
+    space = collections.Namespace(s)
+    space.create("orders", "o_orderkey", {"status": "keyword"})
+    space.create("gone", "id", {"x": "i64"})
+    space.add_fields("orders", {"price": "f64"})
+    space.alias("o", "orders")
+    space.drop("gone")
+    return space.columns()
+
+
+@query("compacted_files", "SELECT count(*) AS n, CAST(1 AS BIGINT) AS files FROM orders")
+def _(s, d):
+    path, out = fresh_path(s, "small"), fresh_path(s, "compacted")
+    load(s, d, "orders").repartition(6).write.parquet(path)
+    log.compact_files(s, path, out)
+    rows = s.read.parquet(out)
+    return rows.agg(F.count("*").alias("n")).withColumn("files", F.lit(len(rows.inputFiles())).cast("long"))
 
 
 @query("versions", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey % 3 < 2")
@@ -314,6 +408,53 @@ def _(s, d):
     return live.index_range(load(s, d, "orders"), want, "o_orderkey").select("o_orderkey", "o_orderdate")
 
 
+@query("live_get", "SELECT * FROM orders WHERE o_orderkey = 7")
+def _(s, d):
+    return live.get(load(s, d, "orders"), 7, "o_orderkey")
+
+
+_LIVE = """lo AS (SELECT user_id, event_id, CASE event_id % 5 WHEN 0 THEN 'insert' WHEN 4 THEN 'delete' ELSE 'replace' END AS op FROM events),
+ld AS (SELECT lo.*, coalesce(g.gone, -1) AS gone FROM lo LEFT JOIN (SELECT user_id, max(event_id) AS gone FROM lo WHERE op = 'delete' GROUP BY 1) g USING (user_id)),
+li AS (SELECT user_id, min(event_id) AS created FROM ld WHERE op = 'insert' AND event_id > gone GROUP BY 1)"""
+
+
+@query("live_documents", f"WITH {_LIVE} SELECT li.user_id, created, CAST(coalesce(max(event_id) FILTER (op = 'replace' AND event_id > created), created) AS VARCHAR) AS v FROM li JOIN ld USING (user_id) GROUP BY 1, 2")
+def _(s, d):
+    e = load(s, d, "events")
+    op = F.when(F.col("event_id") % 5 == 0, "insert").when(F.col("event_id") % 5 == 4, "delete").otherwise("replace")
+    docs = live.fold_documents(e.select("user_id", "event_id", op.alias("op"), F.to_json(F.struct(F.col("event_id").alias("v"))).alias("doc")), "user_id", ["event_id"])
+    return docs.select("user_id", F.col("created.event_id").alias("created"), F.col("doc")["v"].alias("v"))
+
+
+@query("live_journal", "SELECT event_id, CAST(event_id % 3 AS BIGINT) AS seq FROM events WHERE event_id % 3 > 0")
+def _(s, d):
+    """Commits in order; a reader goes on behind the last one it has seen."""
+    journal, e = links.Journal(s), load(s, d, "events").select("event_id")
+    for k in range(3):
+        journal.commit(e.where(F.col("event_id") % 3 == k))
+    return journal.read(after=0).select("event_id", "seq")
+
+
+@query("live_rerun", """WITH q AS (SELECT c_custkey AS query_id, abs(c_acctbal) * 40 AS low, abs(c_acctbal) * 40 + 500 AS high FROM customer),
+o AS (SELECT o_orderkey, o_totalprice AS v FROM orders), w AS (SELECT v FROM o WHERE o_orderkey % 10 = 0)
+SELECT DISTINCT q.query_id FROM q JOIN w ON v BETWEEN low AND high""")
+def _(s, d):
+    """Every tenth order is deleted: the live queries that had one in their range change."""
+    low = F.abs("c_acctbal") * 40
+    sets = load(s, d, "customer").select(F.col("c_custkey").alias("query_id"), low.alias("low"), (low + 500).alias("high"))
+    orders = load(s, d, "orders").select("o_orderkey", F.col("o_totalprice").alias("value"))
+
+    def evaluate(state, wanted):
+        slot = lambda c: F.floor(F.col(c) / 500).cast("long")  # noqa: E731  # a range spans two slots
+        asked = sets.join(wanted, "query_id").withColumn("slot", F.explode(F.sequence(slot("low"), slot("high"))))
+        return state.withColumn("slot", slot("value")).join(asked, "slot").where(F.col("value").between(F.col("low"), F.col("high"))).select("query_id", "o_orderkey")
+
+    queries = links.LiveQueries(s, sets, evaluate, "query_id", ["o_orderkey"], "value")
+    queries.apply(orders, None, 0)
+    gone = orders.where("o_orderkey % 10 = 0")
+    return queries.apply(orders.where("o_orderkey % 10 <> 0"), gone, 1)
+
+
 @query("live_touched", "SELECT DISTINCT c_custkey AS query_id FROM customer, (SELECT o_totalprice AS v FROM orders WHERE o_orderkey < 40) WHERE v BETWEEN abs(c_acctbal) * 40 AND abs(c_acctbal) * 40 + 500")
 def _(s, d):
     low = F.abs("c_acctbal") * 40
@@ -355,6 +496,10 @@ def _staged(s, d, parts: int = 3, closing: str | None = None):
     return links.read_stream(s, path, e.schema)
 
 
+def _plain_times(df, *columns: str):
+    return df.withColumns({c: F.col(c).cast("timestamp_ntz") for c in columns})
+
+
 def _to_table(s, stream, mode: str = "append"):
     path = fresh_path(s, "streamed")
     links.run_once(stream, lambda b, i: b.write.mode("overwrite").parquet(f"{path}/batch={i}"), mode=mode)
@@ -386,14 +531,40 @@ def _(s, d):
     return sink.read()
 
 
-@query("stream_windows")
+@query("stream_collection", """WITH lo AS (SELECT *, CASE WHEN event_id % 5 = 4 THEN 'delete' WHEN event_id % 5 = 3 THEN 'patch' ELSE 'upsert' END AS op FROM events WHERE event_id % 7 <> 0),
+reset AS (SELECT user_id, max(event_id) AS at, max_by(op, event_id) AS last FROM lo WHERE op <> 'patch' GROUP BY 1),
+p AS (SELECT o.user_id, max(o.event_id) AS patched FROM lo o JOIN reset r ON o.user_id = r.user_id AND o.event_id > r.at WHERE op = 'patch' GROUP BY 1)
+SELECT r.user_id, CASE WHEN patched IS NULL THEN '{"first":' || r.at || ',"type":"' || event_type || '"}' ELSE '{"patched":' || patched || ',"type":"' || event_type || '"}' END AS doc,
+  (SELECT count(*) FROM events WHERE event_id % 7 = 0 AND event_id % 5 <> 4) + (SELECT count(*) FROM events WHERE event_id % 35 = 14) AS dead
+FROM reset r JOIN events e ON e.event_id = r.at LEFT JOIN p ON p.user_id = r.user_id WHERE last = 'upsert'""")
 def _(s, d):
-    return _to_table(s, links.windowed_counts(_staged(s, d, closing="4 hours").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour", "2 hours"))
+    """Operations arrive as a stream, each batch twice; every seventh is broken and becomes a dead letter."""
+    sink = links.CollectionSink(s, "user_id")
+    broken = F.col("event_id") % 7 == 0
+    stream = _staged(s, d).withColumn("doc", F.when(broken & (F.col("op") != "delete"), F.lit("{")).otherwise(F.col("doc"))).withColumn("op", F.when(broken & (F.col("op") == "delete"), F.lit("erase")).otherwise(F.col("op")))
+
+    def twice(batch, i):
+        sink.apply(batch, i)
+        sink.apply(batch, i)
+
+    links.run_once(stream, twice)
+    dead = sink.dead_letters().agg(F.count("*").alias("dead"))
+    return sink.read().crossJoin(dead)  # one row
+
+
+@query("stream_windows", "SELECT date_trunc('hour', ts)::TIMESTAMP AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
+def _(s, d):
+    return _plain_times(_to_table(s, links.windowed_counts(_staged(s, d, closing="4 hours").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "1 hour", "2 hours")), "start")
 
 
-@query("stream_sessions")
+@query(
+    "stream_sessions",
+    """WITH o AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM o)
+SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*) AS n FROM g GROUP BY user_id, no""",
+)
 def _(s, d):
-    return _to_table(s, links.sessions(_staged(s, d, closing="2 hours").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "30 minutes", "1 hour"))
+    return _plain_times(_to_table(s, links.sessions(_staged(s, d, closing="2 hours").withColumn("ts", F.col("ts").cast("timestamp")), "ts", "user_id", "30 minutes", "1 hour")), "start", "end")
 
 
 # operators that plain SQL brings
@@ -411,7 +582,7 @@ _sql("sql_join_aggregate", "SELECT n_name, count(*) AS n, round(sum(o_totalprice
 _sql("sql_left_join", "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey", "customer orders")
 _sql("sql_full_join", "SELECT s_suppkey, n_nationkey FROM (SELECT * FROM supplier WHERE s_nationkey < 12) FULL JOIN nation ON s_nationkey = n_nationkey", "supplier nation")
 _sql("sql_semi_join", "SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)", "customer orders")
-_sql("sql_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)", "customer orders")
+_sql("sql_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000)", "customer orders")
 _sql("sql_theta_join", "SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey", "nation")
 _sql("sql_grouping_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_returnflag), ())", "lineitem")
 _sql("sql_cube", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)", "orders")
@@ -425,6 +596,7 @@ _sql("sql_lateral_unnest", "SELECT p_partkey, word FROM part LATERAL VIEW explod
 _sql("sql_case_cast", "SELECT l_orderkey, l_linenumber, CASE WHEN l_discount >= 0.05 THEN 'high' WHEN l_discount > 0 THEN 'low' ELSE 'none' END AS band, CAST(l_quantity AS BIGINT) AS q FROM lineitem", "lineitem")
 _sql("sql_strings", "SELECT p_partkey, upper(p_name) AS u, substring(p_brand, 7) AS n, replace(p_type, 'O', '0') AS r, length(p_name) AS len, md5(p_name) AS h, reverse(p_type) AS rv FROM part", "part", "SELECT p_partkey, upper(p_name) AS u, substring(p_brand, 7) AS n, replace(p_type, 'O', '0') AS r, CAST(length(p_name) AS INTEGER) AS len, md5(p_name) AS h, reverse(p_type) AS rv FROM part")
 _sql("sql_dates", "SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, CAST(date_trunc('week', o_orderdate) AS TIMESTAMP_NTZ) AS w, datediff(TIMESTAMP '2001-01-01', o_orderdate) AS days FROM orders", "orders", "SELECT o_orderkey, CAST(year(o_orderdate) AS INTEGER) AS y, CAST(month(o_orderdate) AS INTEGER) AS m, date_trunc('week', o_orderdate)::TIMESTAMP AS w, CAST(date_diff('day', o_orderdate, TIMESTAMP '2001-01-01') AS INTEGER) AS days FROM orders")
+_sql("sql_generate_series", "SELECT n_nationkey, n_nationkey * 10 + i AS v FROM nation LATERAL VIEW explode(sequence(0, n_regionkey)) t AS i", "nation", "SELECT n_nationkey, n_nationkey * 10 + i AS v FROM (SELECT n_nationkey, CAST(unnest(generate_series(0, n_regionkey)) AS INTEGER) AS i FROM nation)")
 _sql("sql_pricing_summary", "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(avg(l_discount), 6) AS disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '2000-09-02' GROUP BY l_returnflag, l_linestatus", "lineitem")
 
 

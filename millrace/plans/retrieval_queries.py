@@ -710,7 +710,7 @@ def _(s, d):
     return scored(c.df, c.schema, points.filter_query({"must": {"key": "payload.a.b", "values_count": {"gte": 1, "lt": 2}}})).select("event_id")
 
 
-@query("dsl_sort", "SELECT doc_id, lang, n_chars FROM documents WHERE NOT contains(lower(coalesce(lang, '')), 'q') AND (coalesce(lang, '~'), -n_chars) > ('de', -1500) AND n_chars IS NOT NULL AND (lang IS NULL OR lang > 'de' OR (lang = 'de' AND (n_chars < 1500 OR (n_chars = 1500 AND doc_id > 0)))) ORDER BY lang NULLS LAST, n_chars DESC, doc_id LIMIT 60")
+@query("dsl_sort", "SELECT doc_id, lang, n_chars FROM documents WHERE n_chars IS NOT NULL AND (lang IS NULL OR lang > 'de' OR (lang = 'de' AND (n_chars < 1500 OR (n_chars = 1500 AND doc_id > 0)))) ORDER BY lang NULLS LAST, n_chars DESC, doc_id LIMIT 60")
 def _(s, d):
     c = catalog.documents(s, d)
     body = {"size": 60, "query": {"exists": {"field": "n_chars"}}, "sort": [{"lang": "asc"}, {"n_chars": {"order": "desc"}}, "_doc"], "search_after": ["de", 1500, 0]}
@@ -743,3 +743,15 @@ def _(s, d):
     rows = load(s, d, "events").select("event_id", ranking.cross_type(F.parse_json(v)).alias("v"))
     first = rows.orderBy("v", "event_id").limit(6000)
     return first.withColumn("rank", F.row_number().over(Window.orderBy("v", "event_id"))).select("event_id", "rank")
+
+
+@query("sql_information_schema", "SELECT * FROM (VALUES ('embeddings', 3), ('e', 3), ('parts', 7), ('documents', 7)) t(table_name, n)")
+def _(s, d):
+    engine = _engine(s, d)
+    engine.aliases["e"] = "embeddings"
+    return engine.query("SELECT table_name, cast(count(*) AS INT) AS n FROM information_schema.columns GROUP BY table_name")
+
+
+@query("sql_qualified_names", "SELECT count(*) AS n FROM embeddings WHERE label = 3")
+def _(s, d):
+    return _engine(s, d).query("SELECT count(*) AS n FROM main.collections.embeddings e WHERE e.label = 3")

@@ -5,16 +5,18 @@ from __future__ import annotations
 import ast
 import json
 import re
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from millrace.functions.predicates import QueryError, condition
 from millrace.operators import fusion
 from millrace.plans.search import Collection, candidates
 
-#: Hits of a search function, and rows of a result.
-SEARCH_K, MAX_ROWS = 1000, 10_000
+#: Hits of a search function, rows of a result, seconds of a statement.
+SEARCH_K, MAX_ROWS, TIMEOUT_S = 1000, 10_000, 30.0
 FUNCTIONS = ("vector_search", "text_search", "hybrid_search", "rrf", "rerank")
 _WRITES = re.compile(r"^\s*(insert|update|delete|merge|create|drop|alter|truncate|replace|set|reset|use|cache|uncache|refresh|load|grant|revoke|call|add|msck|analyze|export|import)\b", re.I)
 _CALL = re.compile(r"\b(" + "|".join(FUNCTIONS) + r")\s*\(", re.I)
@@ -164,9 +166,22 @@ class Engine:
             c.df.join(ranked, c.pk).createOrReplaceTempView(view)
             out += [sql[at : m.start()], view]
             at = end
+        return self._names("".join([*out, sql[at:]]))
+
+    def _names(self, sql: str) -> str:
+        """``<namespace>.collections.<table>`` and ``information_schema.columns`` as the views that stand for them."""
+        plain, out, at = _blank(sql), [], 0
+        for m in re.finditer(r"\b(?:\w+\.collections\.(\w+)|information_schema\.(columns|tables))\b", plain):
+            out += [sql[at : m.start()], m[1] or f"information_schema_{m[2]}"]
+            at = m.end()
         return "".join([*out, sql[at:]])
 
     def register(self) -> None:
+        named = {n: c for n, c in self.collections.items()} | {a: self.collections[n] for a, n in self.aliases.items()}
+        rows = [(n, f.name, f.dataType.simpleString(), i) for n, c in named.items() for i, f in enumerate(c.df.schema.fields, 1)]
+        columns = self.spark.createDataFrame(rows, "table_name string, column_name string, data_type string, ordinal_position int")
+        columns.createOrReplaceTempView("information_schema_columns")
+        columns.select("table_name").distinct().createOrReplaceTempView("information_schema_tables")
         for name, c in self.collections.items():
             c.df.createOrReplaceTempView(name)
         for alias, name in self.aliases.items():
@@ -180,7 +195,17 @@ class Engine:
         self.register()
         return self.spark.sql(self.rewrite(statement))
 
-    def rows(self, sql: str, max_rows: int = MAX_ROWS) -> tuple[list[dict], bool]:
-        """At most ``max_rows`` rows as JSON values, and whether there were more."""
-        got = self.query(sql).limit(max_rows + 1).toJSON().collect()
+    def rows(self, sql: str, max_rows: int = MAX_ROWS, timeout_s: float = TIMEOUT_S) -> tuple[list[dict], bool]:
+        """At most ``max_rows`` rows as JSON values, nulls included, and whether there were more; a statement that takes
+        longer than ``timeout_s`` is cancelled and fails."""
+        context, group = self.spark.sparkContext, f"sql-{uuid.uuid4().hex}"
+        context.setJobGroup(group, "search SQL", interruptOnCancel=True)
+        timer = threading.Timer(timeout_s, context.cancelJobGroup, [group])
+        timer.start()
+        try:
+            shown = self.query(sql).limit(max_rows + 1)
+            got = [r.row for r in shown.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("row")).collect()]
+        finally:
+            timer.cancel()
+            context.setLocalProperty("spark.jobGroup.id", None)
         return [json.loads(r) for r in got[:max_rows]], len(got) > max_rows

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions.predicates import Field, Schema
 from millrace.operators.incremental import TargetState
 from millrace.session import fresh_path
+from millrace.sources.manifests import Manifests
 
 #: Fixed value: the most fields of a schema.
 MOST_FIELDS = 1000
@@ -143,3 +145,89 @@ class CollectionTable:
         if rows is None:
             return self.spark.createDataFrame([], "file string, bytes long")
         return rows.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("bytes")).distinct()
+
+
+class Namespace:
+    """The collections of a namespace, their declared fields and their aliases, on shared storage.
+
+    Every change publishes a new version of the list; of two writers of one version the second is refused and may try
+    again. A collection has its rows in a folder of its own; dropping it takes it from the list.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.path = path or fresh_path(spark, "namespace")
+        self.manifests = Manifests(spark, self.path)
+
+    def _read(self) -> tuple[int, dict]:
+        version = self.manifests.newest()
+        return version, ({"collections": {}, "aliases": {}} if version < 0 else self.manifests.read(version))
+
+    def _change(self, make) -> None:
+        version, content = self._read()
+        make(content["collections"], content["aliases"])
+        self.manifests.publish(version + 1, content)
+
+    def create(self, name: str, pk: str, fields: dict[str, str]) -> CollectionTable:
+        for kind in fields.values():
+            if kind not in TYPES:
+                raise ValueError(f"no kind {kind}")
+        if len(fields) > MOST_FIELDS:
+            raise ValueError(f"more than {MOST_FIELDS} fields")
+
+        def make(tables: dict, aliases: dict) -> None:
+            if name in tables or name in aliases:
+                raise ValueError(f"{name} exists")
+            tables[name] = {"pk": pk, "fields": fields, "path": f"{self.path}/{name}-{uuid.uuid4().hex}"}
+
+        self._change(make)
+        return self.table(name)
+
+    def drop(self, name: str) -> None:
+        """Takes a collection and the aliases of it from the list."""
+
+        def make(tables: dict, aliases: dict) -> None:
+            if name not in tables:
+                raise ValueError(f"no collection {name}")
+            del tables[name]
+            for a in [a for a, of in aliases.items() if of == name]:
+                del aliases[a]
+
+        self._change(make)
+
+    def add_fields(self, name: str, more: dict[str, str]) -> None:
+        def make(tables: dict, aliases: dict) -> None:
+            table = self._table(tables[aliases.get(name, name)])
+            table.add_fields(more)
+            tables[aliases.get(name, name)]["fields"] = table.fields
+
+        self._change(make)
+
+    def alias(self, name: str, of: str | None) -> None:
+        """Names a collection ``of`` a second time, or with None ends the alias."""
+
+        def make(tables: dict, aliases: dict) -> None:
+            if name in tables or (of is not None and of not in tables):
+                raise ValueError(f"{name} cannot be an alias of {of}")
+            aliases.pop(name, None)
+            if of is not None:
+                aliases[name] = of
+
+        self._change(make)
+
+    def _table(self, entry: dict) -> CollectionTable:
+        return CollectionTable(self.spark, entry["pk"], entry["fields"], entry["path"])
+
+    def table(self, name: str) -> CollectionTable:
+        _, content = self._read()
+        name = content["aliases"].get(name, name)
+        if name not in content["collections"]:
+            raise ValueError(f"no collection {name}")
+        return self._table(content["collections"][name])
+
+    def columns(self) -> DataFrame:
+        """(table_name, column_name, kind) of all collections and aliases."""
+        _, content = self._read()
+        names = {n: n for n in content["collections"]} | content["aliases"]
+        rows = [(n, c, k) for n, of in names.items() for e in [content["collections"][of]] for c, k in [(e["pk"], "pk"), *e["fields"].items()]]
+        return self.spark.createDataFrame(rows, "table_name string, column_name string, kind string")

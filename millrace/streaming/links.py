@@ -13,7 +13,7 @@ from millrace.operators import oplog
 from millrace.operators.incremental import TargetState
 from millrace.operators.live import digest, touched
 from millrace.session import cut, fresh_path
-from millrace.sources.manifests import Runs
+from millrace.sources.manifests import PublishedElsewhere, Runs
 
 #: The window of deduplication and its greatest length, in seconds.
 DEDUP_S, MOST_DEDUP_S = 3600, 86_400
@@ -179,6 +179,30 @@ class CollectionSink:
         return self.spark.read.parquet(*[f"{self.dead.path}/{e['folder']}" for e in self.dead.entries().values()])
 
 
+class Journal:
+    """Commits in one order: each gets the next number when it becomes visible, by one manifest; a commit that loses the
+    race for a number takes the next one."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark = spark
+        self.target = TargetState(spark, [], path or fresh_path(spark, "journal"))
+
+    def commit(self, rows: DataFrame) -> int:
+        kept = cut(rows, "commit")
+        while True:
+            base = self.target.version()
+            try:
+                return self.target.publish(kept.withColumn("seq", F.lit(base + 1).cast("long")), base)
+            except PublishedElsewhere:
+                continue
+
+    def read(self, after: int = -1) -> DataFrame | None:
+        """The rows of the commits behind a number, with ``seq``; None if there are none. Only their folders are read."""
+        folders = self.target.folders(self.target.version())
+        new = [f for f in folders if int(f.rpartition("/")[2].partition("-")[0][1:]) > after]
+        return self.spark.read.parquet(*[f"{self.target.path}/{f}" for f in new]) if new else None
+
+
 class LiveQueries:
     """Live queries after each batch of writes: reruns those whose read range a written value touches, and publishes
     those whose results changed.
