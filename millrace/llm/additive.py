@@ -8,7 +8,7 @@ import numpy as np
 
 #: Codebooks after the first, codewords of each, width of the beam.
 STAGES, WORDS, BEAM = 6, 256, 4
-#: Vectors a cell and a shard of neighbouring cells should hold; most cells of the first level.
+#: Vectors a cell and a shard of neighbouring cells should hold; most codewords of cells, beyond which cells are divided.
 CELL, SHARD, MOST_CELLS = 400, 3000, 1024
 #: Vectors encoded at once, so that the errors of a beam stay in the cache.
 AT_ONCE = 256
@@ -37,22 +37,21 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) ->
 class Quantiser:
     """``coarse`` gives each vector its cell; ``books`` are full-dimensional codebooks for what remains.
 
-    With two levels a cell is a codeword of ``coarse`` and one of the first book. ``shards`` puts neighbouring cells
-    together; with two levels a shard is a codeword of ``coarse`` and a group of neighbouring words of the first book.
+    ``shards`` puts neighbouring cells together. Where the cells alone would make shards too large, each is divided by
+    what remains, by its nearest one of ``middles``, and a cell is such a part and a shard of its own. A query looks into
+    the shards of its ``probes`` nearest cells.
     """
 
     kind: str
     coarse: np.ndarray
     books: np.ndarray  # stages x words x dim
-    levels: int
     shards: np.ndarray  # of each coarse codeword
-    groups: np.ndarray  # of each word of the first book
+    middles: np.ndarray  # parts x dim, one part if cells are not divided
+    total: int
+    probes: int = 1
 
     def shard_of(self, cells: np.ndarray) -> np.ndarray:
-        if self.levels == 1:
-            return self.shards[cells]
-        size = len(self.books[0])
-        return cells // size * (int(self.groups.max()) + 1) + self.groups[cells % size]
+        return self.shards[cells] if len(self.middles) == 1 else cells
 
     def cells(self, x: np.ndarray, probes: int, asks: bool = False) -> np.ndarray:
         """The ``probes`` nearest cells of each vector, the nearest first. Of vectors that ask under Dot: the nearest
@@ -63,22 +62,20 @@ class Quantiser:
 
     def _best_cells(self, x: np.ndarray, probes: int, by_product: bool) -> np.ndarray:
         near = -(x @ self.coarse.T) if by_product else squared(x, self.coarse)
-        p = min(probes, near.shape[1])
-        first = _least(near, p)
-        if self.levels == 1:
-            return first
-        words = self.books[0]
-        pairs = np.empty((len(x), p * len(words)), np.float32)
-        ids = np.empty(pairs.shape, np.int64)
-        for j in range(p):
+        parts = len(self.middles)
+        if parts == 1:
+            return _least(near, min(probes, near.shape[1]))
+        first = _least(near, min(max(16, 2 * probes), near.shape[1]))
+        far = np.empty((len(x), first.shape[1] * parts), np.float32)
+        for j in range(first.shape[1]):
             rest = x - self.coarse[first[:, j]]
-            cut = slice(j * len(words), (j + 1) * len(words))
             if by_product:
-                pairs[:, cut] = np.take_along_axis(near, first[:, j : j + 1], 1) - x @ words.T
+                found = np.take_along_axis(near, first[:, j : j + 1], 1) - x @ self.middles.T
             else:
-                pairs[:, cut] = squared(rest, words) + (rest**2).sum(1)[:, None]
-            ids[:, cut] = first[:, j : j + 1] * len(words) + np.arange(len(words))
-        return np.take_along_axis(ids, _least(pairs, min(probes, pairs.shape[1])), 1)
+                found = squared(rest, self.middles) + (rest**2).sum(1)[:, None]
+            far[:, j * parts : (j + 1) * parts] = found
+        best = _least(far, min(probes, far.shape[1]))
+        return np.take_along_axis(first, best // parts, 1) * parts + best % parts
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes (the coarse one first) and squared norms of the decoded vectors.
@@ -149,7 +146,9 @@ def train(x: np.ndarray, kind: str, total: int, seed: int = 1) -> Quantiser:
         left = left - words[squared(left, words).argmin(1)]
         books.append(words)
     groups = kmeans(coarse, max(1, min(len(coarse), total // SHARD)), rng)
-    model = Quantiser(kind, coarse, np.stack(books), 2 if wanted > 2 * MOST_CELLS else 1, squared(coarse, groups).argmin(1), np.zeros(size, np.int64))
+    parts = max(1, min(len(rest), -(-total // (SHARD * len(coarse))))) if total > SHARD * MOST_CELLS else 1
+    middles = kmeans(rest, parts, rng) if parts > 1 else np.zeros((1, x.shape[1]), np.float32)
+    model = Quantiser(kind, coarse, np.stack(books), squared(coarse, groups).argmin(1), middles, total)
     codes, _ = model.encode(x)
     column = codes[:, 1:].astype(np.int64) + np.arange(STAGES) * size
     gram = np.zeros((STAGES * size, STAGES * size))
@@ -163,7 +162,4 @@ def train(x: np.ndarray, kind: str, total: int, seed: int = 1) -> Quantiser:
     prior = model.books.reshape(-1, x.shape[1])
     solved = np.linalg.solve(gram + np.eye(len(gram)), right + prior)
     model.books = solved.reshape(model.books.shape).astype(np.float32)
-    if model.levels == 2:
-        first = model.books[0]
-        model.groups = squared(first, kmeans(first, max(1, min(size, total // (SHARD * len(coarse)))), rng)).argmin(1)
     return model

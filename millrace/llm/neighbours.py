@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -11,12 +12,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.additive import Quantiser, train
+from millrace.llm.additive import Quantiser, _least, squared, train
 from millrace.session import cut
 
-#: Vectors of a space the codebooks are fitted on; nearest cells whose shards a query looks into; rows of a block;
-#: approximate hits of a shard that are scored exactly; encoded at once; queries scored at once.
-SAMPLE, PROBES, BLOCK, RERANK, CHUNK, ASKED = 20_000, 8, 6_000, 256, 4_096, 64
+#: Vectors of a space the codebooks are fitted on; rows of a block; approximate hits of a shard that are scored exactly;
+#: encoded at once; queries scored at once.
+SAMPLE, BLOCK, RERANK, CHUNK, ASKED = 20_000, 6_000, 256, 4_096, 64
+#: How many cells a query looks into is measured in each space: as many as hold ``COVERED`` of the true neighbours of
+#: ``TRIED`` vectors, ``PROBES`` at least.
+TRIED, COVERED, PROBES = 256, 0.97, 8
 
 
 def usable_vectors(vectors: DataFrame, specs: DataFrame) -> DataFrame:
@@ -119,6 +123,65 @@ def fit(classes: DataFrame, sample: int = SAMPLE) -> dict[str, Quantiser]:
     return {r.space: pickle.loads(r.model) for r in chosen.groupBy("space").applyInArrow(run, "space string, model binary").collect()}
 
 
+def _far(kind: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of queries and rows, up to what all rows of a query share; less is nearer."""
+    if kind == "Manhattan":
+        return np.stack([np.abs(x - v).sum(1) for v in q]) if len(q) else np.zeros((0, len(x)), np.float32)
+    return squared(q, x) if kind == "Euclid" else -(q @ x.T)
+
+
+def calibrate(classes: DataFrame, models: dict[str, Quantiser], k: int, tried: int = TRIED, covered: float = COVERED, least: int = PROBES) -> None:
+    """Sets each model's ``probes``: ``tried`` vectors of its space (those with the least hashes of their ids) are held
+    against all others, where these lie, and the number of nearest cells is taken that lead to ``covered`` of their ``k``
+    true neighbours. One pass over all vectors; what is collected is ``tried`` vectors, and ``tried`` x ``k`` shards a
+    space, of a size that does not grow with the rows."""
+    spark = classes.sparkSession
+    draw = F.pmod(F.xxhash64("class_id", F.lit("asked")), F.lit(1 << 30))
+    bound = F.create_map(*[F.lit(v) for s, m in models.items() for v in (s, float(1 << 30) * min(1.0, 2.0 * tried / m.total))])
+    likely = classes.where(draw < bound[F.col("space")])
+    place = F.row_number().over(Window.partitionBy("space").orderBy(draw, "class_id"))
+    groups: dict[str, list] = {}
+    for r in likely.withColumn("place", place).where(F.col("place") <= tried).collect():
+        groups.setdefault(r.space, []).append(r)
+    asked = {s: (np.array([r.class_id for r in rs]), _matrix(pa.array([r.vector for r in rs], pa.binary()), models[s].kind)) for s, rs in groups.items()}
+    shared = spark.sparkContext.broadcast((models, asked))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models, asked = shared.value
+        best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            for space, at in _by_space(b):
+                if space not in asked:
+                    continue
+                ids, q = asked[space]
+                x = _matrix(b.column("vector").take(pa.array(at)), models[space].kind)
+                shard = models[space].shard_of(models[space].cells(x, 1))[:, 0]
+                far = _far(models[space].kind, q, x)
+                far[ids[:, None] == b.column("class_id").take(pa.array(at)).to_numpy()[None]] = np.inf
+                shard = np.broadcast_to(shard, far.shape)
+                if space in best:
+                    far, shard = np.concatenate((best[space][0], far), 1), np.concatenate((best[space][1], shard), 1)
+                top = _least(far, min(k, far.shape[1]))
+                best[space] = np.take_along_axis(far, top, 1), np.take_along_axis(shard, top, 1)
+        for space, (far, shard) in best.items():
+            n = far.shape[1]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([space] * far.size, pa.string()), pa.array(np.repeat(np.arange(len(far)), n)), pa.array(far.ravel().astype(np.float64)), pa.array(shard.ravel().astype(np.int64))], ["space", "q", "far", "shard"]
+            )
+
+    found = classes.select("space", "class_id", "vector").mapInArrow(run, "space string, q long, far double, shard long").where("far < double('inf')")
+    near = found.groupBy("space", "q").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "shard"))), 1, k).alias("near"))  # k of each task
+    need: dict[str, list[np.ndarray]] = {s: [np.zeros(1, np.int64)] for s in models}
+    for r in near.collect():
+        model, q = models[r.space], asked[r.space][1][r.q : r.q + 1]
+        order = model.shard_of(model.cells(q, len(model.coarse) * len(model.middles), True))[0]
+        places = {int(s): i for i, s in reversed(list(enumerate(order)))}
+        need.setdefault(r.space, []).append(np.array([places[h.shard] + (model.kind != "Dot") for h in r.near]))
+    for space, found_at in need.items():
+        every = np.sort(np.concatenate(found_at))
+        models[space].probes = max(least, int(every[math.ceil(covered * len(every)) - 1]))
+
+
 def _by_space(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
     names = np.array(batch.column("space").to_pylist(), object)
     for name in dict.fromkeys(names):
@@ -130,9 +193,9 @@ def _by_space(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray]]:
 ROW = "space string, shard long, id long, codes array<short>, norm float, vector binary"
 
 
-def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame:
+def _placed(classes: DataFrame, models, probes: int | None, encoded: bool) -> DataFrame:
     """Vectors in their shards: for the index the one of the nearest cell, with codes and norms; for queries those of
-    the ``probes`` nearest cells (under Dot, see ``Quantiser.cells``), each once."""
+    the ``probes`` nearest cells (by default the model's; under Dot, see ``Quantiser.cells``), each once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -140,7 +203,7 @@ def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame
                 model = models.value[space]
                 own = b.column("vector").take(pa.array(at))
                 x = _matrix(own, model.kind)
-                shards = np.sort(model.shard_of(model.cells(x, probes, not encoded)), axis=1)
+                shards = np.sort(model.shard_of(model.cells(x, probes or model.probes, not encoded)), axis=1)
                 new = np.concatenate((np.ones((len(at), 1), bool), shards[:, 1:] != shards[:, :-1]), 1)
                 row, column = np.nonzero(new)
                 ids = b.column("class_id").take(pa.array(at))
@@ -159,7 +222,7 @@ def _placed(classes: DataFrame, models, probes: int, encoded: bool) -> DataFrame
     return classes.select("space", "class_id", "vector").mapInArrow(run, ROW)
 
 
-def nearest_classes(index: DataFrame, queries: DataFrame, models: dict[str, Quantiser], k: int, probes: int = PROBES, rerank: int = RERANK) -> DataFrame:
+def nearest_classes(index: DataFrame, queries: DataFrame, models: dict[str, Quantiser], k: int, probes: int | None = None, rerank: int = RERANK) -> DataFrame:
     """(id, hits): for each query class its ``k`` nearest classes (itself among them) as structs (far, class_id), ordered.
 
     Shards larger than ``BLOCK`` rows, and queries for them, are split into blocks that meet pairwise, so a task holds
@@ -213,12 +276,13 @@ def nearest_classes(index: DataFrame, queries: DataFrame, models: dict[str, Quan
     return pairs.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("hits"))), 1, k).alias("hits"))
 
 
-def similar(vectors: DataFrame, specs: DataFrame, k: int = 10, probes: int = PROBES, only: Column | None = None) -> DataFrame:
+def similar(vectors: DataFrame, specs: DataFrame, k: int = 10, probes: int | None = None, only: Column | None = None) -> DataFrame:
     """(vec_id, hits): for every usable vector its ``k`` most similar others of the same space, as an array of structs
     (far, id), nearest first and by id where they tie; ``far`` is minus the cosine or dot product, or the distance.
 
     ``only`` restricts the queries (a condition on vec_id), never the index. Accuracy is lost only where a neighbour
-    lies outside the shards of the ``probes`` nearest cells or the ``rerank`` best of a shard by codes; scores are exact.
+    lies outside the shards of the ``probes`` nearest cells (by default as ``calibrate`` finds for each space) or the
+    ``rerank`` best of a shard by codes; scores are exact.
     Copies, however many, are found as such. Of rows that repeat an id one counts. Empty spaces give nothing; a vector
     without others has an empty array.
     """
@@ -232,6 +296,8 @@ def similar(vectors: DataFrame, specs: DataFrame, k: int = 10, probes: int = PRO
     if only is not None:
         wanted = usable.where(only).select(F.col("vec_id")).join(copies.members, "vec_id", "left").select(F.coalesce("class_id", "vec_id").alias("class_id")).distinct()
         queries = classes.join(wanted, "class_id", "left_semi")
+    if probes is None:
+        calibrate(classes, models, k)
     near = nearest_classes(classes, queries, models, k + 1, probes)
     each = near.select("id", F.explode("hits").alias("h")).select("id", "h.far", "h.class_id").join(copies.first, "class_id", "left")
     each = each.withColumn("ids", F.coalesce("ids", F.array("class_id")))
@@ -251,9 +317,9 @@ def mutual_pairs(vectors: DataFrame, specs: DataFrame, k: int = 10, cosine: floa
     hits = similar(vectors, specs, k)
     bound = F.when(F.col("kind") == "Cosine", -cosine).when(F.col("kind") == "Euclid", distance)
     declared = specs.select("coll_name", "vector_name", F.col("distance_kind").alias("kind")).distinct()
-    kinds = vectors.join(declared, ["coll_name", "vector_name"]).select("vec_id", "kind").distinct()
-    close = hits.withColumn("hits", F.expr(f"filter(hits, h -> h.far <= {max(-cosine, distance)!r}D)")).where("size(hits) > 0")
-    close = close.join(kinds, "vec_id").select("vec_id", F.explode("hits").alias("h"), bound.alias("bound")).where("h.far <= bound")
+    close = cut(hits.withColumn("hits", F.expr(f"filter(hits, h -> h.far <= {max(-cosine, distance)!r}D)")).where("size(hits) > 0"), "close")
+    kinds = vectors.join(declared, ["coll_name", "vector_name"]).select("vec_id", "kind")  # ids and kinds alone are shuffled
+    close = close.join(kinds, "vec_id").select("vec_id", F.explode("hits").alias("h"), bound.alias("bound")).where("h.far <= bound").distinct()
     ends = close.select(F.least("vec_id", "h.id").alias("vec_a"), F.greatest("vec_id", "h.id").alias("vec_b"))
     return ends.groupBy("vec_a", "vec_b").agg(F.count("*").alias("n")).where("n = 2").select("vec_a", "vec_b")
 

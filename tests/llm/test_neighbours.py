@@ -109,12 +109,16 @@ def test_encoding_reduces_the_error():
     scores = model.scores(x[:5], [codes[:, m].astype(np.intp) for m in range(codes.shape[1])], norms)
     direct = -((x[:5, None] - model.decode(codes)[None]) ** 2).sum(2) + (x[:5] ** 2).sum(1)[:, None]
     assert np.allclose(scores, direct, atol=1e-3)
-    model = train(x, "Euclid", 40_000_000)
-    assert model.levels == 2 and model.groups.max() > 0
-    cells = model.cells(x, 8)
-    shards = model.shard_of(cells)
-    assert (shards // (model.groups.max() + 1) == cells // len(model.books[0])).all() and len(np.unique(shards)) > len(model.coarse)
-    assert cells.shape == (2000, 8) and all(len(set(c)) == 8 for c in cells)
+    for total in (2_000_000, 4_000_000, 40_000_000):  # cells in groups, and divided
+        model = train(x, "Euclid", total)
+        parts = len(model.middles)
+        cells = model.cells(x, 8)
+        shards = model.shard_of(cells)
+        assert parts == (1 if total < 3_000_000 else -(-total // (3000 * len(model.coarse)))) and len(np.unique(shards)) >= min(100, total // 30_000)
+        assert cells.shape == (2000, 8) and all(len(set(c)) == 8 for c in cells)
+        middle = model.coarse[cells // parts] + model.middles[cells % parts]
+        far = ((x[:, None] - middle) ** 2).sum(2)
+        assert (np.diff(far, axis=1) >= -1e-3).all()
 
 
 @pytest.mark.parametrize("kind", KINDS)
@@ -129,24 +133,48 @@ def test_recall_over_many_shards(spark, kind):
     model = train(neighbours.unit(x) if kind == "Cosine" else x, kind, 20 * n)
     asks = np.arange(0, n, 10) + np.arange(300) % 10
     frame = lambda ids: spark.createDataFrame([("s", kind, int(i), bytearray(x[i].tobytes())) for i in ids], "space string, kind string, class_id long, vector binary")
+    model.total = n
+    neighbours.calibrate(frame(range(n)), {"s": model}, k)
     found = {r.id: [h.class_id for h in r.hits] for r in neighbours.nearest_classes(frame(range(n)), frame(asks), {"s": model}, k).collect()}
     assert found.keys() == set(asks.tolist())
     q = neighbours.unit(x) if kind == "Cosine" else x
     own = model.shard_of(model.cells(q, 1)[:, 0])
-    probed = model.shard_of(model.cells(q[asks], neighbours.PROBES, True))
+    probed = model.shard_of(model.cells(q[asks], model.probes, True))
     scanned = np.mean([np.isin(own, p).mean() for p in probed])
     right = 0
     for i in asks:
         scores = np.array([score(kind, x[i], v) for v in x]) if kind == "Manhattan" else q @ q[i] if kind in ("Cosine", "Dot") else -((q - q[i]) ** 2).sum(1)
         right += len(set(np.argsort(-scores)[:k].tolist()) & set(found[int(i)]))
-    assert scanned < 0.6 and right / (k * len(asks)) > 0.9, (scanned, right / (k * len(asks)))
+    assert scanned < 0.7 and right / (k * len(asks)) > 0.9, (scanned, right / (k * len(asks)))
 
 
-def test_cells_of_two_levels_under_dot():
+def test_divided_cells_under_dot():
     rng = np.random.default_rng(5)
     x = rng.normal(size=(2000, 12)).astype(np.float32)
     model = train(x, "Dot", 40_000_000)
-    cells, size = model.cells(x[:50], 8, True), len(model.books[0])
-    assert model.levels == 2 and cells.shape == (50, 9) and (cells[:, :1] == model.cells(x[:50], 1)).all()
-    product = np.einsum("nd,nkd->nk", x[:50], model.coarse[cells // size] + model.books[0][cells % size])[:, 1:]
+    cells, parts = model.cells(x[:50], 8, True), len(model.middles)
+    assert parts > 1 and cells.shape == (50, 9) and (cells[:, :1] == model.cells(x[:50], 1)).all()
+    product = np.einsum("nd,nkd->nk", x[:50], model.coarse[cells // parts] + model.middles[cells % parts])[:, 1:]
     assert (np.diff(product, axis=1) <= 1e-3).all() and (product[:, 0] > product[:, -1]).all()
+
+
+@pytest.mark.parametrize("total", [60_000, 4_000_000])
+def test_probes_follow_from_the_data(spark, total):
+    """Vectors that do not cluster need more cells than those that do; either way the neighbours are found."""
+    rng = np.random.default_rng(3)
+    n, k, probes = 3000, 10, []
+    tight = rng.normal(size=(60, 16)) * 3
+    for x in (tight[rng.integers(0, 60, n)] + rng.normal(size=(n, 16)) * 0.3, rng.normal(size=(n, 16))):
+        x = x.astype(np.float32)
+        model = train(x, "Euclid", total)  # shards as of so many vectors
+        model.total = n
+        frame = spark.createDataFrame([("s", "Euclid", i, bytearray(x[i].tobytes())) for i in range(n)], "space string, kind string, class_id long, vector binary")
+        neighbours.calibrate(frame, {"s": model}, k)
+        probes.append(model.probes)
+        shards = model.shard_of(model.cells(x, 1))[:, 0]
+        asks = np.arange(0, n, 7)
+        probed = model.shard_of(model.cells(x[asks], model.probes, True))
+        far = neighbours._far("Euclid", x[asks], x)
+        true = np.argsort(far, 1)[:, 1 : k + 1]
+        assert np.mean([np.isin(shards[t], p).mean() for t, p in zip(true, probed)]) > 0.95
+    assert probes[1] > probes[0] >= neighbours.PROBES
