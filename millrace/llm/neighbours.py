@@ -298,7 +298,7 @@ def similar(vectors: DataFrame, specs: DataFrame, k: int = 10, probes: int | Non
         queries = classes.join(wanted, "class_id", "left_semi")
     if probes is None:
         calibrate(classes, models, k)
-    near = nearest_classes(classes, queries, models, k + 1, probes)
+    near = cut(nearest_classes(classes, queries, models, k + 1, probes), "near")  # read for copies and for the others
     each = near.select("id", F.explode("hits").alias("h")).select("id", "h.far", "h.class_id").join(copies.first, "class_id", "left")
     each = each.withColumn("ids", F.coalesce("ids", F.array("class_id")))
     listed = each.select("id", F.expr("transform(ids, x -> struct(far, x as id))").alias("hits"))
