@@ -1,4 +1,4 @@
-"""Vector scores as column expressions: sums in double and in index order, inside generated code."""
+"""Vector scores as column expressions inside the JVM: sums in double and in index order, by higher-order functions."""
 
 from __future__ import annotations
 

@@ -86,22 +86,29 @@ def mark(text: str, spans: Sequence[tuple[int, int]], pre: str, post: str, escap
 
 
 def highlight(text: Column, weights: dict[str, float], analyzer: str, pre: str = "<em>", post: str = "</em>", fragment_size: int = FRAGMENT, fragments: int = FRAGMENTS) -> Column:
-    """Highlighted fragments of a text as an array; null where nothing is marked. ``weights`` gives each query word
-    1 / (1 + document frequency); ``fragments`` 0 means the whole value as one."""
+    """Highlighted fragments of a text, or of an array of texts, as an array; null where nothing is marked.
+
+    ``weights`` gives each query word 1 / (1 + document frequency). Each value gives its best fragment, in the order of
+    the values and at most ``fragments`` of them; 0 means every marked value as a whole.
+    """
+
+    def one(text: str | None) -> str | None:
+        spans = _spans(text, set(weights), analyzer) if text is not None else []
+        if not spans:
+            return None
+        if fragments == 0:
+            return mark(text, [(a, b) for a, b, _ in spans], pre, post)
+        a, b = best_fragment(text, spans, weights, max(fragment_size, 1))
+        return mark(text[a:b], [(x - a, y - a) for x, y, _ in spans if x >= a and y <= b], pre, post)
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        def one(t):
-            if t is None:
-                return None
-            spans = _spans(t, set(weights), analyzer)
-            if not spans:
+        def every(value):
+            if value is None:
                 return None
-            if fragments == 0:
-                return [mark(t, [(a, b) for a, b, _ in spans], pre, post)]
-            a, b = best_fragment(t, spans, weights, max(fragment_size, 1))
-            return [mark(t[a:b], [(x - a, y - a) for x, y, _ in spans if x >= a and y <= b], pre, post)]
+            found = [m for m in map(one, [value] if isinstance(value, str) else value) if m is not None]
+            return (found[:fragments] if fragments else found) or None
 
-        return texts.map(one)
+        return texts.map(every)
 
     return run(text)

@@ -84,16 +84,20 @@ def context(df: DataFrame, pk: str, field: str, pairs, k: int, distance: str = k
     return _scored(df, pk, total, k, skip, where)
 
 
-def mmr_order(relevance: np.ndarray, similarity: np.ndarray, limit: int, diversity: float) -> list[int]:
-    """Greedy order: (1 - diversity) times relevance minus diversity times the closest picked one; of ties the last."""
-    weight, left, picked = 1 - diversity, list(range(len(relevance))), []
-    while left and len(picked) < limit:
-        closest = similarity[np.ix_(left, picked)].max(1) if picked else np.zeros(len(left))
-        value = weight * relevance[left] - (diversity * closest if picked else 0)
+def mmr_order(relevance: np.ndarray, similar_to, limit: int, diversity: float) -> list[int]:
+    """Greedy order: (1 - diversity) times relevance minus diversity times the closest picked one; of ties the last.
+
+    ``similar_to(i)`` gives the similarities of all candidates to one; each pick asks once, so memory is linear.
+    """
+    weight, left, picked = 1 - diversity, np.arange(len(relevance)), []
+    closest = np.full(len(relevance), -np.inf)
+    while len(left) and len(picked) < limit:
+        value = weight * relevance[left] - (diversity * closest[left] if picked else 0)
         best = len(left) - 1 - int(np.argmax(value[::-1]))
-        picked.append(left[best])
+        picked.append(int(left[best]))
         left[best] = left[-1]
-        left.pop()
+        left = left[:-1]
+        closest = np.maximum(closest, similar_to(picked[-1]))
     return picked
 
 
@@ -117,11 +121,12 @@ def mmr(df: DataFrame, pk: str, field: str, query: Sequence[float], limit: int,
         if distance == kernels.COSINE:
             x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
         if distance in (kernels.COSINE, kernels.DOT):
-            sim = x @ x.T
+            near = lambda i: x @ x[i]
+        elif distance == kernels.EUCLID:
+            near = lambda i: -((x - x[i]) ** 2).sum(1)
         else:
-            gap = x[:, None] - x[None]
-            sim = -(gap**2).sum(2) if distance == kernels.EUCLID else -np.abs(gap).sum(2)
-        picked = mmr_order(pdf["_score"].to_numpy(), sim, limit, diversity)
+            near = lambda i: -np.abs(x - x[i]).sum(1)
+        picked = mmr_order(pdf["_score"].to_numpy(), near, limit, diversity)
         return pdf.iloc[picked][[pk, "_score"]].assign(rank=np.arange(1, len(picked) + 1, dtype=np.int32))
 
     return some.withColumn("__all", F.lit(0)).groupBy("__all").applyInPandas(order, f"{pk} {kind}, _score double, rank int")

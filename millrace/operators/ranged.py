@@ -80,3 +80,21 @@ def running_sum(df: DataFrame, group: list[str], order: list[str], value: str, o
     mine = (placed[_PART] == F.col("__rs_of")) & of_group.eqNullSafe(F.col("__rs_first"))
     joined = placed.join(F.broadcast(carried), mine, "left")
     return joined.withColumn(out, F.col(_OWN) + F.coalesce("__rs_before", F.lit(0))).select(*[c for c in df.columns if c != out], out)
+
+
+def carried_last(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
+    """``df`` with ``out``: the last value that is not null of the rows up to and including each one, in ascending
+    ``order``; null before the first.
+
+    Rows are range-partitioned by ``order`` and written; each partition carries the last value within it, and takes over
+    the last one of the partitions before it: a row per partition, which is broadcast. However many rows fall in any
+    stretch of the order, they spread over tasks.
+    """
+    line = cut(df.repartitionByRange(at_least(df.sparkSession), *order).withColumn(_PART, F.spark_partition_id()), "line")
+    own = Window.partitionBy(_PART).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.struct(*[F.col(c) for c in order])
+    ends = line.groupBy(_PART).agg(F.max_by(value, F.when(F.col(value).isNotNull(), known)).alias("end"))
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    carried = ends.select(F.col(_PART).alias("__rs_of"), F.last("end", ignorenulls=True).over(before).alias("__rs_before"))
+    joined = line.withColumn(_OWN, F.last(value, ignorenulls=True).over(own)).join(F.broadcast(carried), F.col(_PART) == F.col("__rs_of"), "left")
+    return joined.withColumn(out, F.coalesce(_OWN, "__rs_before")).select(*[c for c in df.columns if c != out], out)

@@ -35,14 +35,24 @@ def at_least(df: DataFrame, pk: str, field: str, query: Sequence[float], least:
     return dense(df, pk, field, query, distance, where).where(F.col("_score") >= least)
 
 
+#: Queries that are handed to all tasks at once.
+QUERY_BLOCK = 4096
+
+
 def knn_per_query(df: DataFrame, queries: DataFrame, pk: str, field: str, query_pk: str, k: int, distance: str = kernels.COSINE) -> DataFrame:
-    """For each row of a stated, small set of queries its ``k`` best rows: (query_pk, pk, _score, rank).
+    """For each row of a stated set of queries its ``k`` best rows: (query_pk, pk, _score, rank).
 
-    The query set is broadcast, which Spark refuses beyond its limit; each task keeps ``k`` rows a query.
+    The queries are taken in blocks of about ``QUERY_BLOCK``, so what is broadcast is bounded by a block and the length
+    of a vector; each task keeps ``k`` rows a query.
     """
-    small = F.broadcast(queries.select(F.col(query_pk).alias("__q"), F.col(field).alias("__v")))
-    pairs = df.select(pk, field).join(small, F.size(field) == F.size("__v"))
-    pairs = pairs.select(F.col("__q").alias(f"query_{query_pk}"), pk, kernels.score(distance, F.col(field), F.col("__v")).alias("_score"))
+    asked = queries.select(F.col(query_pk).alias("__q"), F.col(field).alias("__v"))
+    n = max(1, -(-asked.count() // QUERY_BLOCK))
+    pairs = None
+    for block in range(n):
+        part = F.broadcast(asked if n == 1 else asked.where(F.pmod(F.xxhash64("__q"), F.lit(n)) == block))
+        found = df.select(pk, field).join(part, F.size(field) == F.size("__v"))
+        found = found.select(F.col("__q").alias(f"query_{query_pk}"), pk, kernels.score(distance, F.col(field), F.col("__v")).alias("_score"))
+        pairs = found if pairs is None else pairs.unionByName(found)
     place = F.row_number().over(Window.partitionBy(f"query_{query_pk}").orderBy(F.col("_score").desc(), pk))
     return pairs.withColumn("rank", place).where(F.col("rank") <= k)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import jsonpath
 from millrace.operators import live, oplog, search_dsl
 from millrace.operators.aggregations import aggregate
+from millrace.operators.ranged import carried_last
 from millrace.plans import catalog
 from millrace.session import fresh_path, load
 from millrace.sources import collections, log
@@ -602,17 +603,10 @@ _sql("sql_pricing_summary", "SELECT l_returnflag, l_linestatus, sum(l_quantity)
 
 @query("sql_as_of_join", "SELECT o_orderkey, event_id FROM (SELECT *, TIMESTAMP '2024-01-01' + to_seconds(o_orderkey * 37) AS at FROM orders) o ASOF LEFT JOIN (SELECT event_id, ts FROM events) e ON o.at >= e.ts")
 def _(s, d):
-    """The last event at or before each order: orders and events in one sorted line, cut into ranges of time; what a
-    range needs from before it is the last event of the earlier ones."""
+    """The last event at or before each order: orders and events in one sorted line, cut into even ranges; what a range
+    needs from before it is the last event of the earlier ones."""
     o = load(s, d, "orders").select("o_orderkey", (F.expr("timestamp_ntz'2024-01-01'") + F.expr("make_interval(0,0,0,0,0,0,o_orderkey * 37)")).alias("at"))
     e = load(s, d, "events").select("event_id", "ts")
     line = o.select("at", F.lit(1).alias("kind"), "o_orderkey", F.lit(None).cast("long").alias("event_id")).unionByName(e.select(F.col("ts").alias("at"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("o_orderkey"), "event_id"))
-    slot = F.date_trunc("day", "at")
-    line = line.withColumn("slot", slot)
-    own = Window.partitionBy("slot").orderBy("at", "kind", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    inside = line.withColumn("own", F.last("event_id", ignorenulls=True).over(own))
-    ends = line.groupBy("slot").agg(F.max_by("event_id", F.when(F.col("event_id").isNotNull(), F.struct("at", "event_id"))).alias("last"))
-    before = ends.withColumn("carried", F.last("last", ignorenulls=True).over(Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)))  # a row a day
-    joined = inside.where("kind = 1").join(before.select("slot", "carried"), "slot")
-    return joined.select("o_orderkey", F.coalesce("own", "carried").alias("event_id"))
-
+    found = carried_last(line, ["at", "kind", "event_id"], "event_id", "last")
+    return found.where("kind = 1").select("o_orderkey", F.col("last").alias("event_id"))

@@ -9,7 +9,7 @@ from millrace.functions import analyzers, kernels
 from millrace.functions.predicates import Field, Schema
 from millrace.operators import text_index
 from millrace.plans.search import Collection
-from millrace.session import load
+from millrace.session import file_versions, load, stored
 
 
 def documents(spark: SparkSession, sf_dir: str) -> Collection:
@@ -59,12 +59,27 @@ def vector_of(spark: SparkSession, sf_dir: str, vec_id: int) -> list[float]:
     return list(load(spark, sf_dir, "embeddings").where(F.col("vec_id") == vec_id).first().embedding)
 
 
+_stored: dict[tuple, DataFrame] = {}
+
+
 def sparse_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a sparse vector: how many words there are of each length."""
-    df = load(spark, sf_dir, "documents").select("doc_id", "lang", analyzers.tokens(F.col("text"), "simple").alias("toks"))
-    sizes = df.withColumn("sizes", F.array_sort(F.array_distinct(F.transform("toks", lambda t: F.length(t).cast("long")))))
-    values = F.transform("sizes", lambda n: F.size(F.filter("toks", lambda t: F.length(t) == n)).cast("float"))
-    return sizes.select("doc_id", "lang", F.when(F.col("toks").isNotNull(), F.struct(F.col("sizes").alias("indices"), values.alias("values"))).alias("sparse"))
+    """Documents with a sparse vector (how many words there are of each length), made once for each version of the table
+    in a Spark application and stored, as a collection's vectors are."""
+    df = load(spark, sf_dir, "documents")
+    key = (spark.sparkContext.applicationId, file_versions(df))
+    if key not in _stored:
+        _stored[key] = stored(_sparse(df), "sparse")
+    return _stored[key]
+
+
+def _sparse(documents: DataFrame) -> DataFrame:
+    df = documents.select("doc_id", "lang", analyzers.tokens(F.col("text"), "simple").alias("toks"))
+    each = df.select("doc_id", F.explode("toks").alias("t")).groupBy("doc_id", F.length("t").cast("long").alias("n")).agg(F.count(F.lit(1)).cast("float").alias("v"))
+    pairs = each.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "v"))).alias("p"))  # a document's own entries
+    rows = df.select("doc_id", "lang", F.col("toks").isNotNull().alias("there")).join(pairs, "doc_id", "left")
+    none = F.struct(F.array().cast("array<bigint>").alias("indices"), F.array().cast("array<float>").alias("values"))
+    held = F.struct(F.col("p.n").alias("indices"), F.col("p.v").alias("values"))
+    return rows.select("doc_id", "lang", F.when(F.col("there"), F.when(F.col("p").isNull(), none).otherwise(held)).alias("sparse"))
 
 
 def op_log(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -85,6 +85,13 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Like ``cut``, for what is read for as long as the application runs: ``release`` leaves it."""
+    out = cut(df, name)
+    _cuts.pop()
+    return out
+
+
 def file_versions(df: DataFrame) -> tuple:
     """The files a table is read from, with their sizes and times: another version has another one."""
     spark = df.sparkSession

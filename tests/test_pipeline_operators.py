@@ -269,3 +269,16 @@ def test_running_sum_of_one_hot_group(spark):
         assert r.before == seen.get(r.g, 0)
         seen[r.g] = seen.get(r.g, 0) + (r.v or 0)
     assert len(got) == 5000
+
+
+def test_carried_last(spark):
+    from millrace.operators.ranged import carried_last
+
+    rng = random.Random(6)
+    rows = [(rng.randrange(40) if i % 3 else 7, i, rng.choice([None, None, rng.randrange(99)])) for i in range(2000)]
+    got = carried_last(spark.createDataFrame(rows, "at long, i long, v long"), ["at", "i"], "v", "last").collect()
+    last = None
+    for r in sorted(got, key=lambda r: (r.at, r.i)):
+        last = last if r.v is None else r.v
+        assert r.last == last
+    assert len(got) == 2000

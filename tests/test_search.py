@@ -518,3 +518,25 @@ def test_empty_buckets(docs):
         aggregate(docs, {"h": {"histogram": {"field": "n", "interval": 1}}})["h"].collect()
     kept = aggregate(docs, {"t": {"terms": {"field": "tag", "size": 1}, "aggs": {"best": {"top_hits": {"size": 2}}}}}, pk="id")["t>best"]
     assert {r.tag if "tag" in r else r.t for r in kept.collect()} == {"a"}
+
+
+def test_highlight_of_several_values(spark):
+    df = spark.createDataFrame([(["a hot day", "cold", "hot hot tea", "the hot one"],), (None,), (["x"],)], "t array<string>")
+    show = lambda n: [r[0] for r in df.select(grouping.highlight(F.col("t"), {"hot": 0.5}, "simple", "[", "]", 100, n)).collect()]
+    assert show(2) == [["[hot] day", "[hot] [hot] tea"], None, None] and show(0)[0] == ["a [hot] day", "[hot] [hot] tea", "the [hot] one"]
+
+
+def test_greedy_diversity():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(30, 4)).round(1)
+    sim, relevance = x @ x.T, rng.normal(size=30).round(1)
+    left, picked = list(range(30)), []
+    while left and len(picked) < 12:
+        value = [0.4 * relevance[i] - (0.6 * max(sim[i, j] for j in picked) if picked else 0) for i in left]
+        best = max(range(len(left)), key=lambda j: (value[j], j))
+        picked.append(left[best])
+        left[best] = left[-1]
+        left.pop()
+    assert points.mmr_order(relevance, lambda i: sim[:, i], 12, 0.6) == picked
