@@ -202,6 +202,7 @@ def test_query_string_errors():
     assert parse_query_string("a^2", ["f"]) == {"match": {"field": "f", "text": "a", "boost": 2.0}}
 
 
+#: Two ranked lists and what the fusions of them must give.
 LISTS = ([(1, 0.9), (2, 0.8), (3, 0.7)], [(3, 10.0), (1, 5.0)])
 
 
